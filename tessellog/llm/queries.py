@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, licenses, mixing, quality, sharding, token_counts, toxicity, url_filters
+from . import bpe_codec, exact_dedup, licenses, mixing, near_dedup, quality, sharding, token_counts, toxicity, url_filters
 from .common import table
 
 CATEGORIES = ["low_quality", "toxic"]
@@ -65,6 +65,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_url_filters": op4_url_filters,
+    "op5_near_dedup": op5_near_dedup,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
