@@ -53,3 +53,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Up to this many dropped keys (at most about 90 bytes each) are broadcast; beyond, the join is shuffled.
+BROADCAST_KEYS = 100_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key columns, those of ``dropped``, are not among ``dropped``'s rows (nulls are equal)."""
+    names = dropped.columns
+    dropped = written(dropped.distinct().toDF(*[f"__{c}" for c in names]), "dropped")
+    few = dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    on = [docs[c].eqNullSafe(dropped[f"__{c}"]) for c in names]
+    return docs.join(F.broadcast(dropped) if few else dropped, on, "left_anti")

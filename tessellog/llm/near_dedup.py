@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import written
+from .common import without, written
 from .components import components
 
 TREES = 12
@@ -301,3 +301,12 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     full = rows.where("n > 0").select("doc_id", "n", "cls").join(named, "cls").select("doc_id", "n", "component_id", "n_links")
     empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
+
+
+def keep_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each component, with all their columns.
+
+    Rows that share a doc_id stay if one of them does.
+    """
+    fates = written(near_dedup(docs, k, percent).groupBy("doc_id").agg(F.max("kept").alias("stays")), "fates")
+    return without(docs, fates.where("not stays").select("doc_id"))

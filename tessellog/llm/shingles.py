@@ -52,7 +52,7 @@ def sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
     found, owners = [], []
     first = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(texts) else np.zeros(0, dtype=np.int64)
     for n in range(1, k + 1):
-        at = np.flatnonzero(owner[: len(owner) - k + 1] == owner[k - 1 :]) if n == k else first[counts == n]
+        at = np.flatnonzero(owner[: max(0, len(owner) - k + 1)] == owner[k - 1 :]) if n == k else first[counts == n]
         h = np.full(len(at), n, dtype=np.uint64)
         for j in range(n):
             h = _mix(h * np.uint64(0xD6E8FEB86659FD93) + words[at + j])

@@ -11,7 +11,7 @@ words, so that inflected forms of one stem share features.  Each model keeps the
 ``TRAIN_ROWS`` labelled rows (those whose ids hash lowest), whatever the input's
 size; scoring reads every whole text where it lies, without a shuffle.
 
-Null and empty texts have no features and get the base rates.  Rows whose labels
+Null and empty texts, like all without letters, have no features and probability 0.  Rows whose labels
 are all null do not train; without any labelled row every probability is 0; a
 category with one class only gets its constant rate.  A labelled id that has
 several rows trains once, by the larger label.  Repeated rows score alike.  Extra
@@ -181,10 +181,11 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], threshol
         for batch in batches:
             found: list[list[float]] = [[] for _ in chain]
             for text in batch.column(at).to_pylist():
-                features = {f for word in set(WORDS((text or "").lower())) for f in known(word)}
+                words = set(WORDS((text or "").lower()))
+                features = {f for word in words for f in known(word)}
                 p: list[float] = []
                 for model, column in zip(chain, found, strict=True):
-                    p.append(model.predict(features, p))
+                    p.append(model.predict(features, p) if words else 0.0)
                     column.append(p[-1])
             toxic = pa.array([x >= threshold for x in found[-1]], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.float64()) for x in found], toxic], names=[*batch.schema.names, *names, "toxic"])

@@ -62,7 +62,7 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 REPUTATION = """
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
-base AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS m FROM suffixes),
+base AS (SELECT (coalesce(sum(bad), 0) + 0.1) / (coalesce(sum(n), 0) + 1.0) AS m FROM suffixes),
 suffix_in AS (SELECT s.suffix, s.n, s.bad, (SELECT m FROM base) AS m FROM suffixes s),
 suffix_rho AS (SELECT {rho} AS rho FROM suffix_in WHERE n > 0),
 suffix_out AS (SELECT suffix, (bad + (1 / r.rho - 1) * m) / (n + (1 / r.rho - 1)) AS m
