@@ -21,7 +21,7 @@ columns pass through; those with a result's name are replaced.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,18 +35,22 @@ from pyspark.sql import types as T
 TRAIN_ROWS = 6000
 #: Features that each linear model keeps at most.
 MAX_FEATURES = 256
+#: Numbers that features hash to; a text's features so take 4 bytes each on the driver.
+SPACE = 1 << 22
+#: Standard errors by which a kept feature's shares differ at least.
+MIN_Z = 5
 FOLDS = 5
 L2 = 0.3
 WORDS = re.compile(r"[^\W\d_]+").findall
 MEMO_ENTRIES = 300_000
 
 
-def word_features(word: str) -> list[str]:
-    """Starts of 3 to 6 letters and the whole word."""
-    return [*(f"{word[:k]}*" for k in range(3, 7) if len(word) >= k), word]
+def word_features(word: str) -> list[int]:
+    """Starts of 3 to 6 letters and the whole word, each as a number below ``SPACE``."""
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % SPACE for f in (*(f"{word[:k]}*" for k in range(3, 7) if len(word) >= k), word)]
 
 
-def text_features(text: str | None) -> set[str]:
+def text_features(text: str | None) -> set[int]:
     return {f for word in set(WORDS((text or "").lower())) for f in word_features(word)}
 
 
@@ -58,33 +62,58 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class Linear:
     """A logistic regression: weights by feature, weights of earlier probabilities, bias."""
 
-    words: dict[str, float] = field(default_factory=dict)
+    words: dict[int, float] = field(default_factory=dict)
     chain: list[float] = field(default_factory=list)
     bias: float = -30.0
 
-    def predict(self, features: set[str], earlier: list[float]) -> float:
-        z = self.bias + sum(self.words[f] for f in features & self.words.keys()) + sum(a * b for a, b in zip(self.chain, earlier, strict=True))
+    def predict(self, features: set[int], earlier: list[float]) -> float:
+        z = self.bias + sum(self.words[f] for f in sorted(features & self.words.keys())) + sum(a * b for a, b in zip(self.chain, earlier, strict=True))
         return float(_sigmoid(np.array(z)))
 
 
-def select(rows: list[set[str]], y: np.ndarray) -> list[str]:
-    """The features whose share differs most between the classes, by a two-sample z score."""
+@dataclass
+class Rows:
+    """The features of many texts: ``features[i]`` is one of text ``owner[i]``."""
+
+    features: np.ndarray
+    owner: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, each: list[np.ndarray]) -> Rows:
+        return cls(np.concatenate([*each, np.zeros(0, np.uint32)]).astype(np.uint32), np.repeat(np.arange(len(each)), [len(x) for x in each]).astype(np.int64), len(each))
+
+    def take(self, rows: np.ndarray) -> Rows:
+        new = np.full(self.n, -1, dtype=np.int64)
+        new[rows] = np.arange(len(rows))
+        at = new[self.owner]
+        return Rows(self.features[at >= 0], at[at >= 0], len(rows))
+
+    def matrix(self, names: np.ndarray) -> np.ndarray:
+        """Presence of each of ``names``, which are sorted."""
+        out = np.zeros((self.n, len(names)))
+        if len(names):
+            at = np.minimum(np.searchsorted(names, self.features), len(names) - 1)
+            hit = names[at] == self.features
+            out[self.owner[hit], at[hit]] = 1
+        return out
+
+
+def select(rows: Rows, y: np.ndarray) -> np.ndarray:
+    """The features whose share differs most between the classes, by a two-sample z score; sorted."""
     n1, n0 = y.sum(), len(y) - y.sum()
-    one, zero = Counter(), Counter()
-    for features, label in zip(rows, y, strict=True):
-        (one if label else zero).update(features)
-    scored = []
-    for f in one.keys() | zero.keys():
-        a, b = one[f], zero[f]
-        if a + b >= 3:
-            share = (a + b + 1) / (n1 + n0 + 2)
-            z = (a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-            if abs(z) >= 5:
-                scored.append((-abs(z), f))
-    return [f for _, f in sorted(scored)[:MAX_FEATURES]]
-
-
-def fit(rows: list[set[str]], earlier: np.ndarray, y: np.ndarray) -> Linear:
+    one = y[rows.owner] > 0
+    a = np.bincount(rows.features[one], minlength=SPACE)
+    b = np.bincount(rows.features[~one], minlength=SPACE)
+    names = np.flatnonzero(a + b >= 3)
+    a, b = a[names], b[names]
+    share = (a + b + 1) / (n1 + n0 + 2)
+    z = np.abs(a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    best = np.lexsort((names, -z))[:MAX_FEATURES]
+    return np.sort(names[best[z[best] >= MIN_Z]])
+
+
+def fit(rows: Rows, earlier: np.ndarray, y: np.ndarray) -> Linear:
     """One ridge-penalised logistic regression by Newton steps."""
     k = earlier.shape[1]
     if len(y) == 0:
@@ -93,12 +122,7 @@ def fit(rows: list[set[str]], earlier: np.ndarray, y: np.ndarray) -> Linear:
     if y.min() == y.max():
         return Linear(chain=[0.0] * k, bias=float(np.log(rate / (1 - rate))))
     names = select(rows, y)
-    place = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names) + k + 1))
-    for i, features in enumerate(rows):
-        x[i, [place[f] for f in features & place.keys()]] = 1
-    x[:, len(names) : len(names) + k] = earlier
-    x[:, -1] = 1
+    x = np.column_stack([rows.matrix(names), earlier, np.ones(rows.n)])
     w = np.zeros(x.shape[1])
     w[-1] = np.log(rate / (1 - rate))
     penalty = np.full(x.shape[1], L2)
@@ -109,23 +133,26 @@ def fit(rows: list[set[str]], earlier: np.ndarray, y: np.ndarray) -> Linear:
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return Linear(dict(zip(names, w.tolist(), strict=False)), w[len(names) : len(names) + k].tolist(), float(w[-1]))
+    return Linear(dict(zip(names.tolist(), w.tolist(), strict=False)), w[len(names) : len(names) + k].tolist(), float(w[-1]))
+
+
+def probabilities(model: Linear, rows: Rows, earlier: np.ndarray) -> np.ndarray:
+    names = np.array(sorted(model.words), dtype=np.int64)
+    return _sigmoid(rows.matrix(names) @ np.array([model.words[f] for f in names.tolist()]) + earlier @ np.array(model.chain) + model.bias)
 
 
-def fit_chain(rows: list[set[str]], labels: np.ndarray) -> list[Linear]:
+def fit_chain(rows: Rows, labels: np.ndarray) -> list[Linear]:
     """A model for each column of ``labels``, later ones trained with out-of-fold predictions of the earlier."""
-    fold = np.arange(len(rows)) % FOLDS
-    earlier, models = np.zeros((len(rows), 0)), []
+    fold = np.arange(rows.n) % FOLDS
+    earlier, models = np.zeros((rows.n, 0)), []
     for k in range(labels.shape[1]):
         y = labels[:, k]
         models.append(fit(rows, earlier, y))
         if k + 1 < labels.shape[1]:
-            held_out = np.zeros(len(rows))
+            held_out = np.zeros(rows.n)
             for n in range(FOLDS):
-                seen = np.flatnonzero(fold != n)
-                part = fit([rows[i] for i in seen], earlier[seen], y[seen])
-                for i in np.flatnonzero(fold == n):
-                    held_out[i] = part.predict(rows[i], earlier[i].tolist())
+                seen, own = np.flatnonzero(fold != n), np.flatnonzero(fold == n)
+                held_out[own] = probabilities(fit(rows.take(seen), earlier[seen], y[seen]), rows.take(own), earlier[own])
             earlier = np.column_stack([earlier, held_out])
     return models
 
@@ -143,35 +170,35 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_rows:
     ys = [f"y{i}" for i in range(len(categories))]
     # The sample has at most train_rows ids, which bounds what is broadcast and what comes to the driver.
     texts = docs.select("doc_id", "text").join(F.broadcast(ready), "doc_id")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(y, T.IntegerType()) for y in ys], T.StructField("features", T.StringType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(y, T.IntegerType()) for y in ys], T.StructField("features", T.BinaryType())])
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            found = [" ".join(sorted(text_features(x))) for x in t["text"].to_pylist()]
-            yield from t.select(["doc_id", *ys]).append_column("features", pa.array(found, pa.string())).to_batches()
+            found = [np.array(sorted(text_features(x)), dtype="<u4").tobytes() for x in t["text"].to_pylist()]
+            yield from t.select(["doc_id", *ys]).append_column("features", pa.array(found, pa.binary())).to_batches()
 
     got = texts.mapInArrow(featurise, schema).toPandas().sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
     order = got["doc_id"].map(lambda i: (i * 2654435761) % 2**32).argsort(kind="stable")  # folds do not follow the ids
     got = got.iloc[order.to_numpy()]
-    rows = [set(x.split()) for x in got["features"]]
-    return fit_chain(rows, got[ys].to_numpy(dtype=float).reshape(len(rows), len(ys)))
+    rows = Rows.of([np.frombuffer(x, dtype="<u4") for x in got["features"]])
+    return fit_chain(rows, got[ys].to_numpy(dtype=float).reshape(rows.n, len(ys)))
 
 
-def score(docs: DataFrame, models: list[Linear], categories: list[str], threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, models: list[Linear], categories: list[str], threshold: float = 0.5, prefix: str = "p_", toxic: str = "toxic") -> DataFrame:
     """Adds ``p_<category>`` for each category, and ``toxic``: whether the last one reaches ``threshold``."""
-    names = [f"p_{c}" for c in categories]
-    docs = docs.select(*[F.col(c) for c in docs.columns if c not in (*names, "toxic")])
+    names = [f"{prefix}{c}" for c in categories]
+    docs = docs.select(*[F.col(c) for c in docs.columns if c not in (*names, toxic)])
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names], T.StructField("toxic", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names], T.StructField(toxic, T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
         used = set().union(*(m.words.keys() for m in chain)) if chain else set()
-        memo: dict[str, tuple[str, ...]] = {}
+        memo: dict[str, tuple[int, ...]] = {}
 
-        def known(word: str) -> tuple[str, ...]:
+        def known(word: str) -> tuple[int, ...]:
             if word not in memo:
                 if len(memo) >= MEMO_ENTRIES:
                     memo.clear()
@@ -187,7 +214,7 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], threshol
                 for model, column in zip(chain, found, strict=True):
                     p.append(model.predict(features, p) if words else 0.0)
                     column.append(p[-1])
-            toxic = pa.array([x >= threshold for x in found[-1]], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.float64()) for x in found], toxic], names=[*batch.schema.names, *names, "toxic"])
+            verdicts = pa.array([x >= threshold for x in found[-1]], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.float64()) for x in found], verdicts], names=[*batch.schema.names, *names, toxic])
 
     return docs.mapInArrow(run, schema)

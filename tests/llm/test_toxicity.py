@@ -36,8 +36,8 @@ def test_few_or_no_labels(spark, edge, empty):
 
 
 def test_later_models_see_out_of_fold_probabilities():
-    rows = [{f"f{i % 2}", f"n{i % 11}"} for i in range(200)]
+    rows = toxicity.Rows.of([np.array([i % 2, 100 + i % 11], dtype=np.uint32) for i in range(200)])
     labels = np.array([[i % 2, i % 2] for i in range(200)], dtype=float)
     models = toxicity.fit_chain(rows, labels)
     assert len(models[0].chain) == 0 and len(models[1].chain) == 1 and models[1].chain[0] > 0
-    assert models[1].predict({"f1"}, [0.9]) > 0.5 > models[1].predict({"f0"}, [0.1])
+    assert models[1].predict({1}, [0.9]) > 0.5 > models[1].predict({0}, [0.1])
