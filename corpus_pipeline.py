@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellog.llm import bpe_codec, exact_dedup, mixing, near_dedup, queries, toxicity
-from tessellog.llm.common import table, written
+from tessellog.llm.common import fresh, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the classifier chain, trained on the labelled rows of ``docs``, finds toxic."""
     models = toxicity.train(docs, queries.chain_labels(spark, sf_dir), queries.CATEGORIES)
-    return toxicity.score(docs, models, queries.CATEGORIES).where("not toxic").select(*docs.columns)
+    prefix, verdict = fresh(docs, "toxicity_", "toxicity_verdict")
+    return toxicity.score(docs, models, queries.CATEGORIES, prefix=prefix, toxic=verdict).where(~F.col(verdict)).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,10 +59,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
 BROADCAST_KEYS = 100_000
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` does not have."""
+    out = []
+    taken = {c.lower() for c in docs.columns}
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key columns, those of ``dropped``, are not among ``dropped``'s rows (nulls are equal)."""
-    names = dropped.columns
-    dropped = written(dropped.distinct().toDF(*[f"__{c}" for c in names]), "dropped")
+    keys = dropped.columns
+    names = fresh(docs, *[f"dropped_{c}" for c in keys])
+    dropped = written(dropped.distinct().toDF(*names), "dropped")
     few = dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    on = [docs[c].eqNullSafe(dropped[f"__{c}"]) for c in names]
+    on = [docs[c].eqNullSafe(dropped[n]) for c, n in zip(keys, names, strict=True)]
     return docs.join(F.broadcast(dropped) if few else dropped, on, "left_anti")

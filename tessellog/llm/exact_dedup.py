@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import lower_ascii, scratch_path, without, written
+from .common import fresh, lower_ascii, scratch_path, without, written
 
 #: Digests of at most this many groups are broadcast (36 bytes each) to find the hits' texts; beyond, a join is shuffled.
 BROADCAST_GROUPS = 100_000
@@ -104,14 +104,14 @@ def dedup(docs: DataFrame, keep: str = "max", digest=sha256) -> DataFrame:
 
 def keep_rows(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows, one."""
-    judged = written(dedup(docs, keep), "judged").withColumnRenamed("text_sha256", "__sha")
-    lost = judged.groupBy("doc_id", "__sha").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
-    lost = written(lost, "fates")
-    keyed = docs.withColumn("__sha", F.lower(F.hex(sha256(normalised(F.col("text"))))))
-    left = without(keyed, lost.where("not stays").select("doc_id", "__sha"))
-    if not lost.where("stays AND n > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "__sha"])
-    return left.drop("__sha")
+    (sha,) = fresh(docs, "text_sha256")
+    judged = dedup(docs, keep).withColumnRenamed("text_sha256", sha)
+    fates = written(judged.groupBy("doc_id", sha).agg(F.max("kept").alias("stays"), F.count("*").alias("n")), "fates")
+    keyed = docs.withColumn(sha, F.lower(F.hex(sha256(normalised(F.col("text"))))))
+    left = without(keyed, fates.where("not stays").select("doc_id", sha))
+    if not fates.where("stays AND n > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", sha])
+    return left.drop(sha)
 
 
 SQL = """

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, written
+from .common import WORD, fresh, written
 
 WEIGHTS = (3, 1, 2)
 #: Change of a source's rate over time, by place in the weights: heavy sources early, light ones late.
@@ -106,11 +106,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id are used as often as the most used of them.
     """
-    uses = plan(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"), F.min("position").alias("__position"))
-    uses = uses.select(F.col("doc_id").alias("__id"), "__copies", "__position")
-    use = F.explode(F.expr("sequence(1L, __copies)"))
-    joined = docs.join(uses, F.col("doc_id") == F.col("__id")).withColumn("__use", use)
-    return joined.orderBy("__use", "__position", "__id").select(*docs.columns)
+    own, copies, position, use = fresh(docs, "mix_id", "mix_copies", "mix_position", "mix_use")
+    uses = plan(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(copies), F.min("position").alias(position)).withColumnRenamed("doc_id", own)
+    joined = docs.join(uses, F.col("doc_id").cast("long").eqNullSafe(F.col(own))).withColumn(use, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return joined.orderBy(use, position, own).select(*docs.columns)
 
 
 SQL = f"""

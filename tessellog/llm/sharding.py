@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: Bytes of text that a shard holds at most.
 LIMIT = 1 << 20
@@ -31,7 +31,7 @@ DEPTH = 120
 def prefix(bits: int) -> str:
     """SQL of the first ``bits`` bits of (h, g), as text."""
     first, second = min(bits, 60), max(bits - 60, 0)
-    text = f"lpad(bin(h), 60, '0')" if bits >= 60 else f"left(lpad(bin(h), 60, '0'), {first})"
+    text = "lpad(bin(h), 60, '0')" if bits >= 60 else f"left(lpad(bin(h), 60, '0'), {first})"
     return text if not second else f"concat({text}, left(lpad(bin(g), 60, '0'), {second}))"
 
 
@@ -70,11 +70,11 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes ``docs`` with one folder for each shard, each by one task."""
-    shards = assign(docs, limit).select(F.col("doc_id").alias("__id"), F.concat(F.lit("b"), "shard").alias("shard")).distinct()
-    own = docs.drop("shard")
-    joined = own.join(shards, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).drop("__id")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes ``docs`` with one folder for each shard, each by one task; rows of one doc_id go to its first shard."""
+    own, shard = fresh(docs, "shard_id", "shard")
+    shards = assign(docs, limit).select(F.col("doc_id").alias(own), F.concat(F.lit("b"), "shard").alias(shard)).groupBy(own).agg(F.min(shard).alias(shard))
+    joined = docs.join(shards, F.col("doc_id").cast("long").eqNullSafe(F.col(own))).drop(own)
+    joined.repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 SQL = f"""
