@@ -1,10 +1,450 @@
-"""Registry of the engine's named queries and of the SQL they are checked against."""
+"""Registry of the engine's named queries and of the SQL they are checked against.
+
+Every query runs over its whole table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessellog.functions.hashing import chain_tip, node_id_column
+from tessellog.operators import codecs, edits, graph, stats
+from tessellog.operators.store import saved
+from tessellog.sources.traces import random_edits
+
+from .event_log import DUCK_LOG, DUCK_ORDER, event_nodes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def edit(doc_id, txn: int, pos, cut, ins):
+    as_long = lambda c: (F.lit(c) if isinstance(c, int) else c).cast("long")
+    return F.struct(doc_id.alias("doc_id"), as_long(txn).alias("txn"), as_long(0).alias("i"), as_long(pos).alias("pos"), as_long(cut).alias("del"), ins.alias("ins"))
+
+
+def edited(docs: DataFrame, *more: tuple) -> DataFrame:
+    """Patches: the whole text inserted, then (pos, del, ins) edits."""
+    steps = [edit(F.col("doc_id"), 0, 0, 0, F.col("text")), *[edit(F.col("doc_id"), i + 1, *m) for i, m in enumerate(more)]]
+    return docs.select(F.explode(F.array(*steps)).alias("p")).select("p.*")
+
+
+def texts_of(patches: DataFrame) -> DataFrame:
+    return edits.linear_text(edits.replay(patches)).select("doc_id", "text")
+
+
+@query("SELECT doc_id, text FROM documents WHERE length(text) > 0")
+def replay_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts_of(edits.patches_of_text(documents(spark, sf_dir)))
+
+
+def chars():
+    return F.char_length("text")
+
+
+@query("SELECT doc_id, substr(text, 1, length(text) // 4) || '<cut>' || substr(text, length(text) // 2 + 1) AS text FROM documents WHERE length(text) > 0")
+def remove_range_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quarter, half = F.floor(chars() / 4), F.floor(chars() / 2)
+    return texts_of(edited(documents(spark, sf_dir), (quarter, half - quarter, F.lit("<cut>"))))
+
+
+@query("SELECT doc_id, substr(text, 1, length(text) - length(text) // 3) || '!' AS text FROM documents WHERE length(text) > 0")
+def out_of_range_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = chars() - F.floor(chars() / 3)
+    return texts_of(edited(documents(spark, sf_dir), (start, chars() * 2, F.lit("")), (start, 0, F.lit("!"))))
+
+
+_LINES_DUCK = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+changes AS (SELECT doc_id, i, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_pos,
+  least(i % 3, length(line)) AS cut, repeat('>', (i % 4)::INTEGER) AS text FROM lines)"""
+
+
+def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One change for each line, all in the coordinates of the text before them."""
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    starts = F.coalesce(F.expr("sum(char_length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))
+    return lines.select("doc_id", F.lit(1).alias("txn"), "i", starts.alias("from_pos"), (starts + F.least(F.col("i") % 3, F.char_length("line"))).alias("to_pos"), F.expr("repeat('>', i % 4)").alias("text"))
+
+
+@query(
+    f"""WITH {_LINES_DUCK} SELECT doc_id, i::BIGINT AS i, (from_pos + coalesce(sum(length(text) - cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pos,
+    cut::BIGINT AS del, text AS ins FROM changes"""
+)
+def multi_change_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.in_current_coordinates(line_changes(spark, sf_dir)).select("doc_id", F.col("i").cast("long").alias("i"), "pos", "del", "ins")
+
+
+@query(f"WITH {_LINES_DUCK} SELECT c.doc_id, string_agg(c.text || substr(l.line, c.cut + 1), chr(10) ORDER BY i) AS text FROM changes c JOIN lines l USING (doc_id, i) GROUP BY c.doc_id HAVING length(string_agg(l.line, '')) > 0")
+def multi_change_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).where("char_length(replace(text, '\n', '')) > 0")
+    changes = edits.in_current_coordinates(line_changes(spark, sf_dir)).join(docs.select("doc_id"), "doc_id", "left_semi")
+    return texts_of(edits.patches_of_text(docs).unionByName(changes.select(*[F.col(c).cast("long" if c != "ins" else "string").alias(c) for c in ("doc_id", "txn", "i", "pos", "del", "ins")])))
+
+
+_HEX = {w: w.encode().hex() for w in ("extra_deps", "op", "root", "after", "done", "$", "opafter", "oproot")}
+_LE = "(printf('%08x', unicode({c}))[7:8] || printf('%08x', unicode({c}))[5:6] || printf('%08x', unicode({c}))[3:4] || printf('%08x', unicode({c}))[1:2])"
+_ROOT = f"sha256(unhex('{_HEX['extra_deps']}{_HEX['oproot']}' || {_LE} || '{_HEX['done']}'))"
+
+
+@query(
+    f"""WITH chars AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: {_LE.format(c='c')}) AS cs FROM documents WHERE length(text) > 0)
+    SELECT doc_id, list_reduce(cs[2:], lambda a, c: sha256(unhex('{_HEX['extra_deps']}{_HEX['opafter']}' || a || '{_HEX['$']}' || c || '{_HEX['done']}')),
+      sha256(unhex('{_HEX['extra_deps']}{_HEX['oproot']}' || cs[1] || '{_HEX['done']}'))) AS tip FROM chars"""
+)
+def run_chain_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None)
+    head = node_id_column(F.lit("root"), none.cast("string"), F.expr("left(text, 1)"), none.cast("array<string>"), none.cast("array<string>"))
+    docs = documents(spark, sf_dir).where(chars() > 0)
+    return docs.select("doc_id", chain_tip(head, F.expr("substring(text, 2)")).alias("tip"))
+
+
+def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as one run, without ids."""
+    none = F.array().cast("array<string>")
+    docs = documents(spark, sf_dir).where(chars() > 0)
+    return docs.select("doc_id", F.lit(0).cast("long").alias("seq"), F.sha2(F.col("doc_id").cast("string"), 256).alias("rec_id"), F.lit("run").alias("kind"), F.lit(None).cast("string").alias("anchor"), "text", none.alias("extra_deps"), none.alias("targets"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS place FROM documents WHERE length(text) > 0)
+    SELECT doc_id, ch, count(*) AS n, min(place)::BIGINT AS first_place, sum(place)::BIGINT AS places FROM c GROUP BY doc_id, ch"""
+)
+def decompress_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = edits.characters(text_records(spark, sf_dir))
+    return each.groupBy("doc_id", "ch").agg(F.count("*").alias("n"), F.min("place").cast("long").alias("first_place"), F.sum("place").alias("places"))
+
+
+@query(
+    """SELECT doc_id, 0 AS part, CASE WHEN length(text) > 1 THEN substr(text, 1, length(text) // 2) ELSE text END AS text, NULL AS anchor FROM documents WHERE length(text) > 0
+    UNION ALL SELECT doc_id, 1, substr(text, length(text) // 2 + 1), sha256('left' || doc_id) FROM documents WHERE length(text) > 1"""
+)
+def run_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left_last = F.sha2(F.concat(F.lit("left"), F.col("doc_id").cast("string")), 256)
+    return edits.split_run(text_records(spark, sf_dir), F.floor(chars() / 2), left_last).select("doc_id", "part", "text", "anchor")
+
+
+def turn_nodes(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
+    """Each turn of a conversation as a root whose character marks the turn; a document is a conversation."""
+    none = F.array().cast("array<string>")
+    turns = read(spark, sf_dir, "conversations")
+    turns = turns.where(F.col("role") == role) if role else turns
+    rows = turns.select(F.col("conv_id").alias("doc_id"), F.lit("root").alias("op"), F.lit(None).cast("string").alias("anchor"), "turn", none.alias("extra_deps"), none.alias("targets"))
+    mark = F.element_at(F.array(*[F.lit(chr(0x4E00 + k)) for k in range(256)]), (F.col("turn") % 256 + 1).cast("int"))
+    return graph.with_ids(rows.withColumn("ch", mark)).select("doc_id", "node_id", "op", "anchor", "ch", "extra_deps", "targets")
+
+
+_TURN = _ROOT.format(c="chr((19968 + turn % 256)::INTEGER)")
+
+
+@query(f"SELECT DISTINCT conv_id AS doc_id, {_TURN} AS node_id FROM conversations WHERE role IN ('user', 'assistant')")
+def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user, assistant = (turn_nodes(spark, sf_dir, role) for role in ("user", "assistant"))
+    return graph.merge(user, assistant, user).select("doc_id", "node_id")
+
+
+@query("SELECT count(DISTINCT (conv_id, turn % 256)) AS n, true AS same FROM conversations")
+def merge_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = turn_nodes(spark, sf_dir)
+    once, twice = graph.merge(log), graph.merge(log, log)
+    tagged = once.select("doc_id", "node_id").withColumn("side", F.lit(1)).unionByName(twice.select("doc_id", "node_id").withColumn("side", F.lit(2)))
+    return tagged.groupBy("doc_id", "node_id").agg(F.sum("side").alias("sides")).agg(F.count("*").alias("n"), F.bool_and(F.col("sides") == 3).alias("same"))
+
+
+@query(
+    f"""WITH roots AS (SELECT conv_id, turn, text, {_TURN} AS id FROM conversations)
+    SELECT conv_id AS doc_id, string_agg(chr((19968 + turn % 256)::INTEGER) || coalesce(text, ''), '' ORDER BY id, turn) AS text FROM roots GROUP BY conv_id"""
+)
+def concurrent_roots_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn is typed by a site of its own, all concurrently; then the sites' logs are merged."""
+    turns = read(spark, sf_dir, "conversations")
+    mark = F.element_at(F.array(*[F.lit(chr(0x4E00 + k)) for k in range(256)]), (F.col("turn") % 256 + 1).cast("int"))
+    site = F.col("conv_id") * 4096 + F.col("turn")
+    typed = edits.replay(edits.patches_of_text(turns.select(site.alias("doc_id"), F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"))))
+    return edits.linear_text(typed.withColumn("doc_id", F.floor(F.col("doc_id") / 4096))).select("doc_id", "text")
+
+
+@query(
+    """WITH two AS (SELECT doc_id // 2 AS doc_id, max(text) FILTER (doc_id % 2 = 0) AS a, max(text) FILTER (doc_id % 2 = 1) AS b FROM documents GROUP BY 1 HAVING length(a) > 0 AND length(b) > 0),
+    cs AS (SELECT *, string_split(a, '') AS x, string_split(b, '') AS y FROM two),
+    common AS (SELECT *, coalesce(list_position(list_transform(list_zip(x, y), lambda z: z[1] IS DISTINCT FROM z[2]), true), len(x) + 1) - 1 AS n FROM cs)
+    SELECT doc_id, (length(a) + length(b) - n)::BIGINT AS length, true AS prefix_once, true AS whole FROM common"""
+)
+def common_prefix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in pairs, as two sites' texts of one document: the merged text has the common prefix once, then both rests whole."""
+    docs = documents(spark, sf_dir).where(chars() > 0)
+    logs = [edits.replay(edits.patches_of_text(docs.where(F.col("doc_id") % 2 == side))).withColumn("doc_id", F.floor(F.col("doc_id") / 2)) for side in (0, 1)]
+    pair = docs.groupBy(F.floor(F.col("doc_id") / 2).alias("doc_id")).agg(F.max(F.when(F.col("doc_id") % 2 == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("doc_id") % 2 == 1, F.col("text"))).alias("b")).dropna()
+    merged = edits.linear_text(logs[0].unionByName(logs[1]).dropDuplicates(["doc_id", "rec_id", "text"])).join(pair, "doc_id")
+    at = graph.first_difference(pair)
+    shared = F.coalesce("at", F.char_length("a")).cast("int")
+    rest_a, rest_b, head = F.expr("a").substr(shared + 1, F.char_length("a")), F.expr("b").substr(shared + 1, F.char_length("b")), F.expr("a").substr(F.lit(1), shared)
+    return merged.join(at, "doc_id").select("doc_id", "length", F.startswith("text", head).alias("prefix_once"), (F.col("text").eqNullSafe(F.concat(head, rest_a, rest_b)) | F.col("text").eqNullSafe(F.concat(head, rest_b, rest_a))).alias("whole"))
+
+
+_DEPS = "deps AS (SELECT DISTINCT doc_id, node_id, unnest(list_concat(extra_deps, targets, CASE WHEN anchor IS NULL THEN [] ELSE [anchor] END)) AS dep_id FROM nodes)"
+
+
+@query(f"WITH {DUCK_LOG}, {_DEPS} SELECT doc_id, node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM deps d WHERE d.doc_id = n.doc_id AND d.dep_id = n.node_id)")
+def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.tips(event_nodes(spark, sf_dir))
+
+
+@query(f"WITH {DUCK_LOG}, {_DEPS} SELECT * FROM deps")
+def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.deps(event_nodes(spark, sf_dir))
+
+
+@query(
+    f"""WITH {DUCK_LOG} SELECT doc_id, node_id, anchor AS dep_id, op AS kind FROM nodes WHERE anchor IS NOT NULL
+    UNION ALL SELECT doc_id, node_id, unnest(targets), 'remove' FROM nodes UNION ALL SELECT doc_id, node_id, unnest(extra_deps), 'dependency' FROM nodes"""
+)
+def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(event_nodes(spark, sf_dir))
+
+
+def lossy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log after a lossy network: operations whose ids start with 0 have not arrived; others have, twice."""
+    log = event_nodes(spark, sf_dir).where("NOT startswith(node_id, '0')")
+    return log.unionByName(log)
+
+
+_PENDING = f"""WITH RECURSIVE {DUCK_LOG}, {_DEPS}, arrived AS (SELECT * FROM nodes WHERE node_id NOT LIKE '0%'),
+held AS (SELECT DISTINCT d.doc_id, d.node_id FROM deps d JOIN arrived a USING (doc_id, node_id) WHERE d.dep_id LIKE '0%'
+  UNION SELECT d.doc_id, d.node_id FROM deps d JOIN held h ON d.doc_id = h.doc_id AND d.dep_id = h.node_id WHERE d.node_id NOT LIKE '0%')"""
+
+
+@query(f"{_PENDING} SELECT doc_id, node_id FROM held")
+def pending_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.admit(lossy_log(spark, sf_dir))[1].select("doc_id", "node_id")
+
+
+@query(f"{_PENDING} SELECT doc_id, node_id FROM arrived WHERE (doc_id, node_id) NOT IN (SELECT (doc_id, node_id) FROM held)")
+def admitted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.admit(lossy_log(spark, sf_dir))[0].select("doc_id", "node_id")
+
+
+@query(f"WITH {DUCK_LOG}, {_DEPS} SELECT DISTINCT doc_id, node_id, dep_id FROM deps WHERE dep_id LIKE '0%' AND node_id NOT LIKE '0%'")
+def missing_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.missing(lossy_log(spark, sf_dir).dropDuplicates(graph.KEY))
+
+
+@query(f"WITH {DUCK_LOG} SELECT doc_id, anchor, op, node_id, row_number() OVER o AS rank, lead(node_id) OVER o AS next_id FROM nodes WHERE op <> 'remove' WINDOW o AS (PARTITION BY doc_id, anchor, op ORDER BY node_id)")
+def siblings_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.siblings(event_nodes(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH RECURSIVE {DUCK_ORDER} SELECT doc_id, node_id, place FROM ordered")
+def linearize_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.linearize(event_nodes(spark, sf_dir)).select("doc_id", "node_id", "place")
+
+
+@query(f"WITH RECURSIVE {DUCK_ORDER} SELECT doc_id, node_id, place FROM ordered")
+def linearize_large_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.linearize_large(event_nodes(spark, sf_dir)).select("doc_id", "node_id", "place")
+
+
+@query(
+    f"""WITH RECURSIVE {DUCK_ORDER} SELECT a.doc_id, a.node_id AS a, count(b.node_id) AS descendants FROM ordered a
+    LEFT JOIN ordered b ON a.doc_id = b.doc_id AND len(b.path) > len(a.path) AND b.path[:len(a.path) + 1] = list_append(a.path, 2) GROUP BY a.doc_id, a.node_id"""
+)
+def causal_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each insertion, how many follow from it by an insertion after it: an interval of the canonical order."""
+    return graph.linearize(event_nodes(spark, sf_dir)).select("doc_id", F.col("node_id").alias("a"), (F.col("last") - F.col("place")).alias("descendants"))
+
+
+@query(
+    f"""WITH RECURSIVE {DUCK_ORDER}, pairs AS (SELECT doc_id, node_id AS a, lead(node_id) OVER (PARTITION BY doc_id ORDER BY node_id) AS b FROM ordered)
+    SELECT p.doc_id, p.a, p.b, len(y.path) > len(x.path) AND y.path[:len(x.path) + 1] = list_append(x.path, 2) AS follows
+    FROM pairs p JOIN ordered x ON p.doc_id = x.doc_id AND p.a = x.node_id JOIN ordered y ON p.doc_id = y.doc_id AND p.b = y.node_id"""
+)
+def causally_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = saved(graph.linearize(event_nodes(spark, sf_dir)), "order")
+    pairs = order.select("doc_id", F.col("node_id").alias("a"), F.expr("lead(node_id) OVER (PARTITION BY doc_id ORDER BY node_id)").alias("b")).where("b IS NOT NULL")
+    return graph.causally_after(order, pairs)
+
+
+@query(f"WITH RECURSIVE {DUCK_ORDER} SELECT doc_id, string_agg(ch, '' ORDER BY pos) AS text, count(*) AS length FROM shown GROUP BY doc_id")
+def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.text(event_nodes(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {DUCK_ORDER} SELECT doc_id, count(*) AS length, count(*) = 0 AS is_empty FROM shown GROUP BY doc_id")
+def visible_len(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = event_nodes(spark, sf_dir)
+    left = nodes.where(graph.INSERTS).select(*graph.KEY).join(graph.tombstones(nodes), graph.KEY, "left_anti")
+    return left.groupBy("doc_id").agg(F.count("*").alias("length")).withColumn("is_empty", F.col("length") == 0)
+
+
+@query(f"WITH RECURSIVE {DUCK_ORDER} SELECT doc_id, node_id, ch, pos, lag(node_id) OVER o AS left_id, lead(node_id) OVER o AS right_id FROM shown WINDOW o AS (PARTITION BY doc_id ORDER BY pos)")
+def id_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbours(graph.visible(event_nodes(spark, sf_dir)))
+
+
+@query(f"WITH {DUCK_LOG}, wanted AS (SELECT user_id AS doc_id, sha256('n' || (event_id + 1)) AS node_id FROM events) SELECT w.doc_id, w.node_id FROM wanted w SEMI JOIN nodes n USING (doc_id, node_id)")
+def contains_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = read(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "sha2(concat('n', event_id + 1), 256) AS node_id")
+    return graph.contains(wanted, event_nodes(spark, sf_dir))
+
+
+@query(f"WITH {DUCK_LOG}, {_DEPS}, free AS (SELECT doc_id, node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM deps d WHERE d.doc_id = n.doc_id AND d.dep_id = n.node_id)) SELECT doc_id, string_agg(node_id, ',' ORDER BY node_id) AS tips, string_agg(node_id, ',' ORDER BY node_id) FILTER (node_id <> low) AS rest FROM (SELECT *, min(node_id) OVER (PARTITION BY doc_id) AS low FROM free) GROUP BY doc_id")
+def frontier_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fronts = graph.frontier(event_nodes(spark, sf_dir)).withColumn("anchor", F.element_at("tips", 1))
+    rest = F.array_join("extra_deps", ",")
+    return graph.tips_minus(fronts).select("doc_id", F.array_join("tips", ",").alias("tips"), F.when(rest != "", rest).alias("rest"))
+
+
+def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of each document as a run."""
+    none = F.array().cast("array<string>")
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text")).where("text <> ''")
+    return lines.select("doc_id", F.col("seq").cast("long").alias("seq"), F.lit("").alias("rec_id"), F.lit("run").alias("kind"), F.lit("").alias("anchor"), "text", none.alias("extra_deps"), none.alias("targets"))
+
+
+@query(
+    """WITH r AS (SELECT d.lang, length(u.line) AS n FROM documents d, unnest(string_split(d.text, chr(10))) AS u(line) WHERE u.line <> '')
+    SELECT lang, count(*) AS runs, min(n)::BIGINT AS min, quantile_disc(n, 0.5)::BIGINT AS median, quantile_disc(n, 0.99)::BIGINT AS p99, quantile_disc(n, 0.995)::BIGINT AS p99_5,
+    quantile_disc(n, 0.999)::BIGINT AS p99_9, max(n)::BIGINT AS max, round(avg(n), 6) AS avg FROM r GROUP BY lang"""
+)
+def run_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = line_runs(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return stats.run_sizes(runs, "lang").withColumn("avg", F.round("avg", 6))
+
+
+@query(f"WITH {_LINES_DUCK} SELECT doc_id, count(*) AS patch_count, sum(cut + length(text))::BIGINT AS op_count FROM changes GROUP BY doc_id")
+def patch_op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.counts(edits.in_current_coordinates(line_changes(spark, sf_dir)), "doc_id")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value) * 100 / avg(value), 6) AS sd_percent, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")
+def timing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.timings(read(spark, sf_dir, "events"), "value", "event_type")
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "sd_percent")})
+
+
+@query("SELECT user_id AS doc_id, count(*) AS patch_count, count(*) AS op_count, round(count(*) / greatest(sum(value), 1), 6) AS ops_per_s, round(count(*) / greatest(sum(value), 1), 6) AS patches_per_s FROM events GROUP BY user_id")
+def edit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "0L AS del", "'x' AS ins", "value")
+    counted = stats.counts(events, "doc_id").join(events.groupBy("doc_id").agg(F.greatest(F.sum("value"), F.lit(1)).alias("seconds")), "doc_id")
+    return stats.rates(counted, "seconds").select("doc_id", "patch_count", "op_count", *[F.round(c, 6).alias(c) for c in ("ops_per_s", "patches_per_s")])
+
+
+@query(f"WITH {DUCK_LOG}, ids AS (SELECT DISTINCT doc_id, anchor AS id FROM nodes WHERE anchor IS NOT NULL UNION SELECT doc_id, unnest(extra_deps) FROM nodes UNION SELECT doc_id, unnest(targets) FROM nodes) SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY id) - 1 AS place FROM ids")
+def id_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = graph.edges(event_nodes(spark, sf_dir)).select("doc_id", F.col("dep_id").alias("id")).distinct()
+    return named.withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY id) - 1").cast("long"))
+
+
+@query(
+    """WITH e AS (SELECT user_id AS doc_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type FROM events),
+    r AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM e WHERE event_type IN ('click', 'view'))
+    SELECT doc_id, min(n) AS first, max(n) AS last, count(*) AS length FROM r GROUP BY doc_id, island HAVING count(*) > 1"""
+)
+def remove_chain_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and views as removals of the character at their place: chains of adjacent removals become ranges."""
+    placed = read(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "event_type", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n").where("event_type IN ('click', 'view')")
+    islands = placed.withColumn("island", F.expr("n - row_number() OVER (PARTITION BY doc_id ORDER BY n)"))
+    return islands.groupBy("doc_id", "island").agg(F.min("n").cast("long").alias("first"), F.max("n").cast("long").alias("last"), F.count("*").alias("length")).where("length > 1").drop("island")
+
+
+@query(f"WITH {DUCK_LOG}, kinds AS (SELECT n.doc_id, coalesce(t.op, 'none') AS target FROM nodes n LEFT JOIN nodes t ON n.doc_id = t.doc_id AND n.targets[1] = t.node_id WHERE n.op = 'remove') SELECT doc_id, target, count(*) AS removes FROM kinds GROUP BY doc_id, target")
+def remove_target_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = event_nodes(spark, sf_dir)
+    removes = nodes.where("op = 'remove'").select("doc_id", F.get("targets", F.lit(0)).alias("node_id"))
+    kinds = removes.join(nodes.select(*graph.KEY, F.col("op").alias("target")), graph.KEY, "left").fillna("none", ["target"])
+    return kinds.groupBy("doc_id", "target").agg(F.count("*").alias("removes"))
+
+
+def sample_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of benchmark texts with a range removed and another text typed in."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return edits.replay(edited(items, (F.lit(1), F.lit(3), F.lit("abc")), (F.lit(2), F.lit(1), F.lit("")), (F.lit(0), F.lit(0), F.lit("Z"))))
+
+
+@query("SELECT item_id AS doc_id, true AS same, true AS same_bytes, 0 AS orphans FROM benchmark")
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots hold every operation, multi-character removals too, and the same state has the same bytes."""
+    nodes = saved(edits.expand(sample_log(spark, sf_dir)), "nodes")
+    packed = saved(codecs.encode_snapshots(nodes), "snapshots")
+    back = saved(codecs.decode_snapshots(packed), "decoded")
+    again = codecs.encode_snapshots(back.drop("orphan", "error")).select("doc_id", F.col("bytes").alias("again"))
+    side = lambda df, k: df.select("doc_id", "node_id", F.lit(k).alias("side"))
+    both = side(nodes, 1).unionByName(side(back.where("error IS NULL"), 2)).groupBy("doc_id", "node_id").agg(F.sum("side").alias("sides"))
+    same = both.groupBy("doc_id").agg(F.bool_and(F.col("sides") == 3).alias("same"))
+    orphans = back.groupBy("doc_id").agg(F.count_if("orphan").cast("int").alias("orphans"))
+    return same.join(packed, "doc_id").join(again, "doc_id").join(orphans, "doc_id").select("doc_id", "same", (F.col("bytes") == F.col("again")).alias("same_bytes"), "orphans")
+
+
+@query("SELECT item_id AS doc_id, substr(regexp_replace(text, '^(.)...', '\\1abc', 's'), 1, 0) || 'Z' || substr(text, 1, 1) || 'ac' || substr(text, 5) AS text FROM benchmark")
+def batch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches are written, read again and linearized."""
+    back = codecs.decode_batches(codecs.encode_batches(sample_log(spark, sf_dir))).where("error IS NULL").drop("orphan", "error")
+    return graph.text(saved(back, "decoded")).select("doc_id", "text")
+
+
+@query()
+def snapshot_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.section_bytes(codecs.encode_snapshots(edits.expand(sample_log(spark, sf_dir))))
+
+
+@query()
+def storage_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = saved(sample_log(spark, sf_dir), "records")
+    return stats.storage(codecs.encode_snapshots(edits.expand(log)), edits.linear_text(log))
+
+
+@query("SELECT item_id AS doc_id, length(text) AS nodes FROM benchmark")
+def blake3_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts replayed under the BLAKE3 profile: one distinct id for each character."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    nodes = edits.expand(edits.replay(edits.patches_of_text(items), "blake3"), "blake3")
+    return nodes.groupBy("doc_id").agg(F.countDistinct("node_id").alias("nodes"))
+
+
+@query("SELECT doc_id, 2 AS runs, length(text) AS chars FROM documents WHERE length(text) > 1 UNION ALL SELECT doc_id, 1, 1 FROM documents WHERE length(text) = 1")
+def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single operations folded back into runs: a root and one run for each typed text."""
+    nodes = edits.expand(edits.replay(edits.patches_of_text(documents(spark, sf_dir))))
+    return edits.compact(nodes).groupBy("doc_id").agg(F.count("*").cast("int").alias("runs"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("SELECT doc_id, true AS correct FROM documents")
+def replay_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return stats.correctness(texts_of(edits.patches_of_text(docs)), docs)
+
+
+@query("SELECT range AS doc_id, true AS correct FROM range(50)")
+def random_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random editing sessions against a plain list."""
+    patches, texts = random_edits(spark, 50, 2000, seed=7)
+    return stats.correctness(texts_of(patches), texts)
+
+
+@query("SELECT d.doc_id, CASE WHEN length(d.text) > 1 THEN length(d.text) // 2 END AS at FROM documents d WHERE length(d.text) > 1 AND substr(d.text, length(d.text) // 2 + 1, 1) <> '#'")
+def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts against themselves with one character replaced by ``#``."""
+    middle = F.floor(chars() / 2).cast("int")
+    docs = documents(spark, sf_dir).where((chars() > 1) & (F.expr("text").substr(middle + 1, F.lit(1)) != "#"))
+    changed = F.concat(F.expr("text").substr(F.lit(1), middle), F.lit("#"), F.expr("text").substr(middle + 2, chars()))
+    return graph.first_difference(docs.select("doc_id", F.col("text").alias("a"), changed.alias("b"))).withColumn("at", F.col("at").cast("long"))
