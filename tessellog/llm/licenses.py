@@ -50,7 +50,7 @@ TEMPLATES = [
 ]
 #: Anchors of a template at most.
 ANCHORS = 5
-#: Of a file's anchor places, those of the rarest words that are looked up, by template and word.
+#: Share of its anchors' weight that a template needs at one offset.
 MIN_SCORE = 0.6
 
 
@@ -160,3 +160,36 @@ def scan(docs: DataFrame) -> DataFrame:
         joined(F.concat("base", F.coalesce("own", F.array().cast("array<string>")))).alias("labels"),
         F.round(F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)), 6).alias("score"),
     )
+
+
+def _sql() -> str:
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    templates = ", ".join(f"({t}, '{label}', {quoted(text.split())}, {quoted(needed)})" for t, (label, text, needed) in enumerate(TEMPLATES))
+    phrase = lambda p: " AND ".join(f"{c} = '{w}'" for c, w in zip("abc", p.split()))
+    found = " UNION ALL ".join(f"SELECT row, pos, '{label}' AS label FROM three WHERE {phrase(p)}" for p, label in PHRASES)
+    return rf"""
+WITH split AS (SELECT row_number() OVER () AS row, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM split),
+three AS (SELECT row, pos, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY row ORDER BY pos)),
+places AS ({found}),
+based AS (SELECT row, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY row),
+templates(t, label, words, needed) AS (VALUES {templates}),
+tw AS (SELECT t, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS position FROM templates),
+df AS (SELECT word, count(DISTINCT row) AS n FROM words WHERE word IN (SELECT word FROM tw) GROUP BY word),
+idf AS (SELECT word, ln(((SELECT count(*) FROM split) + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word)),
+ranked AS (SELECT t, word, idf, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS nth FROM (SELECT DISTINCT t, word FROM tw) JOIN idf USING (word)),
+weights AS (SELECT t, word, idf / sum(idf) OVER (PARTITION BY t) AS weight FROM ranked WHERE nth <= {ANCHORS}),
+votes AS (SELECT row, t, pos - position AS shift, sum(weight) AS score FROM words JOIN (SELECT * FROM tw JOIN weights USING (t, word)) USING (word) GROUP BY ALL HAVING sum(weight) >= {MIN_SCORE}),
+checked AS (SELECT v.row, v.score, x.label FROM votes v JOIN templates x USING (t) JOIN split s USING (row)
+  WHERE len(list_filter(x.needed, lambda p: NOT contains(' ' || array_to_string(s.w, ' ') || ' ', ' ' || p || ' '))) = 0),
+own AS (SELECT row, list(DISTINCT label) AS own, max(score) AS score FROM checked GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ',') AS labels,
+  round(least(coalesce(score, 0), 1), 6) AS score
+FROM split LEFT JOIN based USING (row) LEFT JOIN own USING (row)
+"""
+
+
+SQL = _sql()

@@ -105,6 +105,7 @@ ORACLE_SQL = {
     "op4_url_filters": url_filters.SQL,
     "op6_mixing": mixing.SQL,
     "op7_quality": quality.SQL,
+    "op8_licenses": licenses.SQL,
     "op9_sharding": sharding.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
