@@ -44,20 +44,22 @@ class Peer:
     def _load(self) -> None:
         doc = self.doc = document.Document(self.profile)
         used: set[bytes] = set()
+        gone: set[bytes] = set()
         for n in self.nodes.values():
             used.update(n[4], n[5], [n[2]] if n[2] else [])
-            doc.removed.update(n[5])
-            if n[1] != "remove":
-                doc.op[n[0]] = (n[1], n[2], n[3])
-        doc.tips = set(self.nodes) - used
-        for record in document.compact(list(self.nodes.values())):
-            if record["kind"] != "remove":
-                run = len(doc.run_head)
-                doc.run_head.append(record["rec_id"])
-                chain = document.expand([record], self.profile) if record["kind"] == "run" else [(record["rec_id"],)]
-                doc.run_of.update((x[0], (run, i)) for i, x in enumerate(chain))
-        placed, _ = document.order((n, op, anchor) for n, (op, anchor, _) in doc.op.items())
-        doc.visible = document.Blocks(n for n in placed if n not in doc.removed)
+            gone.update(n[5])
+        doc.other_tips = set(self.nodes) - used
+        place: dict[bytes, int] = {}
+        chains = [r for r in document.compact(list(self.nodes.values())) if r["kind"] != "remove"]
+        for c, r in enumerate(chains):
+            ids = [n[0] for n in document.expand([r], self.profile)]
+            doc.chains.append(document.Chain("after" if r["kind"] == "run" else r["kind"], None, r["text"], ids))
+            doc.heads.add(ids[0])
+            place.update((x, (c << document.SHIFT) + k) for k, x in enumerate(ids))
+        for chain, r in zip(doc.chains, chains):
+            chain.anchor = place.get(r["anchor"])
+        doc.removed = {place[x] for x in gone if x in place}
+        doc.reorder()
 
     @property
     def text(self) -> str:

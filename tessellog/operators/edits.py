@@ -129,11 +129,8 @@ def linear_text(records: DataFrame) -> DataFrame:
     """
 
     def fold(group: pa.Table) -> pa.Table:
-        nodes = {n[0]: n for n in document.expand(map(_raw, group.to_pylist()))}.values()  # runs of two sites may share a beginning
-        gone = {t for *_, targets in nodes for t in targets}
-        chars = {n: ch for n, op, _, ch, _, _ in nodes if op != "remove"}
-        placed, _ = document.order((n, op, a) for n, op, a, *_ in nodes if op != "remove")
-        text = "".join(chars[n] for n in placed if n not in gone)
+        rows = [_raw(r) | {"rec_id": bytes.fromhex(r["rec_id"])} for r in group.to_pylist()]
+        text = document.render(rows)
         return pa.table({"doc_id": [group["doc_id"][0].as_py()], "text": [text], "length": pa.array([len(text)], pa.int64())})
 
     return records.groupBy("doc_id").applyInArrow(fold, "doc_id long, text string, length long")

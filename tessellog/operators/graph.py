@@ -203,6 +203,7 @@ def causally_after(order: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def first_difference(pairs: DataFrame) -> DataFrame:
     """(doc_id, at): the first position where texts ``a`` and ``b`` differ; null if they are equal."""
-    n = F.greatest(F.char_length("a"), F.char_length("b"))
-    at = F.array_min(F.filter(F.sequence(F.lit(1), n), lambda i: F.expr("a").substr(i, F.lit(1)) != F.expr("b").substr(i, F.lit(1))))
-    return pairs.select("doc_id", F.when(~F.col("a").eqNullSafe(F.col("b")), at - 1).alias("at"))
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    zipped = F.arrays_zip(chars("a").alias("a"), chars("b").alias("b"))
+    at = F.array_position(F.transform(zipped, lambda z: ~z["a"].eqNullSafe(z["b"])), True)
+    return pairs.select("doc_id", F.when(~F.col("a").eqNullSafe(F.col("b")), (at - 1).cast("long")).alias("at"))

@@ -142,6 +142,24 @@ def test_edits_after_a_merge_hit_what_the_text_shows(seed):
     assert again.text == m.text and again == m and not again.orphans
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_rendering_equals_the_text_of_all_operations(seed):
+    """Also where sites' logs cut the same characters into different runs."""
+    rnd = random.Random(seed)
+    sha = document.PROFILES["sha256"]
+    records = []
+    for p in sites(seed, 3) + sites(7, 1):
+        nodes = list(p.nodes.values())
+        records += document.compact(nodes) + document.compact(rnd.sample(nodes, len(nodes) * 2 // 3))
+    typed = "abcabcabcd"
+    for cut in (3, 6, 10):
+        doc = document.Document()
+        doc.insert(0, typed[:cut] + "xyz"[: rnd.randrange(4)])
+        records += doc.records
+    assert document.render(records) == document.by_character(records, "sha256")
+    assert {r["rec_id"] for r in document.apart(records, sha)} >= {r["rec_id"] for r in records}
+
+
 def test_orphans_drain():
     root = next(document.expand([{"kind": "root", "anchor": None, "text": "b", "extra_deps": [], "targets": []}]))
     after, before = (next(document.expand([{"kind": k, "anchor": root[0], "text": "a", "extra_deps": [], "targets": []}])) if k == "before" else next(document.expand([{"kind": "run", "anchor": root[0], "text": "a", "extra_deps": [], "targets": []}])) for k in ("after", "before"))
