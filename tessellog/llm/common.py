@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +82,28 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     few = dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     on = [docs[c].eqNullSafe(dropped[n]) for c, n in zip(keys, names, strict=True)]
     return docs.join(F.broadcast(dropped) if few else dropped, on, "left_anti")
+
+
+#: Bytes of text that a worker takes at a time from an Arrow batch.
+PART_BYTES = 400_000
+_BATCH_SETTING, _BATCH_DEFAULT, _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends text to Python workers in batches of 8 MB, unless the session has a setting of its own.
+
+    A batch exists in the JVM and in the worker at once, for every task of an executor.
+    """
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, _BATCH)
+
+
+def parts(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``PART_BYTES`` bytes of text each; a longer text is a slice of its own."""
+    if not batch.num_rows:
+        return
+    size = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0)).astype(np.int64) for c in texts)
+    part = np.cumsum(size) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield batch.slice(lo, hi - lo)

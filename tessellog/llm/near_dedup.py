@@ -5,11 +5,11 @@ join runs over classes, so copies of one text cost one entry.  ``TREES`` indepen
 trees branch the classes: on each level a node's classes part by their next minwise
 token, so two sets stay together with the probability of their similarity, and
 unrelated ones part at once.  Nodes of at most ``LEAF`` classes are compared
-exhaustively; larger ones compare all to one pivot, and branch on.  What is in one
-component already is not compared again, so a large group of near copies is settled
-by its pivots and drops out.  Nodes that are still large and mixed after ``DEPTH``
-levels compare the classes outside the pivot's component, as queries, to all
-others, block by block; so nothing is cut off.
+exhaustively; larger ones branch on, after the first level has compared all to a few
+pivots, twice.  What is in one component already is not compared again, so most of a
+large group of near copies is settled by pivots and drops out.  Nodes that are still
+large and mixed after ``DEPTH`` levels compare the classes outside the main component,
+as queries, to all others, block by block and on full sets; so nothing is cut off.
 
 A comparison first looks at the sets' sizes and at 64 one-byte minwise values, which
 keep a pair at the threshold with a probability above 0.99999; every link is then
@@ -32,46 +32,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import without, written
+from .common import parts, small_batches, without, written
 from .components import components
 
 TREES = 12
 DEPTH = 3
 LEAF = 64
+#: Classes that the others of a large node are compared with.
+PIVOTS = 4
+#: Shingles (8 bytes each) that a block of a large node has, about.
+BLOCK_SHINGLES = 150_000
 SKETCH = 64
 #: Equal bytes of two sketches from which a pair is confirmed on its full sets.
 AGREE = 35
-CHUNK_CHARS = 2_000_000
 #: Up to this many classes (about 40 bytes each) are broadcast to find their texts; beyond, the join is shuffled.
 BROADCAST_CLASSES = 200_000
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= CHUNK_CHARS:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, cls, path, sketch) for every row: set size, fingerprint, minwise tokens of the trees, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in _chunks(texts):
-                m = hi - lo
-                h, o = shingles.sets(texts[lo:hi], k)
+            for part in parts(batch, "text"):
+                m = part.num_rows
+                h, o = shingles.sets(part.column(1).to_pylist(), k)
                 low = shingles.minima(h, o, m, max(SKETCH, TREES * DEPTH))
                 path = pa.FixedSizeListArray.from_arrays(pa.array(low[:, : TREES * DEPTH].astype(np.int64).ravel()), TREES * DEPTH)
                 sketch = [row.tobytes() for row in low[:, :SKETCH].astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, m),
+                        part.column(0),
                         pa.array(shingles.sizes(o, m)),
                         pa.array(shingles.fingerprints(h, o, m), pa.binary()),
                         path.cast(pa.list_(pa.int64())),
@@ -90,14 +81,15 @@ def _similar(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, pe
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+    """The sketches of an Arrow column, which are of one length each, without a copy."""
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[: (column.offset + len(column)) * SKETCH].reshape(-1, SKETCH)[column.offset :]
 
 
 def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) within each row's ``members`` that are of two components.
 
-    Members: (num, label, n, sketch, ask, row).  Where ``ask`` and ``row`` are both
-    true for all, every pair is compared; else a pair needs one of each.
+    Members: (num, label, n, sketch, tree, keys); all pairs are compared.  ``keys`` holds the member's node in every tree (0: none that is compared now); a
+    pair that meets in several trees is given by the first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +97,21 @@ def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
             lists = batch.column(0)
             sizes = np.asarray(lists.value_lengths())
             flat = lists.flatten()
-            num, label, n = (np.asarray(flat.field(c)) for c in ("num", "label", "n"))
-            sketch, ask, row = _sketches(flat.field("sketch")), *(np.asarray(flat.field(c).to_pylist(), dtype=bool) for c in ("ask", "row"))
+            num, label, n, tree = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("num", "label", "n", "tree"))
+            sketch = _sketches(flat.field("sketch"))
+            keys = flat.field("keys").flatten().to_numpy().reshape(-1, TREES)
             left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(num)) - 1  # members of the list that follow
             for step in range(1, int(sizes.max(initial=0))):
                 i = np.flatnonzero(left >= step)
-                for part in np.array_split(i, len(i) // 200_000 + 1):
+                for part in np.array_split(i, len(i) // 50_000 + 1):
                     j = part + step
-                    use = (label[part] != label[j]) & ((ask[part] & row[j]) | (row[part] & ask[j]))
+                    use = label[part] != label[j]
                     a, b = part[use], j[use]
                     near = _similar(n, sketch, a, b, percent)
-                    a, b = num[a[near]], num[b[near]]
+                    a, b = a[near], b[near]
+                    met = (keys[a] == keys[b]) & (keys[a] != 0) & (np.arange(TREES) < tree[a][:, None])
+                    first = ~met.any(axis=1)
+                    a, b = num[a[first]], num[b[first]]
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -136,34 +132,104 @@ def near_filter(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs of classes that are linked, by their full shingle sets."""
-    ends = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct()
+def found_texts(ends: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(num, text): a text of each of the classes ``ends`` (num)."""
     wanted = written(ends.join(classes.select("num", "cls", "cid"), "num"), "wanted")
     few = wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     own = docs.select(F.col("doc_id").cast("long").alias("cid"), "text")
 
     def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cls = batch.column("text").to_pylist(), batch.column("cls").to_pylist()
-            keep = []
-            for lo, hi in _chunks(texts):
-                prints = shingles.fingerprints(*shingles.sets(texts[lo:hi], k), hi - lo)
-                keep += [a == b for a, b in zip(prints, cls[lo:hi], strict=True)]
-            yield batch.select(["num", "text"]).filter(pa.array(keep, pa.bool_()))
+            for part in parts(batch, "text"):
+                prints = shingles.fingerprints(*shingles.sets(part.column("text").to_pylist(), k), part.num_rows)
+                keep = [a == b for a, b in zip(prints, part.column("cls").to_pylist(), strict=True)]
+                yield part.select(["num", "text"]).filter(pa.array(keep, pa.bool_()))
 
     found = own.join(F.broadcast(wanted) if few else wanted, "cid").select("num", "cls", "text").mapInArrow(matching, "num long, text string")
     # A repeated row, or one of equal shingles and another text under one id, gives a second text of the class.
-    texts = written(found.groupBy("num").agg(F.min("text").alias("text")), "texts")
+    return written(found.groupBy("num").agg(F.min("text").alias("text")), "texts")
+
+
+def shingle_sets(k: int):
+    """A map from (num, text) to (num, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "text"):
+                h, o = shingles.sets(part.column("text").to_pylist(), k)
+                ends = np.concatenate([[0], np.cumsum(shingles.sizes(o, part.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("num"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["num", "shingles"])
+
+    return run
+
+
+def _overlaps(values: np.ndarray, owner: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """Intersection sizes of each asking set with each other set of a cell; ``owner`` is ascending."""
+    _, ids, counts = np.unique(values, return_inverse=True, return_counts=True)
+    use = counts[ids] > 1
+    place = np.cumsum(counts > 1) - 1  # shared shingles, numbered
+    ids, owner = place[ids[use]], owner[use]
+    row = np.where(ask, np.cumsum(ask) - 1, np.cumsum(~ask) - 1)
+    out = np.zeros((int(ask.sum()), int((~ask).sum())), dtype=np.float32)
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, 2048):
+        a, b = np.searchsorted(ids, [lo, lo + 2048])
+        own, column = owner[a:b], ids[a:b] - lo
+        sides = []
+        for which, n in ((ask[own], out.shape[0]), (~ask[own], out.shape[1])):
+            m = np.zeros((n, 2048), dtype=np.float32)
+            m[row[own[which]], column[which]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between asking members of each cell and its others, as many as join their components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column(0):
+                flat = members.values
+                num, label, ask = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("num", "label", "ask"))
+                lists = flat.field("shingles")
+                size = np.asarray(lists.value_lengths()).astype(np.int64)
+                ask = ask.astype(bool)
+                both = _overlaps(lists.flatten().to_numpy(), np.repeat(np.arange(len(num)), size), ask)
+                asks, rows = np.flatnonzero(ask), np.flatnonzero(~ask)
+                near = 100 * both >= percent * (size[asks][:, None] + size[rows][None, :] - both)
+                near &= label[asks][:, None] != label[rows][None, :]
+                i, j = (x[y] for x, y in zip((asks, rows), np.nonzero(near)))
+                _, first = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, dtype=int))
+                root: dict[int, int] = {}
+
+                def top(x: int, root: dict[int, int] = root) -> int:
+                    while root.setdefault(x, x) != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                found = []
+                for x, y in zip(i[first].tolist(), j[first].tolist()):
+                    a, b = top(int(label[x])), top(int(label[y]))
+                    if a != b:
+                        root[a] = b
+                        found.append((int(min(num[x], num[y])), int(max(num[x], num[y]))))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return cells.select("members").mapInArrow(run, "a long, b long").distinct()
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the candidate pairs of classes that are linked, by their full shingle sets."""
+    texts = found_texts(pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct(), classes, docs, k)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            keep = []
-            for lo, hi in _chunks([(x or "") + (y or "") for x, y in zip(a, b, strict=True)]):
-                n_a, n_b, both = shingles.common(a[lo:hi], b[lo:hi], k)
-                keep += (100 * both >= percent * (n_a + n_b - both)).tolist()
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in parts(batch, "text_a", "text_b"):
+                n_a, n_b, both = shingles.common(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), k)
+                yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * (n_a + n_b - both)))
 
     joined = (
         pairs.join(texts.select(F.col("num").alias("a"), F.col("text").alias("text_a")), "a")
@@ -192,67 +258,109 @@ class _Join:
         candidates = written(candidates, "candidates")
         if candidates.isEmpty():
             return
-        fresh = written(confirm(candidates, self.classes, self.docs, self.k, self.percent), "confirmed")
+        self.link(confirm(candidates, self.classes, self.docs, self.k, self.percent))
+
+    def link(self, confirmed: DataFrame) -> None:
+        """Takes links in: what they join of the components so far is joined, by a graph of those alone."""
+        fresh = written(confirmed, "confirmed")
         self.links.append(fresh)
-        every = self.links[0]
-        for part in self.links[1:]:
+        one = self.labelled(fresh.withColumnRenamed("a", "num")).select(F.col("label").alias("a"), F.col("b").alias("num"))
+        ends = self.labelled(one).select("a", F.col("label").alias("b")).where("a <> b").distinct()
+        moved = components(ends)
+        if self.labels is None:
+            self.labels = moved
+            return
+        to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        old = self.labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        self.labels = written(old.union(moved.join(self.labels, "node", "left_anti")), "labels")
+
+    def degrees(self) -> DataFrame:
+        """(num, degree): how many links of a class were found so far."""
+        ends = [part.select(F.col(c).alias("num")) for part in self.links for c in ("a", "b")]
+        every = ends[0] if ends else self.classes.select("num").limit(0)
+        for part in ends[1:]:
             every = every.union(part)
-        self.labels = components(every)
+        return every.groupBy("num").agg(F.count("*").alias("degree"))
 
     def stars(self, nodes: DataFrame) -> None:
-        """Compares the classes of each node with its pivot."""
-        pairs = nodes.where("num <> pivot AND label <> pivot_label").select(F.col("pivot").alias("a"), F.col("num").alias("b")).distinct()
+        """Compares the classes of each node with its pivots: one, or ``PIVOTS`` in a large node.
+
+        A pivot is, of its share of the node, the class with the most links so far; so
+        in a cloud of copies the middle comes up.
+        """
+        large = F.col("size") > LEAF
+        ranked = nodes.join(self.degrees(), "num", "left").select(
+            "key",
+            F.when(large, F.pmod(F.xxhash64("num", "key"), F.lit(PIVOTS))).otherwise(0).alias("share"),
+            F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.when(large, F.xxhash64("key", "num")).otherwise(-F.col("num")).alias("draw"), "num", "label").alias("best"),
+        )
+        pivots = ranked.groupBy("key", "share").agg(F.max("best").alias("best")).select("key", F.col("best.num").alias("pivot"), F.col("best.label").alias("pivot_label"))
+        met = nodes.join(pivots, "key").where("num <> pivot AND label <> pivot_label")
+        pairs = met.select(F.least("pivot", "num").alias("a"), F.greatest("pivot", "num").alias("b")).distinct()
         one = self.sketches.select(F.col("num").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
         two = self.sketches.select(F.col("num").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
         self.add(near_filter(pairs.join(two, "b").join(one, "a"), self.percent))
 
     def leaves(self, nodes: DataFrame) -> None:
-        """Compares all classes of each node (key, num, label, ask, row)."""
-        with_sketch = nodes.join(self.sketches, "num")
-        member = F.struct("num", "label", "n", "sketch", "ask", "row")
-        self.add(leaf_pairs(with_sketch.groupBy("key").agg(F.collect_list(member).alias("members")), self.percent))
+        """Compares all classes of each node (key, num, label, tree)."""
+        slots = F.array(*[F.coalesce(F.max(F.when(F.col("tree") == t, F.col("key"))), F.lit(0)).cast("long") for t in range(TREES)])
+        keys = nodes.groupBy("num").agg(slots.alias("keys"))
+        full = nodes.join(self.sketches, "num").join(keys, "num")
+        member = F.struct("num", "label", "n", "sketch", "tree", "keys")
+        self.add(leaf_pairs(full.groupBy("key").agg(F.collect_list(member).alias("members")), self.percent))
 
     def mixed(self, nodes: DataFrame) -> DataFrame:
-        """The rows of nodes (key, num) with several components, with the node's size, pivot and the row's component."""
+        """The rows of nodes (key, num) with several components, with the node's size and the row's component."""
         own = self.labelled(nodes.select("key", "num"))
-        stats = own.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("num", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"))
-        stats = stats.where("low <> high").select("key", "size", F.col("first.num").alias("pivot"), F.col("first.label").alias("pivot_label"))
-        return written(own.join(stats, "key"), "nodes")
+        stats = own.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+        return written(own.join(stats.where("low <> high").select("key", "size"), "key"), "nodes")
 
     def blocks(self, nodes: DataFrame) -> None:
-        """Compares, in large nodes, what is outside the pivot's component with all, in blocks."""
-        asks = nodes.where("label <> pivot_label")
-        counted = asks.groupBy("key").agg(F.count("*").alias("n_ask"))
-        nodes = nodes.join(counted, "key")
-        grid = [("rows", "size", nodes), ("asks", "n_ask", nodes.where("label <> pivot_label"))]
-        parts = []
-        for (kind, own, rows), other in zip(grid, ("n_ask", "size"), strict=True):
-            block = F.pmod(F.xxhash64("num"), F.ceil(F.col(own) / (LEAF / 2)))
-            across = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(other) / (LEAF / 2)) - 1))
-            placed = rows.select("key", "num", "label", block.cast("long").alias("x"), across.alias("y"))
-            row, ask = ("x", "y") if kind == "rows" else ("y", "x")
-            parts.append(placed.select(F.xxhash64("key", row, ask).alias("key"), "num", "label", F.lit(kind == "asks").alias("ask"), F.lit(kind == "rows").alias("row")))
-        self.leaves(parts[0].union(parts[1]))
+        """Compares, in large nodes, what is outside the main component with all, in blocks, on full sets.
+
+        The main component is that of the class with the most links.  A block holds
+        about ``BLOCK_SHINGLES`` shingles; every block of the outside meets every
+        block of the node in a cell of its own.
+        """
+        own = nodes.join(self.degrees(), "num", "left").join(self.sketches.select("num", "n"), "num")
+        best = own.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "label")).alias("best"))
+        own = own.join(best.select("key", F.col("best.label").alias("main")), "key").withColumn("ask", F.col("label") != F.col("main"))
+        count = lambda c: F.ceil(F.sum(c) / BLOCK_SHINGLES).cast("long")
+        grid = own.groupBy("key").agg(count(F.col("n")).alias("rows"), count(F.when(F.col("ask"), F.col("n"))).alias("asks"))
+        own = written(own.join(grid, "key").select("key", "num", "label", "ask", "rows", "asks"), "blocks")
+        sides = []
+        for ask, members, mine, other in ((False, own, "rows", "asks"), (True, own.where("ask"), "asks", "rows")):
+            block = F.pmod(F.xxhash64("num"), F.col(mine))
+            placed = members.select("key", "num", "label", block.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("y"))
+            cell = F.struct("key", "y", "x") if ask else F.struct("key", "x", "y")
+            sides.append(placed.select(F.xxhash64(cell).alias("cell"), "num", "label", F.lit(ask).alias("ask")))
+        ends = own.select("num").distinct()
+        sets = found_texts(ends, self.classes, self.docs, self.k).mapInArrow(shingle_sets(self.k), "num long, shingles array<long>")
+        full = sides[0].union(sides[1]).join(written(sets, "sets"), "num")
+        cells = full.groupBy("cell").agg(F.collect_list(F.struct("num", "label", "ask", "shingles")).alias("members"))
+        self.link(cell_links(cells, self.percent))
 
     def run(self) -> None:
         parted = F.expr(f"posexplode(transform(sequence(0, {TREES - 1}), t -> path[t * {DEPTH}]))")
         first = self.classes.where("n > 0").select("num", parted).select((F.col("pos").cast("long") * (1 << 32) + F.col("col")).alias("key"), "num")
         nodes = self.mixed(first)
         for depth in range(DEPTH):
-            self.stars(nodes)
-            nodes = self.mixed(nodes) if self.labels is not None else nodes
-            small = nodes.where(f"size <= {LEAF}")
-            yes = F.lit(True)
-            self.leaves(small.select("key", "num", "label", yes.alias("ask"), yes.alias("row")))
-            large = nodes.where(f"size > {LEAF}")
+            if depth == 0:
+                self.stars(nodes)
+                nodes = self.mixed(nodes)
+                self.stars(nodes.where(f"size > {LEAF}"))
+                nodes = self.mixed(nodes)
+            treed = nodes.withColumn("tree", self.tree_of(depth).cast("int"))
+            small, large = treed.where(f"size <= {LEAF}"), treed.where(f"size > {LEAF}")
+            self.leaves(small)
             if large.isEmpty():
                 return
             if depth + 1 < DEPTH:
-                token = F.expr(f"path[cast(tree as int) * {DEPTH} + {depth + 1}]")
-                deeper = large.select("num", "key", self.tree_of(depth).alias("tree"))
-                branched = deeper.join(self.classes.select("num", "path"), "num").select(self.child(depth, token).alias("key"), "num")
-                nodes = self.mixed(branched)
-        self.blocks(self.mixed(nodes.where(f"size > {LEAF}")))
+                token = F.expr(f"path[tree * {DEPTH} + {depth + 1}]")
+                branched = large.select("num", "key", "tree").join(self.classes.select("num", "path"), "num")
+                nodes = self.mixed(branched.select(self.child(token).alias("key"), "num"))
+            else:
+                self.blocks(self.mixed(large))
 
     @staticmethod
     def tree_of(depth: int):
@@ -260,7 +368,7 @@ class _Join:
         return F.shiftright("key", 32) if depth == 0 else F.shiftrightunsigned("key", 58)
 
     @staticmethod
-    def child(depth: int, token):
+    def child(token):
         """A child's key: its tree in the upper six bits, a hash of its path below."""
         return F.col("tree").cast("long") * (1 << 58) + F.shiftrightunsigned(F.xxhash64("key", token), 6)
 
@@ -279,6 +387,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ``n_links`` counts the links that join the row's class to others; it leaves out
     those between classes that other links had joined before.
     """
+    small_batches(docs.sparkSession)
     rows = written(signatures(docs, k), "signatures")
     classes = classes_of(rows)
     join = _Join(classes, docs.select("doc_id", "text"), k, percent)
