@@ -80,25 +80,25 @@ def invalid(nodes: DataFrame) -> DataFrame:
 def waiting(log: DataFrame) -> DataFrame:
     """(doc_id, node_id) of operations that lack a dependency, or depend on one that waits or is invalid.
 
-    Each round follows dependencies one level on, in a table of its own; the last
+    Each round follows dependencies two levels on, in a table of its own; the last
     round finds nothing new.
     """
     links = saved(deps(log), "deps")
     start = missing(log).select(*KEY).union(invalid(log).select(*KEY)).distinct()
     fresh = all_waiting = saved(start, "waiting")
     while not fresh.isEmpty():
-        on = fresh.select("doc_id", F.col("node_id").alias("dep_id"))
-        reached = links.join(on, ["doc_id", "dep_id"], "left_semi").select(*KEY).distinct()
-        fresh = saved(reached.join(all_waiting, KEY, "left_anti"), "waiting")
+        on = lambda nodes: links.join(nodes.select("doc_id", F.col("node_id").alias("dep_id")), ["doc_id", "dep_id"], "left_semi").select(*KEY)
+        near = on(fresh)
+        fresh = saved(near.union(on(near)).distinct().join(all_waiting, KEY, "left_anti"), "waiting")
         all_waiting = all_waiting.union(fresh)
     return all_waiting
 
 
 def admit(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(admitted, pending, invalid) parts of a log in any order, with repetitions."""
-    log = log.dropDuplicates(KEY)
+    log = saved(log.dropDuplicates(KEY), "log")
     bad = invalid(log)
-    held = waiting(log)
+    held = saved(waiting(log), "held")
     return log.join(held, KEY, "left_anti"), log.join(held, KEY, "left_semi").join(bad.select(*KEY), KEY, "left_anti"), bad
 
 
