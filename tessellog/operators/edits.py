@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessellog.functions import document
+from tessellog.functions.hashing import PROFILES, preimage
 from tessellog.functions.schemas import NODES, RECORDS
 
 _IDS = pa.list_(pa.string())
@@ -83,13 +84,26 @@ def expand(records: DataFrame, profile: str = "sha256") -> DataFrame:
     """One row for each operation; ids are recomputed, never trusted.  No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = PROFILES[profile]
         for batch in batches:
+            columns: list[list] = [[] for _ in _NODES]
             for row in batch.to_pylist():
-                rows = [
-                    {"doc_id": row["doc_id"], "node_id": n.hex(), "op": op, "anchor": _hex(a), "ch": ch, "extra_deps": [x.hex() for x in extra], "targets": [x.hex() for x in targets]}
-                    for n, op, a, ch, extra, targets in document.expand([_raw(row)], profile)
-                ]
-                yield from pa.Table.from_pylist(rows, schema=_NODES).to_batches(max_chunksize=50_000)
+                raw, text = _raw(row), row["text"] or ""
+                extra, targets = (sorted(set(row[c] or ())) for c in ("extra_deps", "targets"))
+                chained = raw["kind"] == "run"
+                op = "after" if chained else raw["kind"]
+                ids = [sha(preimage(op, raw["anchor"], text[:1], raw["extra_deps"], raw["targets"]))]
+                if chained:
+                    document.follow(ids, text, len(text) - 1, sha)
+                names, more = [x.hex() for x in ids], len(ids) - 1
+                own = ([row["doc_id"]] * len(ids), names, [op] * len(ids), [row["anchor"], *names[:-1]], list(text) if chained else [row["text"]], [extra, *[[]] * more], [targets, *[[]] * more])
+                for column, values in zip(columns, own, strict=True):
+                    column += values
+                if len(columns[0]) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NODES)], schema=_NODES)
+                    columns = [[] for _ in _NODES]
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NODES)], schema=_NODES)
 
     return records.select("doc_id", "rec_id", "kind", "anchor", "text", "extra_deps", "targets").mapInArrow(run, NODES)
 
@@ -98,8 +112,10 @@ def compact(nodes: DataFrame) -> DataFrame:
     """Records of each document's operations, with every chain folded into one run."""
 
     def fold(group: pa.Table) -> pa.Table:
-        rows = [_raw(r) for r in group.to_pylist()]
-        found = document.compact([(bytes.fromhex(r["node_id"]), r["op"], r["anchor"], r["ch"], r["extra_deps"], r["targets"]) for r in rows])
+        raw = bytes.fromhex
+        ids, ops, anchors, chars, extra, targets = (group[c].to_pylist() for c in ("node_id", "op", "anchor", "ch", "extra_deps", "targets"))
+        sets = lambda column: [[raw(x) for x in xs] if xs else [] for xs in column]
+        found = document.compact(list(zip(map(raw, ids), ops, [raw(a) if a else None for a in anchors], chars, sets(extra), sets(targets))))
         return _record_table(group["doc_id"][0].as_py(), found)
 
     return nodes.groupBy("doc_id").applyInArrow(fold, RECORDS)
