@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     ranks, pattern = queries.vocabulary("byte_bpe_multi_50k.tiktoken"), queries.pattern()
-    coded = bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "source", "text"), ranks, pattern), ranks, pattern)
+    coded = bpe_codec.round_trip(docs.select("doc_id", "source", "text"), ranks, pattern)
     return coded.select(
         "doc_id",
         "source",

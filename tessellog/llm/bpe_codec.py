@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped, parts, small_batches
+
 #: Characters that stand for bytes 0 to 255; none of them has a meaning to sentencepiece.
 ALPHABET = [chr(0x100 + b) for b in range(256)]
 #: Pre-tokens whose ids a worker remembers; beyond, it forgets them all and goes on.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 #: Characters of text that are split and encoded at a time; a longer text is a chunk of its own.
 CHUNK_CHARS = 1_000_000
 
@@ -124,17 +126,18 @@ def _with_column(df: DataFrame, source: str, target: str, make, work) -> DataFra
 
     A column that has the name already is replaced.
     """
+    small_batches(df.sparkSession)
     df = df.select(*[F.col(c) for c in df.columns if c != target])
     at = df.columns.index(source)
     schema = T.StructType([*df.schema.fields, T.StructField(target, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = make()
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, source)):
             values = pa.array(work(tool, batch.column(at).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, target])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -155,3 +158,21 @@ def decode(df: DataFrame, rank_file: bytes, pattern: str, ids: str = "token_ids"
         return [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in values]
 
     return _with_column(df, ids, decoded, lambda: read_ranks(shared.value), work)
+
+
+def round_trip(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """Adds what ``encode`` and then ``decode`` add, by one worker for each task."""
+    small_batches(df.sparkSession)
+    df = df.select(*[F.col(c) for c in df.columns if c not in (ids, decoded)])
+    at = df.columns.index(text)
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BinaryType())])
+    shared = df.sparkSession.sparkContext.broadcast((rank_file, pattern))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = ByteBpe(*shared.value)
+        for batch in (p for b in batches for p in parts(b, text)):
+            encoded = codec.encode_all(batch.column(at).to_pylist())
+            back = [codec.decode(x) for x in encoded]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encoded, pa.binary()), pa.array(back, pa.binary())], names=[*batch.schema.names, ids, decoded])
+
+    return mapped(df, run, schema)

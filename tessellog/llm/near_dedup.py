@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import parts, small_batches, without, written
+from .common import mapped, parts, small_batches, without, written
 from .components import components
 
 TREES = 12
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     names=["doc_id", "n", "cls", "path", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls binary, path array<long>, sketch binary")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, cls binary, path array<long>, sketch binary")
 
 
 def _similar(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -115,7 +115,7 @@ def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return leaves.select("members").mapInArrow(run, "a long, b long").distinct()
+    return mapped(leaves.select("members"), run, "a long, b long").distinct()
 
 
 def near_filter(pairs: DataFrame, percent: int) -> DataFrame:
@@ -129,7 +129,7 @@ def near_filter(pairs: DataFrame, percent: int) -> DataFrame:
             near = _similar(n, sketch, np.arange(m), np.arange(m) + m, percent)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return mapped(pairs, run, "a long, b long")
 
 
 def found_texts(ends: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -145,7 +145,7 @@ def found_texts(ends: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
                 keep = [a == b for a, b in zip(prints, part.column("cls").to_pylist(), strict=True)]
                 yield part.select(["num", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    found = own.join(F.broadcast(wanted) if few else wanted, "cid").select("num", "cls", "text").mapInArrow(matching, "num long, text string")
+    found = mapped(own.join(F.broadcast(wanted) if few else wanted, "cid").select("num", "cls", "text"), matching, "num long, text string")
     # A repeated row, or one of equal shingles and another text under one id, gives a second text of the class.
     return written(found.groupBy("num").agg(F.min("text").alias("text")), "texts")
 
@@ -218,7 +218,7 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return cells.select("members").mapInArrow(run, "a long, b long").distinct()
+    return mapped(cells.select("members"), run, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -236,7 +236,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
         .join(texts.select(F.col("num").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return joined.mapInArrow(linked, "a long, b long")
+    return mapped(joined, linked, "a long, b long")
 
 
 class _Join:
@@ -335,7 +335,7 @@ class _Join:
             cell = F.struct("key", "y", "x") if ask else F.struct("key", "x", "y")
             sides.append(placed.select(F.xxhash64(cell).alias("cell"), "num", "label", F.lit(ask).alias("ask")))
         ends = own.select("num").distinct()
-        sets = found_texts(ends, self.classes, self.docs, self.k).mapInArrow(shingle_sets(self.k), "num long, shingles array<long>")
+        sets = mapped(found_texts(ends, self.classes, self.docs, self.k), shingle_sets(self.k), "num long, shingles array<long>")
         full = sides[0].union(sides[1]).join(written(sets, "sets"), "num")
         cells = full.groupBy("cell").agg(F.collect_list(F.struct("num", "label", "ask", "shingles")).alias("members"))
         self.link(cell_links(cells, self.percent))

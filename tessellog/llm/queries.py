@@ -32,7 +32,7 @@ def pattern() -> str:
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_codec.decode(bpe_codec.encode(docs, ranks, pattern()).drop("text"), ranks, pattern())
+    coded = bpe_codec.round_trip(docs, ranks, pattern())
     return coded.select(
         "doc_id",
         F.expr("cast(octet_length(token_ids) / 4 as bigint)").alias("n_tokens"),

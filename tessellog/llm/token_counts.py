@@ -26,7 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEMO_ENTRIES = 300_000
+from .common import mapped, parts, small_batches
+
+#: Pre-tokens whose counts a worker remembers; beyond, it forgets them all and goes on.
+MEMO_ENTRIES = 150_000
+#: Characters of text that are split and counted at a time; a longer text is a chunk of its own.
 CHUNK_CHARS = 1_000_000
 NONE = np.int64(1) << 60
 SPACE = "▁"
@@ -207,6 +211,7 @@ def count_tokens(df: DataFrame, model: bytes, text: str = "text", count: str = "
 
     A column that has the name already is replaced; the others pass through.
     """
+    small_batches(df.sparkSession)
     df = df.select(*[F.col(c) for c in df.columns if c != count])
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(count, T.LongType())])
@@ -214,8 +219,8 @@ def count_tokens(df: DataFrame, model: bytes, text: str = "text", count: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(shared.value)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, text)):
             counts = pa.array(counter.count_all(batch.column(at).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, count])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)

@@ -31,18 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped, parts, small_batches
+
 #: Labelled rows that training takes at most.
 TRAIN_ROWS = 6000
 #: Features that each linear model keeps at most.
 MAX_FEATURES = 256
 #: Numbers that features hash to; a text's features so take 4 bytes each on the driver.
-SPACE = 1 << 22
+SPACE = 1 << 21
 #: Standard errors by which a kept feature's shares differ at least.
 MIN_Z = 5
 FOLDS = 5
 L2 = 0.3
 WORDS = re.compile(r"[^\W\d_]+").findall
-MEMO_ENTRIES = 300_000
+#: Words whose features a worker remembers; beyond, it forgets them all and goes on.
+MEMO_ENTRIES = 50_000
 
 
 def word_features(word: str) -> list[int]:
@@ -168,26 +171,31 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_rows:
         .limit(train_rows)
     )
     ys = [f"y{i}" for i in range(len(categories))]
+    small_batches(docs.sparkSession)
     # The sample has at most train_rows ids, which bounds what is broadcast and what comes to the driver.
     texts = docs.select("doc_id", "text").join(F.broadcast(ready), "doc_id")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(y, T.IntegerType()) for y in ys], T.StructField("features", T.BinaryType())])
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "text")):
             t = pa.Table.from_batches([batch])
             found = [np.array(sorted(text_features(x)), dtype="<u4").tobytes() for x in t["text"].to_pylist()]
             yield from t.select(["doc_id", *ys]).append_column("features", pa.array(found, pa.binary())).to_batches()
 
-    got = texts.mapInArrow(featurise, schema).toPandas().sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
-    order = got["doc_id"].map(lambda i: (i * 2654435761) % 2**32).argsort(kind="stable")  # folds do not follow the ids
-    got = got.iloc[order.to_numpy()]
-    rows = Rows.of([np.frombuffer(x, dtype="<u4") for x in got["features"]])
-    return fit_chain(rows, got[ys].to_numpy(dtype=float).reshape(rows.n, len(ys)))
+    got = mapped(texts, featurise, schema).toArrow()
+    ids, found = np.asarray(got["doc_id"]), got["features"].to_pylist()
+    # One row an id, in an order that does not follow the ids, so that folds are alike.
+    order = sorted(range(len(ids)), key=lambda i: (int(ids[i]) * 2654435761 % 2**32, int(ids[i]), found[i]))
+    order = [i for n, i in enumerate(order) if n == 0 or ids[i] != ids[order[n - 1]]]
+    rows = Rows.of([np.frombuffer(found[i], dtype="<u4") for i in order])
+    y = np.array([np.asarray(got[c], dtype=float)[order] for c in ys]).T.reshape(rows.n, len(ys))
+    return fit_chain(rows, y)
 
 
 def score(docs: DataFrame, models: list[Linear], categories: list[str], threshold: float = 0.5, prefix: str = "p_", toxic: str = "toxic") -> DataFrame:
     """Adds ``p_<category>`` for each category, and ``toxic``: whether the last one reaches ``threshold``."""
     names = [f"{prefix}{c}" for c in categories]
+    small_batches(docs.sparkSession)
     docs = docs.select(*[F.col(c) for c in docs.columns if c not in (*names, toxic)])
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names], T.StructField(toxic, T.BooleanType())])
@@ -205,7 +213,7 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], threshol
                 memo[word] = tuple(f for f in word_features(word) if f in used)
             return memo[word]
 
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "text")):
             found: list[list[float]] = [[] for _ in chain]
             for text in batch.column(at).to_pylist():
                 words = set(WORDS((text or "").lower()))
@@ -217,4 +225,4 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], threshol
             verdicts = pa.array([x >= threshold for x in found[-1]], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.float64()) for x in found], verdicts], names=[*batch.schema.names, *names, toxic])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

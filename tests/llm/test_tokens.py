@@ -72,7 +72,9 @@ def test_frames(spark, edge, empty):
     rows = coded.select("doc_id", "text", "token_ids", "decoded").collect()
     assert sorted(r.doc_id for r in rows) == sorted(d for d, _, _ in EDGE)
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in rows)
-    assert bpe_codec.encode(empty, ranks, pattern).count() == 0
+    assert bpe_codec.encode(empty, ranks, pattern).count() == bpe_codec.round_trip(empty, ranks, pattern).count() == 0
+    at_once = bpe_codec.round_trip(edge, ranks, pattern).select("doc_id", "text", "token_ids", "decoded").collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, rows))
     model = queries.vocabulary("piece_bpe_32k.model")
     counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(edge, model).collect()}
     assert counts[1] == counts[2] == 0 and counts[4] > 0
