@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import mapped, parts, small_batches, without, written
+from .common import mapped, parts, scratch, small_batches, without, written
 from .components import components
 
 TREES = 12
@@ -417,5 +417,6 @@ def keep_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that share a doc_id stay if one of them does.
     """
-    fates = written(near_dedup(docs, k, percent).groupBy("doc_id").agg(F.max("kept").alias("stays")), "fates")
+    with scratch(docs.sparkSession):
+        fates = written(near_dedup(docs, k, percent).groupBy("doc_id").agg(F.max("kept").alias("stays")), "fates", keep=True)
     return without(docs, fates.where("not stays").select("doc_id"))
