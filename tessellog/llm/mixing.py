@@ -9,10 +9,10 @@ Each source has a weight schedule over training time 0 to 1, here linear: its ra
 is target * (1 + slope * (2t - 1)), slope by the source's place in the weights.
 The integral of the schedule is the source's cumulative demand.  A source's
 documents, in a fixed pseudo-random order, fill that demand one after the other,
-as often as needed; inverting the integral at the words before a document gives
-its training position, and the result is range-sorted by position.  The last
-document of a source's last pass is taken in part, so that targets are met to the
-word.
+as often as needed; inverting the integral at the words before a use of a document,
+those of earlier passes included, gives that use's training position, and the result
+is range-sorted by position.  The last document of a source's last pass is taken in
+part, so that targets are met to the word.
 
 Only built-in expressions run.  The running totals are made in two levels: sums of
 hash buckets of about ``BUCKET`` documents, then within buckets; so a source with
@@ -64,11 +64,14 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def plan(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, position) for every row of ``docs``, range-sorted by position.
+#: Training time in [0, 1) at which a source's cumulative demand is the share ``u`` of its target.
+POSITION = "2e0 * u / ((1e0 - slope) + sqrt((1e0 - slope) * (1e0 - slope) + 4e0 * slope * u))"
 
-    ``copies`` is how often the mix uses the document, the last time perhaps in part;
-    ``position`` in [0, 1) is where it does so first (null: never).
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, slope, before, taken, copies) for every row of ``docs``.
+
+    ``before`` counts the words of the source that a pass takes before the document.
     """
     spark = docs.sparkSession
     sizes = written(sizes_of(docs), "sizes")
@@ -94,22 +97,40 @@ def plan(docs: DataFrame) -> DataFrame:
         .withColumn("last", F.expr("greatest(0L, least(size, cast(floor(target) AS bigint) - passes * source_size - before))"))
         .withColumn("taken", F.expr("passes * size + last"))
         .withColumn("copies", F.expr("CASE WHEN size > 0 THEN passes + if(last > 0, 1, 0) ELSE 0L END"))
+        .select("doc_id", "size", "source_size", "target", "slope", "before", "taken", "copies")
+    )
+
+
+def plan(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, position) for every row of ``docs``, range-sorted by position.
+
+    ``copies`` is how often the mix uses the document, the last time perhaps in part;
+    ``position`` in [0, 1) is where it does so first (null: never).
+    """
+    return (
+        dealt(docs)
         .withColumn("u", F.expr("CASE WHEN copies > 0 THEN before / target END"))
-        .withColumn("position", F.expr("2e0 * u / ((1e0 - slope) + sqrt((1e0 - slope) * (1e0 - slope) + 4e0 * slope * u))"))
+        .withColumn("position", F.expr(POSITION))
         .select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix uses them, in training order.
+    """The rows of ``docs`` as often as the mix uses them, in training order: each use at its own position.
 
     Rows that share a doc_id are used as often as the most used of them.
     """
-    own, copies, position, use = fresh(docs, "mix_id", "mix_copies", "mix_position", "mix_use")
-    uses = plan(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(copies), F.min("position").alias(position)).withColumnRenamed("doc_id", own)
-    joined = docs.join(uses, F.col("doc_id").cast("long").eqNullSafe(F.col(own))).withColumn(use, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
-    return joined.orderBy(use, position, own).select(*docs.columns)
+    own, position = fresh(docs, "mix_id", "mix_position")
+    most = dealt(docs).where("copies > 0").groupBy("doc_id").agg(F.max(F.struct("copies", "before", "source_size", "target", "slope")).alias("most"))
+    uses = (
+        most.select("doc_id", "most.*")
+        .withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        .withColumn("u", F.expr("(before + (use - 1) * source_size) / target"))
+        .select(F.col("doc_id").alias(own), F.expr(POSITION).alias(position))
+    )
+    joined = docs.join(uses, F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
+    return joined.orderBy(position, own).select(*docs.columns)
 
 
 SQL = f"""

@@ -1,3 +1,4 @@
+import hashlib
 import os
 from collections import Counter
 
@@ -69,6 +70,34 @@ def test_mix_repeats_rows(spark, edge):
     assert n == Counter({d: k * rows[d] for d, k in want.items() if k})
 
 
+def use_positions(rows):
+    """(training position, doc_id, row number) of every use, by bisecting each source's cumulative demand."""
+    times, target = plain.uses(rows)
+    size = [len(plain.WORDS(t or "")) for _, _, t in rows]
+    names = sorted(s for s in target if s is not None) + [s for s in target if s is None]
+    out = []
+    for place, s in enumerate(names):
+        slope, before = mixing.SLOPES[place % 3], 0
+        order = sorted((i for i, r in enumerate(rows) if r[1] == s), key=lambda i: (hashlib.md5(str(rows[i][0]).encode()).hexdigest()[:15], rows[i][0], size[i]))
+        for i in order:
+            for use in range(times[i]):
+                words, lo, hi = before + use * sum(size[j] for j in order), 0.0, 1.0
+                for _ in range(60):
+                    mid = (lo + hi) / 2
+                    lo, hi = (lo, mid) if target[s] * ((1 - slope) * mid + slope * mid * mid) > words else (mid, hi)
+                out.append((hi, rows[i][0], i))
+            before += size[i]
+    return sorted(out)
+
+
+def test_mix_gives_every_use_its_own_position(spark):
+    rows = [(i, "abcd"[i % 7 % 4] if i % 11 else None, " ".join(["w"] * (1 + i * i % 17))) for i in range(150)]
+    want = use_positions(rows)
+    assert any(n > 1 for n in Counter(d for _, d, _ in want).values())
+    got = [r.doc_id for r in mixing.mix(table_of(spark, rows)).collect()]
+    assert got == [d for _, d, _ in want]
+
+
 def test_quality_edges(edge, empty):
     rows = {(r.doc_id): r for r in quality.judge(edge).collect()}
     for d, t in PAIRS:
