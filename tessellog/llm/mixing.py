@@ -16,14 +16,16 @@ part, so that targets are met to the word.
 
 Only built-in expressions run.  The running totals are made in two levels: sums of
 hash buckets of about ``BUCKET`` documents, then within buckets; so a source with
-a third of all rows is dealt like the others.  Texts are read once and never
-shuffled.  Nulls and empty texts have size 0 and are not taken; repeated rows
-count each; an empty table gives an empty result.
+a third of all rows is dealt like the others.  The plan reads texts once and never
+shuffles them; the mix writes the rows once with numbers and joins positions back by
+these, so rows that share an id, or have none, are each used by their own plan.  Nulls
+and empty texts have size 0 and are not taken; repeated rows count each; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -56,11 +58,16 @@ targets AS (SELECT source, source_size, n_docs, weight, slope,
 """
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
+def size_of(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def sizes_of(docs: DataFrame, row: Column, size: Column) -> DataFrame:
     return docs.select(
+        row.alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        size.alias("size"),
     )
 
 
@@ -68,13 +75,12 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 POSITION = "2e0 * u / ((1e0 - slope) + sqrt((1e0 - slope) * (1e0 - slope) + 4e0 * slope * u))"
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, slope, before, taken, copies) for every row of ``docs``.
+def dealt(sizes: DataFrame) -> DataFrame:
+    """(row, doc_id, size, source_size, target, slope, before, taken, copies) for every row of ``sizes``, a written table.
 
     ``before`` counts the words of the source that a pass takes before the document.
     """
-    spark = docs.sparkSession
-    sizes = written(sizes_of(docs), "sizes")
+    spark = sizes.sparkSession
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = written(spark.sql(f"WITH sources AS (SELECT * FROM {{sources_df}}), {TARGETS} SELECT * FROM targets", sources_df=sources), "targets")
     # The number of buckets is a power of two that follows the source's rows.
@@ -90,14 +96,14 @@ def dealt(docs: DataFrame) -> DataFrame:
     in_order = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     starts = sums.select(F.col("source").alias("own"), F.col("bucket").alias("own_bucket"), F.coalesce(F.sum("words").over(in_order), F.lit(0)).alias("start"))
-    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.join(starts, F.col("source").eqNullSafe(F.col("own")) & (F.col("bucket") == F.col("own_bucket"))).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     return (
         placed.withColumn("passes", F.expr("CASE WHEN source_size > 0 THEN cast(floor(target / source_size) AS bigint) ELSE 0L END"))
         .withColumn("last", F.expr("greatest(0L, least(size, cast(floor(target) AS bigint) - passes * source_size - before))"))
         .withColumn("taken", F.expr("passes * size + last"))
         .withColumn("copies", F.expr("CASE WHEN size > 0 THEN passes + if(last > 0, 1, 0) ELSE 0L END"))
-        .select("doc_id", "size", "source_size", "target", "slope", "before", "taken", "copies")
+        .select("row", "doc_id", "size", "source_size", "target", "slope", "before", "taken", "copies")
     )
 
 
@@ -107,8 +113,9 @@ def plan(docs: DataFrame) -> DataFrame:
     ``copies`` is how often the mix uses the document, the last time perhaps in part;
     ``position`` in [0, 1) is where it does so first (null: never).
     """
+    sizes = written(sizes_of(docs, F.monotonically_increasing_id(), size_of("text")), "sizes")
     return (
-        dealt(docs)
+        dealt(sizes)
         .withColumn("u", F.expr("CASE WHEN copies > 0 THEN before / target END"))
         .withColumn("position", F.expr(POSITION))
         .select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
@@ -117,20 +124,17 @@ def plan(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix uses them, in training order: each use at its own position.
-
-    Rows that share a doc_id are used as often as the most used of them.
-    """
-    own, position = fresh(docs, "mix_id", "mix_position")
-    most = dealt(docs).where("copies > 0").groupBy("doc_id").agg(F.max(F.struct("copies", "before", "source_size", "target", "slope")).alias("most"))
+    """The rows of ``docs`` as often as the mix uses them, in training order: each use at its own position."""
+    row, size, own, position = fresh(docs, "mix_row", "mix_size", "mix_own", "mix_position")
+    rows = written(docs.withColumns({row: F.monotonically_increasing_id(), size: size_of("text")}), "rows")
     uses = (
-        most.select("doc_id", "most.*")
-        .withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        dealt(sizes_of(rows, F.col(row), F.col(size)))
+        .withColumn("use", F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1L, copies) END")))
         .withColumn("u", F.expr("(before + (use - 1) * source_size) / target"))
-        .select(F.col("doc_id").alias(own), F.expr(POSITION).alias(position))
+        .select(F.col("row").alias(own), F.expr(POSITION).alias(position))
     )
-    joined = docs.join(uses, F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
-    return joined.orderBy(position, own).select(*docs.columns)
+    joined = rows.join(uses, F.col(row) == F.col(own))
+    return joined.orderBy(position, F.col("doc_id").cast("long"), row).select(*docs.columns)
 
 
 SQL = f"""

@@ -98,6 +98,19 @@ def test_mix_gives_every_use_its_own_position(spark):
     assert got == [d for _, d, _ in want]
 
 
+def test_mix_uses_rows_of_one_id_by_their_own_plan(spark):
+    rows = [(7 if i % 3 else i, "abcd"[i % 4], " ".join([f"w{i}"] * i)) for i in range(60)]
+    want = [rows[i][2] for _, _, i in use_positions(rows)]
+    assert [r.text for r in mixing.mix(table_of(spark, rows)).collect()] == want
+
+
+def test_mix_meets_targets_where_ids_are_null(spark):
+    rows = [(None if i % 3 else i, "ab"[i % 5 > 0], " ".join([f"w{i}"] * (i % 13))) for i in range(90)]
+    used = Counter(r.source for r in mixing.mix(table_of(spark, rows)).select("source", F.explode(F.split("text", " "))).collect())
+    for source, target in plain.uses(rows)[1].items():
+        assert target - 1 < used[source] < target + 13
+
+
 def test_quality_edges(edge, empty):
     rows = {(r.doc_id): r for r in quality.judge(edge).collect()}
     for d, t in PAIRS:
