@@ -7,12 +7,13 @@ that did not see the row (out-of-fold); while scoring, from the earlier models.
 
 Features of a text are its distinct words' starts of 3 to 6 letters and the whole
 words, so that inflected forms of one stem share features.  Each model keeps the
-``MAX_FEATURES`` most telling ones.  It is trained on the driver from at most
-``TRAIN_ROWS`` labelled rows (those whose ids hash lowest), whatever the input's
-size; scoring reads every whole text where it lies, without a shuffle.
+``MAX_FEATURES`` most telling ones.  It is trained on the driver from the rows that
+have its label; the sample holds ``TRAIN_ROWS`` of these for each category (those whose
+ids hash lowest), whatever the input's size; scoring reads every whole text where it lies, without a shuffle.
 
 Null and empty texts, like all without letters, have no features and probability 0.  Rows whose labels
-are all null do not train; without any labelled row every probability is 0; a
+are all null do not train; where one label is null, the row trains the other categories,
+and the model that did not see it gives its probability to the later ones; without any labelled row every probability is 0; a
 category with one class only gets its constant rate.  A labelled id that has
 several rows trains once, by the larger label.  Repeated rows score alike.  Extra
 columns pass through; those with a result's name are replaced.
@@ -24,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import mapped, parts, small_batches
 
-#: Labelled rows that training takes at most.
+#: Labelled rows that training takes at most for each category.
 TRAIN_ROWS = 6000
 #: Features that each linear model keeps at most.
 MAX_FEATURES = 256
@@ -145,16 +147,21 @@ def probabilities(model: Linear, rows: Rows, earlier: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(rows: Rows, labels: np.ndarray) -> list[Linear]:
-    """A model for each column of ``labels``, later ones trained with out-of-fold predictions of the earlier."""
+    """A model for each column of ``labels`` (NaN: not labelled), later ones trained with predictions of the earlier.
+
+    The predictions are out-of-fold for rows that have the earlier label; the others' come from the earlier model itself.
+    """
     fold = np.arange(rows.n) % FOLDS
     earlier, models = np.zeros((rows.n, 0)), []
     for k in range(labels.shape[1]):
         y = labels[:, k]
-        models.append(fit(rows, earlier, y))
+        labelled = ~np.isnan(y)
+        has = np.flatnonzero(labelled)
+        models.append(fit(rows.take(has), earlier[has], y[has]))
         if k + 1 < labels.shape[1]:
-            held_out = np.zeros(rows.n)
+            held_out = probabilities(models[-1], rows, earlier)
             for n in range(FOLDS):
-                seen, own = np.flatnonzero(fold != n), np.flatnonzero(fold == n)
+                seen, own = np.flatnonzero(labelled & (fold != n)), np.flatnonzero(labelled & (fold == n))
                 held_out[own] = probabilities(fit(rows.take(seen), earlier[seen], y[seen]), rows.take(own), earlier[own])
             earlier = np.column_stack([earlier, held_out])
     return models
@@ -162,17 +169,18 @@ def fit_chain(rows: Rows, labels: np.ndarray) -> list[Linear]:
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_rows: int = TRAIN_ROWS) -> list[Linear]:
     """Models of the chain; ``labels`` has doc_id and a 0/1 column for each category (null: not labelled)."""
-    ready = (
-        labels.select("doc_id", *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
-        .dropna()
+    ys = [f"y{i}" for i in range(len(categories))]
+    by_id = (
+        labels.select("doc_id", *[F.col(c).cast("int").alias(y) for c, y in zip(categories, ys, strict=True)])
+        .where("doc_id IS NOT NULL")
+        .dropna("all", subset=ys)
         .groupBy("doc_id")
-        .agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(train_rows)
+        .agg(*[F.max(y).alias(y) for y in ys])
     )
-    ys = [f"y{i}" for i in range(len(categories))]
+    lowest = [by_id.where(F.col(y).isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows) for y in ys]
+    ready = reduce(DataFrame.union, lowest).distinct()
     small_batches(docs.sparkSession)
-    # The sample has at most train_rows ids, which bounds what is broadcast and what comes to the driver.
+    # The sample has at most train_rows ids for each category, which bounds what is broadcast and what comes to the driver.
     texts = docs.select("doc_id", "text").join(F.broadcast(ready), "doc_id")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(y, T.IntegerType()) for y in ys], T.StructField("features", T.BinaryType())])
 

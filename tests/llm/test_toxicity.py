@@ -35,6 +35,26 @@ def test_few_or_no_labels(spark, edge, empty):
     assert toxicity.score(empty, models, queries.CATEGORIES).count() == 0
 
 
+def test_rows_without_one_label_train_the_other_categories(spark):
+    rows = [(i, "s", f"alpha beta {'grumpolen' if i % 4 == 0 else 'gamma'} w{i % 13} v{i % 7}") for i in range(400)]
+    docs = table_of(spark, rows)
+    schema = "doc_id long, low_quality int, toxic int"
+    on_toxic = [(i, None if i % 4 == 0 else i % 2, int(i % 4 == 0)) for i in range(300)]
+    nowhere = [(i, None, int(i % 4 == 0)) for i in range(300)]
+    for made in (on_toxic, nowhere):
+        models = toxicity.train(docs, spark.createDataFrame([*made, (None, 1, 1), (399, None, None)], schema), queries.CATEGORIES)
+        got = toxicity.score(docs, models, queries.CATEGORIES).collect()
+        assert all(r.toxic == (r.doc_id % 4 == 0) for r in got)
+
+
+def test_sample_holds_rows_of_each_category(spark):
+    rows = [(i, "s", f"alpha {'grumpolen' if i % 4 == 0 else 'gamma'} w{i % 13}") for i in range(600)]
+    docs = table_of(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2, None if i < 400 else int(i % 4 == 0)) for i in range(600)], "doc_id long, low_quality int, toxic int")
+    models = toxicity.train(docs, labels, queries.CATEGORIES, train_rows=200)
+    assert all(r.toxic == (r.doc_id % 4 == 0) for r in toxicity.score(docs, models, queries.CATEGORIES).collect())
+
+
 def test_later_models_see_out_of_fold_probabilities():
     rows = toxicity.Rows.of([np.array([i % 2, 100 + i % 11], dtype=np.uint32) for i in range(200)])
     labels = np.array([[i % 2, i % 2] for i in range(200)], dtype=float)
