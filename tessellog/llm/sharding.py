@@ -16,7 +16,7 @@ count of open buckets comes to the driver.  Null and empty texts have 0 bytes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, written
@@ -37,11 +37,17 @@ def prefix(bits: int) -> str:
 
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id, bytes, shard, depth, shard_bytes, oversized): each row's shard, named by its hash prefix."""
+    return placed_rows(docs, F.monotonically_increasing_id(), limit).drop("row")
+
+
+def placed_rows(docs: DataFrame, row: Column, limit: int) -> DataFrame:
+    """``assign`` with each row's number, ``row``, which only has to be stable if it is used afterwards."""
     sixty = lambda c: F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 15), 16, 10).cast("long")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
-    ).withColumn("row", F.monotonically_increasing_id())
+        row.alias("row"),
+    )
     rows = written(rows.withColumn("h", F.coalesce(sixty("doc_id"), F.lit(0).cast("long"))).withColumn("g", sixty("row")), "hashes")
     open_rows, settled, start = rows, [], 0
     while True:
@@ -66,14 +72,15 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "bytes", F.col("to.shard").alias("shard"), F.col("to.depth").cast("long").alias("depth"), F.col("to.shard_bytes").alias("shard_bytes"), (F.col("to.shard_bytes") > limit).alias("oversized"))
+    return out.select("row", "doc_id", "bytes", F.col("to.shard").alias("shard"), F.col("to.depth").cast("long").alias("depth"), F.col("to.shard_bytes").alias("shard_bytes"), (F.col("to.shard_bytes") > limit).alias("oversized"))
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes ``docs`` with one folder for each shard, each by one task; rows of one doc_id go to its first shard."""
-    own, shard = fresh(docs, "shard_id", "shard")
-    shards = assign(docs, limit).select(F.col("doc_id").alias(own), F.concat(F.lit("b"), "shard").alias(shard)).groupBy(own).agg(F.min(shard).alias(shard))
-    joined = docs.join(shards, F.col("doc_id").cast("long").eqNullSafe(F.col(own))).drop(own)
+    """Writes ``docs`` with one folder for each shard, each by one task; a row goes to the shard that ``assign`` computes for it."""
+    row, own, shard = fresh(docs, "shard_row", "shard_own", "shard")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    shards = placed_rows(rows, F.col(row), limit).select(F.col("row").alias(own), F.concat(F.lit("b"), "shard").alias(shard))
+    joined = rows.join(shards, F.col(row) == F.col(own)).drop(row, own)
     joined.repartition(shard).write.partitionBy(shard).parquet(path)
 
 

@@ -173,6 +173,18 @@ def test_shards_are_written_whole(spark, edge, tmp_path):
     assert len(os.listdir(tmp_path / "s")) > 3
 
 
+def test_rows_of_one_id_are_written_to_their_own_shards(spark, tmp_path):
+    docs = table_of(spark, [(1 if i % 2 else None, "a", f"{i:03d}" + "x" * 97) for i in range(60)] + [(i, "b", f"{i:03d}") for i in range(100, 130)]).drop("shard")
+    sharding.write(docs, str(tmp_path / "s"), 1000)
+    rows = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted(r.text for r in rows) == sorted(r.text for r in docs.collect())
+    size = Counter()
+    for r in rows:
+        size[r.shard] += len(r.text)
+    assert max(size.values()) <= 1000
+    assert size == Counter({f"b{r.shard}": r.shard_bytes for r in sharding.assign(docs, 1000).collect()})
+
+
 URLS = [
     (1, None),
     (2, "no scheme"),
