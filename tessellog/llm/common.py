@@ -95,14 +95,44 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key columns, those of ``dropped``, are not among ``dropped``'s rows (nulls are equal)."""
-    keys = dropped.columns
-    names = fresh(docs, *[f"dropped_{c}" for c in keys])
-    dropped = written(dropped.distinct().toDF(*names), "dropped")
-    few = dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    on = [docs[c].eqNullSafe(dropped[n]) for c, n in zip(keys, names, strict=True)]
-    return docs.join(F.broadcast(dropped) if few else dropped, on, "left_anti")
+def without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` whose key columns, those of ``keys``, are not among ``keys``' rows (nulls are equal); with ``left_semi``, those that are."""
+    names = fresh(docs, *[f"other_{c}" for c in keys.columns])
+    others = written(keys.distinct().toDF(*names), "keys")
+    few = others.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    on = [docs[c].eqNullSafe(others[n]) for c, n in zip(keys.columns, names, strict=True)]
+    return docs.join(F.broadcast(others) if few else others, on, how)
+
+
+#: A join's key is hot if it has more rows than this and than one in ``HOT_KEYS`` of all; so at most ``HOT_KEYS`` keys are.
+HOT_ROWS = 512
+HOT_KEYS = 20_000
+#: So many rows are one task's work whatever their keys are.
+FEW_ROWS = 4096
+
+
+def dealt(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``one``, which has one row for each of ``keys`` at most; a hot key's rows are dealt to several tasks.
+
+    ``counts`` (keys, n) and ``total`` say how many rows each key and all have, if that is known.
+    The hot keys, at most ``HOT_KEYS`` of them, come to the driver and are broadcast; their rows of ``one`` are repeated once for each part.
+    """
+    total = rows.count() if total is None else total
+    if total <= FEW_ROWS:
+        return rows.join(one, keys, how)
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).alias("dealt_parts")).toArrow()
+    if not hot.num_rows:
+        return rows.join(one, keys, how)
+    hot = rows.sparkSession.createDataFrame(hot)
+    parts_of = F.coalesce("dealt_parts", F.lit(1))
+    others = [c for c in rows.columns if c not in keys]
+    spread = F.pmod(F.xxhash64(*others) if others else F.monotonically_increasing_id(), parts_of).alias("dealt_part")
+    many = rows.join(F.broadcast(hot), keys, "left").select(*rows.columns, spread)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), parts_of - 1)).alias("dealt_part")
+    few = one.join(F.broadcast(hot), keys, "left").select(*one.columns, each)
+    return many.join(few, [*keys, "dealt_part"], how).drop("dealt_part")
 
 
 #: Bytes of text that a worker takes at a time from an Arrow batch.

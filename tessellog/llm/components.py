@@ -2,8 +2,8 @@
 
 Every node takes the smallest label among its own and its neighbours', then the
 label of that label, until nothing changes.  Each round is a table in the shared
-folder; the driver sees only the number of changes.  A hub's links are pre-summed
-by node, and the joins' hot sides can be split.
+folder; the driver sees only the number of changes.  A hub's links, and the members
+of a giant component, which share a label, are dealt to several tasks in every join.
 """
 
 from __future__ import annotations
@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dealt, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of ``links`` (a, b): the smallest node each can reach."""
     both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
+    n_links, n_nodes = both.count(), labels.count()
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        low = written(low, "labels")
+        near = dealt(both, labels.withColumnRenamed("node", "b"), ["b"], total=n_links).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = written(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = written(low.join(jump, "label").select("node", "was", F.least("label", "far").alias("label")), "labels")
+        after = written(dealt(low, jump, ["label"], total=n_nodes).select("node", "was", F.least("label", "far").alias("label")), "labels")
         if after.where("label <> was").isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")

@@ -1,55 +1,75 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 Texts with equal shingle sets form a class, found by a 128-bit fingerprint; the
-join runs over classes, so copies of one text cost one entry.  ``TREES`` independent
-trees branch the classes: on each level a node's classes part by their next minwise
+join runs over classes, so copies of one text cost one entry.  Independent trees
+branch the classes: on each level a node's classes part by their next minwise
 token, so two sets stay together with the probability of their similarity, and
-unrelated ones part at once.  Nodes of at most ``LEAF`` classes are compared
+unrelated ones part at once.  There are as many trees as ``recall`` asks for at the
+threshold and at full depth.  Nodes of at most ``LEAF`` classes are compared
 exhaustively; larger ones branch on, after the first level has compared all to a few
 pivots, twice.  What is in one component already is not compared again, so most of a
-large group of near copies is settled by pivots and drops out.  Nodes that are still
-large and mixed after ``DEPTH`` levels compare the classes outside the main component,
-as queries, to all others, block by block and on full sets; so nothing is cut off.
+large group of near copies is settled by pivots and drops out.
+
+Nodes that are still large and mixed after ``DEPTH`` levels are joined exactly.  Sets of
+the wanted similarity share one of their rarest shingles, as many of them as the sets may
+differ in; classes that share one form a group of their own, small groups are compared
+exhaustively, and what large ones still mix is compared on full sets in blocks of at most
+about ``BLOCK_SETS`` sets and ``BLOCK_SHINGLES`` shingles.  So nothing is cut off.
 
 A comparison first looks at the sets' sizes and at 64 one-byte minwise values, which
 keep a pair at the threshold with a probability above 0.99999; every link is then
-confirmed on the full shingle sets of the whole texts.  Two sets of similarity 0.8
-miss each other in all trees with a probability of 4e-9 if their nodes are small on
-the first level, and of 2e-4 if they must go down to the third.
+confirmed on the full shingle sets of the whole texts.
 
 Texts without words have an empty set and are linked with nothing.  Nulls count as
-empty.  Repeated rows are of one class; rows that share a doc_id but not a text are
-of several.  Only (doc_id, text) are read.  An empty table gives an empty result.
+empty.  Rows without an id are linked like others; a component of such rows alone has
+no id.  Repeated rows are of one class; rows that share a doc_id but not a text are
+of several.  A very long text is one set like any other.  Only (doc_id, text) are
+read, whatever other columns there are.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles
-from .common import mapped, parts, scratch, small_batches, without, written
+from .common import dealt, fresh, mapped, parts, scratch, small_batches, without, written
 from .components import components
 
-TREES = 12
+#: Of the pairs at the threshold, the share that the trees bring together, if all nodes branch to full depth.
+RECALL = 0.9998
 DEPTH = 3
 LEAF = 64
 #: Classes that the others of a large node are compared with.
 PIVOTS = 4
-#: Shingles (8 bytes each) that a block of a large node has, about.
+#: Sets, and shingles (8 bytes each), that a block of a large node has, about.
+BLOCK_SETS = 1000
 BLOCK_SHINGLES = 150_000
 SKETCH = 64
 #: Equal bytes of two sketches from which a pair is confirmed on its full sets.
 AGREE = 35
 #: Up to this many classes (about 40 bytes each) are broadcast to find their texts; beyond, the join is shuffled.
 BROADCAST_CLASSES = 200_000
+#: Counters by which shingles are ranked from rare to common; all of them come to the driver.
+COUNTERS = 1 << 18
+
 
+def trees_for(recall: float, percent: int) -> int:
+    """Trees in one of which, with a probability of ``recall``, two sets at the threshold stay together to full depth."""
+    trees = math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** DEPTH))
+    if not 1 <= trees <= 63:
+        raise ValueError("this recall takes fewer than 1 or more than 63 trees")
+    return trees
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+
+def signatures(docs: DataFrame, k: int, trees: int) -> DataFrame:
     """(doc_id, n, cls, path, sketch) for every row: set size, fingerprint, minwise tokens of the trees, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +77,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for part in parts(batch, "text"):
                 m = part.num_rows
                 h, o = shingles.sets(part.column(1).to_pylist(), k)
-                low = shingles.minima(h, o, m, max(SKETCH, TREES * DEPTH))
-                path = pa.FixedSizeListArray.from_arrays(pa.array(low[:, : TREES * DEPTH].astype(np.int64).ravel()), TREES * DEPTH)
+                low = shingles.minima(h, o, m, max(SKETCH, trees * DEPTH))
+                path = pa.FixedSizeListArray.from_arrays(pa.array(low[:, : trees * DEPTH].astype(np.int64).ravel()), trees * DEPTH)
                 sketch = [row.tobytes() for row in low[:, :SKETCH].astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -85,7 +105,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[: (column.offset + len(column)) * SKETCH].reshape(-1, SKETCH)[column.offset :]
 
 
-def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
+def leaf_pairs(leaves: DataFrame, percent: int, trees: int) -> DataFrame:
     """Candidates (a, b) within each row's ``members`` that are of two components.
 
     Members: (num, label, n, sketch, tree, keys); all pairs are compared.  ``keys`` holds the member's node in every tree (0: none that is compared now); a
@@ -99,7 +119,7 @@ def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
             flat = lists.flatten()
             num, label, n, tree = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("num", "label", "n", "tree"))
             sketch = _sketches(flat.field("sketch"))
-            keys = flat.field("keys").flatten().to_numpy().reshape(-1, TREES)
+            keys = flat.field("keys").flatten().to_numpy().reshape(-1, trees)
             left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(num)) - 1  # members of the list that follow
             for step in range(1, int(sizes.max(initial=0))):
                 i = np.flatnonzero(left >= step)
@@ -109,7 +129,7 @@ def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
                     a, b = part[use], j[use]
                     near = _similar(n, sketch, a, b, percent)
                     a, b = a[near], b[near]
-                    met = (keys[a] == keys[b]) & (keys[a] != 0) & (np.arange(TREES) < tree[a][:, None])
+                    met = (keys[a] == keys[b]) & (keys[a] != 0) & (np.arange(trees) < tree[a][:, None])
                     first = ~met.any(axis=1)
                     a, b = num[a[first]], num[b[first]]
                     if len(a):
@@ -118,22 +138,32 @@ def leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
     return mapped(leaves.select("members"), run, "a long, b long").distinct()
 
 
-def near_filter(pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, n_a, n_b, sketch_a, sketch_b) whose sketches agree."""
+def pivot_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b): each row (num, label, n, sketch) with those of its ``pivots`` that are of another component.
+
+    The sketches are compared here, so a pair that differs never becomes a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = batch.num_rows
-            n = np.concatenate([np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b"))])
-            sketch = np.concatenate([_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b"))])
-            near = _similar(n, sketch, np.arange(m), np.arange(m) + m, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            num, label, n = (batch.column(c).to_numpy() for c in ("num", "label", "n"))
+            lists = batch.column("pivots")
+            row = np.repeat(np.arange(len(num)), np.asarray(lists.value_lengths()))
+            flat = lists.flatten()
+            p_num, p_label, p_n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("num", "label", "n"))
+            sketch = np.concatenate([_sketches(batch.column("sketch")), _sketches(flat.field("sketch"))])
+            sizes = np.concatenate([n, p_n])
+            at = np.flatnonzero(label[row] != p_label)
+            for part in np.array_split(at, len(at) // 50_000 + 1):
+                part = part[_similar(sizes, sketch, row[part], part + len(num), percent)]
+                a, b = num[row[part]], p_num[part]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return mapped(pairs, run, "a long, b long")
+    return mapped(met.select("num", "label", "n", "sketch", "pivots"), run, "a long, b long").distinct()
 
 
 def found_texts(ends: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(num, text): a text of each of the classes ``ends`` (num)."""
+    """(num, text): a text of each of the classes ``ends`` (num), found by the class's id, or its fingerprint if it has none."""
     wanted = written(ends.join(classes.select("num", "cls", "cid"), "num"), "wanted")
     few = wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     own = docs.select(F.col("doc_id").cast("long").alias("cid"), "text")
@@ -146,10 +176,28 @@ def found_texts(ends: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
                 yield part.select(["num", "text"]).filter(pa.array(keep, pa.bool_()))
 
     found = mapped(own.join(F.broadcast(wanted) if few else wanted, "cid").select("num", "cls", "text"), matching, "num long, text string")
+    nameless = wanted.where("cid IS NULL").select("num", "cls")
+    if not nameless.isEmpty():
+        printed = with_fingerprint(own.where("cid IS NULL").select("text"), k, "cls")
+        found = found.union(printed.join(F.broadcast(nameless) if few else nameless, "cls").select("num", "text"))
     # A repeated row, or one of equal shingles and another text under one id, gives a second text of the class.
     return written(found.groupBy("num").agg(F.min("text").alias("text")), "texts")
 
 
+def with_fingerprint(docs: DataFrame, k: int, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of its text's set, null for an empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "text"):
+                h, o = shingles.sets(part.column("text").to_pylist(), k)
+                empty = shingles.sizes(o, part.num_rows) == 0
+                prints = [None if e else p for e, p in zip(empty, shingles.fingerprints(h, o, part.num_rows))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.binary())], names=[*part.schema.names, name])
+
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
 def shingle_sets(k: int):
     """A map from (num, text) to (num, shingles)."""
 
@@ -163,6 +211,41 @@ def shingle_sets(k: int):
     return run
 
 
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, num): of each set (num, shingles) its rarest shingles, one more than it may lack of a set at the threshold.
+
+    Two sets of the wanted similarity have one of these in common.  Shingles are ranked by ``COUNTERS``
+    hashed counts; any order would be right, and a rare shingle that shares a counter with a common one only makes larger groups.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy().view(np.uint64) % np.uint64(COUNTERS)
+            total += np.bincount(values.astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
+
+    counts = mapped(sets.select("shingles"), counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(COUNTERS, dtype=np.int64)
+    table[np.asarray(counts["counter"])] = np.asarray(counts["n"])
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            size = np.asarray(lists.value_lengths()).astype(np.int64)
+            own, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            n = shared.value[(own.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)]
+            order = np.lexsort((own, n, owner))
+            place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            take = size + (-percent * size) // 100 + 1
+            rare = order[place < np.repeat(take, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(own[rare]), pa.array(batch.column("num").to_numpy()[owner[rare]])], names=["key", "num"])
+
+    return mapped(sets.select("num", "shingles"), run, "key long, num long")
+
+
 def _overlaps(values: np.ndarray, owner: np.ndarray, ask: np.ndarray) -> np.ndarray:
     """Intersection sizes of each asking set with each other set of a cell; ``owner`` is ascending."""
     _, ids, counts = np.unique(values, return_inverse=True, return_counts=True)
@@ -231,28 +314,40 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
                 n_a, n_b, both = shingles.common(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), k)
                 yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * (n_a + n_b - both)))
 
-    joined = (
-        pairs.join(texts.select(F.col("num").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("num").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    return mapped(joined, linked, "a long, b long")
+    total = pairs.count()
+    for c in ("b", "a"):
+        counts = pairs.groupBy(c).agg(F.count("*").alias("n"))
+        own = texts.select(F.col("num").alias(c), F.col("text").alias(f"text_{c}"))
+        joined = dealt(pairs if c == "b" else joined, own, [c], counts=counts, total=total)
+    return mapped(joined.select("a", "b", "text_a", "text_b"), linked, "a long, b long")
 
 
 class _Join:
-    """The state of one join: classes, the links found so far and the components they make."""
+    """The state of one join: classes, the components that links have made so far, and how many links each class has."""
 
-    def __init__(self, classes: DataFrame, docs: DataFrame, k: int, percent: int):
-        self.classes, self.docs, self.k, self.percent = classes, docs, k, percent
+    def __init__(self, classes: DataFrame, docs: DataFrame, k: int, percent: int, trees: int):
+        self.classes, self.docs, self.k, self.percent, self.trees = classes, docs, k, percent, trees
         self.sketches = classes.select("num", "n", "sketch")
-        self.links: list[DataFrame] = []
         self.labels: DataFrame | None = None
+        self.links: list[DataFrame] = []
 
-    def labelled(self, nodes: DataFrame) -> DataFrame:
-        """``nodes`` with each class's component; before any link it is a component of its own."""
+    def labelled(self, nodes: DataFrame, hot: bool = False) -> DataFrame:
+        """``nodes`` with each class's component; before any link it is a component of its own.
+
+        ``hot``: a class may have very many of the rows, which are a written table.
+        """
         if self.labels is None:
             return nodes.withColumn("label", F.col("num"))
-        return nodes.join(self.labels.withColumnRenamed("node", "num"), "num", "left").withColumn("label", F.coalesce("label", "num"))
+        labels = self.labels.select(F.col("node").alias("num"), "label")
+        found = dealt(nodes, labels, ["num"], "left") if hot else nodes.join(labels, "num", "left")
+        return found.withColumn("label", F.coalesce("label", "num"))
+
+    def with_degree(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` with how many links of the class were found so far."""
+        if not self.links:
+            return nodes.withColumn("degree", F.lit(0).cast("long"))
+        ends = reduce(DataFrame.union, self.links).select(F.explode(F.array("a", "b")).alias("num")).groupBy("num").agg(F.count("*").alias("degree"))
+        return nodes.join(ends, "num", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
 
     def add(self, candidates: DataFrame) -> None:
         candidates = written(candidates, "candidates")
@@ -262,25 +357,25 @@ class _Join:
 
     def link(self, confirmed: DataFrame) -> None:
         """Takes links in: what they join of the components so far is joined, by a graph of those alone."""
-        fresh = written(confirmed, "confirmed")
-        self.links.append(fresh)
-        one = self.labelled(fresh.withColumnRenamed("a", "num")).select(F.col("label").alias("a"), F.col("b").alias("num"))
-        ends = self.labelled(one).select("a", F.col("label").alias("b")).where("a <> b").distinct()
-        moved = components(ends)
+        new = written(confirmed, "confirmed")
+        self.links.append(new)
+        one = self.labelled(new.select(F.col("a").alias("num"), "b"), hot=True).select(F.col("label").alias("a"), F.col("b").alias("num"))
+        one = one if self.labels is None else written(one, "ends")
+        joined = components(self.labelled(one, hot=True).select("a", F.col("label").alias("b")).where("a <> b").distinct())
         if self.labels is None:
-            self.labels = moved
+            self.labels = joined
             return
-        to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        old = self.labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        self.labels = written(old.union(moved.join(self.labels, "node", "left_anti")), "labels")
-
-    def degrees(self) -> DataFrame:
-        """(num, degree): how many links of a class were found so far."""
-        ends = [part.select(F.col(c).alias("num")) for part in self.links for c in ("a", "b")]
-        every = ends[0] if ends else self.classes.select("num").limit(0)
-        for part in ends[1:]:
-            every = every.union(part)
-        return every.groupBy("num").agg(F.count("*").alias("degree"))
+        to = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        old = dealt(self.labels, to, ["label"], "left").select("node", F.coalesce("to", "label").alias("label"))
+        self.labels = written(old.union(joined.join(self.labels, "node", "left_anti")), "labels")
+
+    def mixed(self, nodes: DataFrame) -> DataFrame:
+        """The rows of nodes (key, num) with several components, with the node's size and the row's component."""
+        own = written(self.labelled(nodes.select("key", "num")), "placed")
+        stats = own.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("size > 1")
+        stats = written(stats.select("key", "size", (F.col("low") != F.col("high")).alias("several")), "sizes")
+        several = stats.where("several").select("key", "size")
+        return written(dealt(own, several, ["key"], counts=stats.select("key", F.col("size").alias("n"))), "nodes")
 
     def stars(self, nodes: DataFrame) -> None:
         """Compares the classes of each node with its pivots: one, or ``PIVOTS`` in a large node.
@@ -289,59 +384,64 @@ class _Join:
         in a cloud of copies the middle comes up.
         """
         large = F.col("size") > LEAF
-        ranked = nodes.join(self.degrees(), "num", "left").select(
-            "key",
-            F.when(large, F.pmod(F.xxhash64("num", "key"), F.lit(PIVOTS))).otherwise(0).alias("share"),
-            F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.when(large, F.xxhash64("key", "num")).otherwise(-F.col("num")).alias("draw"), "num", "label").alias("best"),
-        )
-        pivots = ranked.groupBy("key", "share").agg(F.max("best").alias("best")).select("key", F.col("best.num").alias("pivot"), F.col("best.label").alias("pivot_label"))
-        met = nodes.join(pivots, "key").where("num <> pivot AND label <> pivot_label")
-        pairs = met.select(F.least("pivot", "num").alias("a"), F.greatest("pivot", "num").alias("b")).distinct()
-        one = self.sketches.select(F.col("num").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        two = self.sketches.select(F.col("num").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        self.add(near_filter(pairs.join(two, "b").join(one, "a"), self.percent))
+        members = nodes.join(self.sketches, "num")
+        share = F.when(large, F.pmod(F.xxhash64("num", "key"), F.lit(PIVOTS))).otherwise(0)
+        draw = F.when(large, F.xxhash64("key", "num")).otherwise(-F.col("num"))
+        best = F.struct("degree", draw.alias("draw"), "num", "label", "n", "sketch")
+        ranked = self.with_degree(members).select("key", share.alias("share"), best.alias("best"))
+        each = ranked.groupBy("key").agg(*[F.max(F.when(F.col("share") == i, F.col("best"))).alias(f"p{i}") for i in range(PIVOTS)])
+        pivots = each.select("key", F.array_compact(F.array(*[F.when(F.col(f"p{i}").isNotNull(), F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in ("num", "label", "n", "sketch")])) for i in range(PIVOTS)])).alias("pivots"))
+        met = dealt(members, pivots, ["key"], counts=nodes.groupBy("key").agg(F.count("*").alias("n")), total=nodes.count())
+        self.add(pivot_pairs(met, self.percent))
 
     def leaves(self, nodes: DataFrame) -> None:
         """Compares all classes of each node (key, num, label, tree)."""
-        slots = F.array(*[F.coalesce(F.max(F.when(F.col("tree") == t, F.col("key"))), F.lit(0)).cast("long") for t in range(TREES)])
+        slots = F.array(*[F.coalesce(F.max(F.when(F.col("tree") == t, F.col("key"))), F.lit(0)).cast("long") for t in range(self.trees)])
         keys = nodes.groupBy("num").agg(slots.alias("keys"))
         full = nodes.join(self.sketches, "num").join(keys, "num")
         member = F.struct("num", "label", "n", "sketch", "tree", "keys")
-        self.add(leaf_pairs(full.groupBy("key").agg(F.collect_list(member).alias("members")), self.percent))
-
-    def mixed(self, nodes: DataFrame) -> DataFrame:
-        """The rows of nodes (key, num) with several components, with the node's size and the row's component."""
-        own = self.labelled(nodes.select("key", "num"))
-        stats = own.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        return written(own.join(stats.where("low <> high").select("key", "size"), "key"), "nodes")
-
-    def blocks(self, nodes: DataFrame) -> None:
-        """Compares, in large nodes, what is outside the main component with all, in blocks, on full sets.
+        self.add(leaf_pairs(full.groupBy("key").agg(F.collect_list(member).alias("members")), self.percent, self.trees))
+
+    def rest(self, nodes: DataFrame) -> None:
+        """Compares what large nodes (key, num) of the last level still mix, so that no similar pair of a node is missed."""
+        ends = nodes.select("num").distinct()
+        sets = written(mapped(found_texts(ends, self.classes, self.docs, self.k), shingle_sets(self.k), "num long, shingles array<long>"), "sets")
+        groups = self.mixed(written(rare_shingles(sets, self.percent), "rare"))
+        # The groups are of one kind, so none counts as another's earlier tree.
+        self.leaves(groups.where(f"size <= {LEAF}").withColumn("tree", F.lit(0)))
+        groups = self.mixed(groups.where(f"size > {LEAF}"))
+        if not groups.isEmpty():
+            hard = groups.select("num").distinct()
+            self.blocks(self.mixed(written(nodes.select("key", "num").join(hard, "num", "left_semi"), "hard")), sets)
+
+    def blocks(self, nodes: DataFrame, sets: DataFrame) -> None:
+        """Compares, in each node, what is outside the main component with all, in blocks, on full sets.
 
         The main component is that of the class with the most links.  A block holds
-        about ``BLOCK_SHINGLES`` shingles; every block of the outside meets every
-        block of the node in a cell of its own.
+        about ``BLOCK_SETS`` sets and ``BLOCK_SHINGLES`` shingles at most, or one longer set; every block of the
+        outside meets every block of the node in a cell of its own.
         """
-        own = nodes.join(self.degrees(), "num", "left").join(self.sketches.select("num", "n"), "num")
-        best = own.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "label")).alias("best"))
-        own = own.join(best.select("key", F.col("best.label").alias("main")), "key").withColumn("ask", F.col("label") != F.col("main"))
-        count = lambda c: F.ceil(F.sum(c) / BLOCK_SHINGLES).cast("long")
-        grid = own.groupBy("key").agg(count(F.col("n")).alias("rows"), count(F.when(F.col("ask"), F.col("n"))).alias("asks"))
-        own = written(own.join(grid, "key").select("key", "num", "label", "ask", "rows", "asks"), "blocks")
+        own = written(self.with_degree(nodes).join(self.sketches.select("num", "n"), "num"), "linked")
+        best = own.groupBy("key").agg(F.max(F.struct("degree", "label")).alias("best")).select("key", F.col("best.label").alias("main"))
+        own = written(dealt(own, best, ["key"]).withColumn("ask", F.col("label") != F.col("main")), "asking")
+
+        def count(use):
+            return F.ceil(F.greatest(F.sum(F.when(use, F.col("n"))) / BLOCK_SHINGLES, F.count_if(use) / BLOCK_SETS)).cast("long")
+
+        grid = own.groupBy("key").agg(count(F.lit(True)).alias("rows"), count(F.col("ask")).alias("asks"))
+        own = written(dealt(own, grid, ["key"]).select("key", "num", "label", "ask", "rows", "asks"), "blocks")
         sides = []
         for ask, members, mine, other in ((False, own, "rows", "asks"), (True, own.where("ask"), "asks", "rows")):
             block = F.pmod(F.xxhash64("num"), F.col(mine))
             placed = members.select("key", "num", "label", block.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("y"))
             cell = F.struct("key", "y", "x") if ask else F.struct("key", "x", "y")
             sides.append(placed.select(F.xxhash64(cell).alias("cell"), "num", "label", F.lit(ask).alias("ask")))
-        ends = own.select("num").distinct()
-        sets = mapped(found_texts(ends, self.classes, self.docs, self.k), shingle_sets(self.k), "num long, shingles array<long>")
-        full = sides[0].union(sides[1]).join(written(sets, "sets"), "num")
+        full = dealt(written(sides[0].union(sides[1]), "cells"), sets, ["num"])
         cells = full.groupBy("cell").agg(F.collect_list(F.struct("num", "label", "ask", "shingles")).alias("members"))
         self.link(cell_links(cells, self.percent))
 
     def run(self) -> None:
-        parted = F.expr(f"posexplode(transform(sequence(0, {TREES - 1}), t -> path[t * {DEPTH}]))")
+        parted = F.expr(f"posexplode(transform(sequence(0, {self.trees - 1}), t -> path[t * {DEPTH}]))")
         first = self.classes.where("n > 0").select("num", parted).select((F.col("pos").cast("long") * (1 << 32) + F.col("col")).alias("key"), "num")
         nodes = self.mixed(first)
         for depth in range(DEPTH):
@@ -360,7 +460,9 @@ class _Join:
                 branched = large.select("num", "key", "tree").join(self.classes.select("num", "path"), "num")
                 nodes = self.mixed(branched.select(self.child(token).alias("key"), "num"))
             else:
-                self.blocks(self.mixed(large))
+                left = self.mixed(large)
+                if not left.isEmpty():
+                    self.rest(left)
 
     @staticmethod
     def tree_of(depth: int):
@@ -379,44 +481,72 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return written(one.withColumn("num", F.monotonically_increasing_id()), "classes")
 
 
-def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links) for every row of ``docs``.
-
-    Links are between texts whose sets of ``k``-word shingles have a similarity of
-    ``percent`` % or more; ``component_id`` is the smallest doc_id that links reach.
-    ``n_links`` counts the links that join the row's class to others; it leaves out
-    those between classes that other links had joined before.
-    """
+def _judged(docs: DataFrame, k: int, percent: int, recall: float) -> DataFrame:
+    """(doc_id, n, cls, label, component_id) for every row of ``docs``; label numbers the component (null: an empty set)."""
     small_batches(docs.sparkSession)
-    rows = written(signatures(docs, k), "signatures")
+    trees = trees_for(recall, percent)
+    rows = written(signatures(docs, k, trees), "signatures")
     classes = classes_of(rows)
-    join = _Join(classes, docs.select("doc_id", "text"), k, percent)
+    join = _Join(classes, docs.select("doc_id", "text"), k, percent, trees)
     join.run()
     ids = classes.where("n > 0").select("num", "cls", "cid")
     if join.labels is None:
-        named = ids.select("cls", F.col("cid").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        named = ids.select("cls", F.col("num").alias("label"), F.col("cid").alias("component_id"))
     else:
-        every = join.links[0]
-        for part in join.links[1:]:
-            every = every.union(part)
-        degrees = every.select(F.explode(F.array("a", "b")).alias("num")).groupBy("num").agg(F.count("*").alias("n_links"))
-        member = join.labels.withColumnRenamed("node", "num")
-        smallest = member.join(ids, "num").groupBy("label").agg(F.min("cid").alias("low"))
-        named = (
-            ids.join(member.join(smallest, "label").select("num", "low"), "num", "left")
-            .join(degrees, "num", "left")
-            .select("cls", F.coalesce("low", "cid").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-        )
-    full = rows.where("n > 0").select("doc_id", "n", "cls").join(named, "cls").select("doc_id", "n", "component_id", "n_links")
-    empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
-
-
-def keep_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with all their columns.
-
-    Rows that share a doc_id stay if one of them does.
+        member = written(join.labelled(ids), "members")
+        smallest = member.groupBy("label").agg(F.min("cid").alias("component_id"))
+        named = dealt(member, smallest, ["label"]).select("cls", "label", "component_id")
+    sizes = rows.groupBy("cls").agg(F.count("*").alias("n"))
+    full = dealt(rows.where("n > 0").select("doc_id", "n", "cls"), named, ["cls"], counts=sizes, total=rows.count())
+    empty = rows.where("n = 0").select("doc_id", "n", "cls", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    return full.select("doc_id", "n", "cls", "label", "component_id").union(empty)
+
+
+def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Links are between texts whose sets of ``k``-word shingles have a similarity of
+    ``percent`` % or more; ``component_id`` is the smallest doc_id that links reach.
+    """
+    return _judged(docs, k, percent, recall).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_rows(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one row of each component, and every row without words.
+
+    It is the row with the smallest id, of those the one of the smallest fingerprint, and of repeated rows any one.
     """
     with scratch(docs.sparkSession):
-        fates = written(near_dedup(docs, k, percent).groupBy("doc_id").agg(F.max("kept").alias("stays")), "fates", keep=True)
-    return without(docs, fates.where("not stays").select("doc_id"))
+        rows = written(_judged(docs, k, percent, recall).groupBy("label", "doc_id", "cls").agg(F.count("*").alias("n")), "rows", keep=True)
+    linked, alone = rows.where("label IS NOT NULL"), rows.where("label IS NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "cls")
+    best = linked.groupBy("label").agg(F.min(order).alias("best")).select("label", F.col("best.doc_id").alias("best_id"), F.col("best.cls").alias("best_cls"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("cls") == F.col("best_cls"))
+    told = dealt(linked, best, ["label"]).select("doc_id", "cls", "n", stays.alias("stays"))
+    fates = written(told.union(alone.select("doc_id", "cls", F.lit(1).cast("long"), F.lit(True))), "fates")
+    by_id = written(fates.groupBy("doc_id").agg(F.max("stays").alias("some_stay"), F.max(~F.col("stays") | (F.col("n") > 1)).alias("some_go")), "fates_by_id")
+    gone, both = by_id.where("NOT some_stay").select("doc_id"), by_id.where("some_stay AND some_go").select("doc_id")
+    if both.isEmpty():
+        return without(docs, gone)
+    # Rows of one id that do not share a fate are told apart by their sets.
+    plain = without(docs, by_id.where("some_go").select("doc_id"))
+    (prints,) = fresh(docs, "fingerprint")
+    mixed = with_fingerprint(without(docs, both, "left_semi"), k, prints)
+    one = mixed.where(F.col(prints).isNotNull()).dropDuplicates(["doc_id", prints])
+    left = without(one, fates.where("stays").join(both.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", F.col("cls").alias(prints)), "left_semi")
+    return plain.unionByName(left.drop(prints)).unionByName(mixed.where(F.col(prints).isNull()).drop(prints))
+
+
+#: Shingles as lists of words, links by counting common ones, components as the closure of the links; for small tables.
+SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM sets s JOIN low l ON s.doc_id = l.a
+"""

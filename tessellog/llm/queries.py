@@ -103,6 +103,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op4_url_filters": url_filters.SQL,
+    "op5_near_dedup": near_dedup.SQL,
     "op6_mixing": mixing.SQL,
     "op7_quality": quality.SQL,
     "op8_licenses": licenses.SQL,

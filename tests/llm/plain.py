@@ -28,9 +28,9 @@ def components(rows, k, percent=80):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 parent[root(i)] = root(j)
-    low = defaultdict(lambda: 1 << 62)
+    low = defaultdict(lambda: None)
     for i, (d, _) in enumerate(rows):
-        low[root(i)] = min(low[root(i)], d)
+        low[root(i)] = d if low[root(i)] is None else low[root(i)] if d is None else min(low[root(i)], d)
     return [(d, len(sets[i]), low[root(i)] if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 

@@ -4,7 +4,7 @@ import plain
 import pytest
 from conftest_llm import EDGE, table_of
 
-from tessellog.llm import near_dedup, shingles
+from tessellog.llm import common, near_dedup, shingles
 from tessellog.llm.components import components
 
 PAIRS = [(d, t) for d, _, t in EDGE]
@@ -12,7 +12,7 @@ PAIRS = [(d, t) for d, _, t in EDGE]
 
 def check(spark, rows, k):
     got = near_dedup.near_dedup(table_of(spark, [(d, "s", t) for d, t in rows]), k).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain.components(rows, k))
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, plain.components(rows, k)))
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     return got
 
@@ -63,6 +63,60 @@ def test_chain_of_links_is_one_component(spark):
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[101] == 100
 
 
+def test_rows_without_an_id_are_linked(spark):
+    words = [f"w{i}" for i in range(24)]
+    check(spark, [(None, " ".join(words)), (1, " ".join([*words, "end"])), (None, "p q r s t u v"), (None, "p q r s t u v"), (None, "")], 4)
+
+
+def test_many_short_texts_that_share_most_words(spark, monkeypatch):
+    """Thousands of five-word texts with four words in common and one longer family: large mixed nodes, no similar pair among the short."""
+    made = []
+    monkeypatch.setattr(near_dedup, "cell_links", lambda cells, percent, f=near_dedup.cell_links: made.append(cells.selectExpr("size(members) AS n").collect()) or f(cells, percent))
+    rows = [(i, f"one two three four end{i}") for i in range(4000)] + [(5000 + i, "one two three four " + " ".join(f"v{j}" for j in range(60)) + f" x{i}") for i in range(5)]
+    got = near_dedup.near_dedup(table_of(spark, [(d, "s", t) for d, t in rows]), 4).where("doc_id <> component_id").collect()
+    assert sorted(r.doc_id for r in got) == [5001, 5002, 5003, 5004]
+    assert all(r.n <= 3 * near_dedup.BLOCK_SETS for cells in made for r in cells)
+
+
+def test_rarest_shingles_meet(spark):
+    rnd = random.Random(1)
+    sets = [sorted(rnd.sample(range(40), rnd.randrange(1, 30))) for _ in range(60)]
+    near = spark.createDataFrame(list(enumerate(sets)), "num long, shingles array<long>")
+    rare = {}
+    for r in near_dedup.rare_shingles(near, 80).collect():
+        rare.setdefault(r.num, set()).add(r.key)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len({*a} & {*b})
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert rare[i] & rare[j]
+
+
+def test_trees_follow_recall():
+    assert near_dedup.trees_for(0.9998, 80) == 12 < near_dedup.trees_for(0.999999, 80) and near_dedup.trees_for(0.9, 80) == 4
+
+
+def test_one_row_of_a_group_stays_whatever_the_ids(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    other = "k l m n o p q r s"
+    rows = [(1, words), (1, words + " end"), (1, words), (2, words + " fin"), (None, other), (None, other + " t"), (None, other), (None, ""), (1, ""), (3, "alone here"), (None, "lonely text")]
+    left = near_dedup.keep_rows(table_of(spark, [(d, "s", t) for d, t in rows])).collect()
+    got = sorted((str(r.doc_id), r.text) for r in left)
+    assert [x for x in got if not x[1]] == [("1", ""), ("None", "")]
+    assert sum(w.startswith("w0") for _, w in got) == 1 and ("2", words + " fin") not in got
+    assert sum(w.startswith("k l") for _, w in got) == 1 and ("3", "alone here") in got and ("None", "lonely text") in got and len(got) == 6
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(i % 3 and 7, i) for i in range(200)] + [(None, 1)], "k long, x long")
+    one = spark.createDataFrame([(0, "a"), (7, "b"), (9, "c")], "k long, y string")
+    for how in ("inner", "left"):
+        got = common.dealt(rows, one, ["k"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(one, ["k"], how).collect())) and got.columns == ["k", "x", "y"]
+
+
 def test_keep_rows(edge):
     rows = near_dedup.keep_rows(edge)
     assert rows.columns == edge.columns
