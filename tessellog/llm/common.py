@@ -67,8 +67,8 @@ def scratch(spark: SparkSession):
             path.getFileSystem(conf).delete(path, True)
 
 
-def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
+def written(df: DataFrame, label: str, keep: bool = False, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, with a folder for each value of ``by``, and read again.
 
     It cuts the lineage: what follows reads files that outlive any executor.
     """
@@ -76,7 +76,7 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     path = scratch_path(spark, label)
     if _scratch and not keep:
         _scratch[-1].append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -104,6 +104,8 @@ def without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFra
     return docs.join(F.broadcast(others) if few else others, on, how)
 
 
+#: A table of at most so many bytes is broadcast to what it is joined with.
+BROADCAST_BYTES = 4 << 20
 #: A join's key is hot if it has more rows than this and than one in ``HOT_KEYS`` of all; so at most ``HOT_KEYS`` keys are.
 HOT_ROWS = 512
 HOT_KEYS = 20_000
@@ -111,12 +113,16 @@ HOT_KEYS = 20_000
 FEW_ROWS = 4096
 
 
-def dealt(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
+def dealt(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, total: int | None = None, n_one: int | None = None, width: int = 40) -> DataFrame:
     """``rows`` joined with ``one``, which has one row for each of ``keys`` at most; a hot key's rows are dealt to several tasks.
 
-    ``counts`` (keys, n) and ``total`` say how many rows each key and all have, if that is known.
+    If ``one`` (``n_one`` rows of about ``width`` bytes) is small, it is broadcast.  Beyond that
+    ``counts`` (keys, n) and ``total`` say how many rows each key and all have, if it is known.
     The hot keys, at most ``HOT_KEYS`` of them, come to the driver and are broadcast; their rows of ``one`` are repeated once for each part.
     """
+    n_one = one.count() if n_one is None else n_one
+    if n_one * width <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(one), keys, how)
     total = rows.count() if total is None else total
     if total <= FEW_ROWS:
         return rows.join(one, keys, how)

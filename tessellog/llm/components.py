@@ -2,7 +2,7 @@
 
 Every node takes the smallest label among its own and its neighbours', then the
 label of that label, until nothing changes.  Each round is a table in the shared
-folder; the driver sees only the number of changes.  A hub's links, and the members
+folder; the driver sees only the numbers of nodes, links and changes.  Labels are broadcast while they are few; beyond, a hub's links, and the members
 of a giant component, which share a label, are dealt to several tasks in every join.
 """
 
@@ -20,10 +20,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
     n_links, n_nodes = both.count(), labels.count()
     while True:
-        near = dealt(both, labels.withColumnRenamed("node", "b"), ["b"], total=n_links).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = written(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
-        jump = low.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = written(dealt(low, jump, ["label"], total=n_nodes).select("node", "was", F.least("label", "far").alias("label")), "labels")
+        near = dealt(both, labels.withColumnRenamed("node", "b"), ["b"], total=n_links, n_one=n_nodes).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        low = dealt(labels, far, ["label"], total=n_nodes, n_one=n_nodes).join(near, "node")
+        after = written(low.select("node", F.col("label").alias("was"), F.least("label", "near", "far").alias("label")), "labels")
         if after.where("label <> was").isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import dealt, fresh, mapped, parts, scratch, small_batches, without, written
+from .common import BROADCAST_BYTES, FEW_ROWS, dealt, fresh, mapped, parts, scratch, small_batches, without, written
 from .components import components
 
 #: Of the pairs at the threshold, the share that the trees bring together, if all nodes branch to full depth.
@@ -162,10 +162,13 @@ def pivot_pairs(met: DataFrame, percent: int) -> DataFrame:
     return mapped(met.select("num", "label", "n", "sketch", "pivots"), run, "a long, b long").distinct()
 
 
-def found_texts(ends: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(num, text): a text of each of the classes ``ends`` (num), found by the class's id, or its fingerprint if it has none."""
-    wanted = written(ends.join(classes.select("num", "cls", "cid"), "num"), "wanted")
-    few = wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+def found_texts(ends: DataFrame, most: int, classes: DataFrame, nameless: bool, docs: DataFrame, k: int) -> DataFrame:
+    """(num, text): a text of each of the classes ``ends`` (num), of which there are ``most`` at most.
+
+    It is found by the class's id, or, where ``nameless`` says that some have none, by its fingerprint.
+    """
+    wanted = ends.join(classes.select("num", "cls", "cid"), "num")
+    few = most <= BROADCAST_CLASSES
     own = docs.select(F.col("doc_id").cast("long").alias("cid"), "text")
 
     def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +179,10 @@ def found_texts(ends: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
                 yield part.select(["num", "text"]).filter(pa.array(keep, pa.bool_()))
 
     found = mapped(own.join(F.broadcast(wanted) if few else wanted, "cid").select("num", "cls", "text"), matching, "num long, text string")
-    nameless = wanted.where("cid IS NULL").select("num", "cls")
-    if not nameless.isEmpty():
+    if nameless:
         printed = with_fingerprint(own.where("cid IS NULL").select("text"), k, "cls")
-        found = found.union(printed.join(F.broadcast(nameless) if few else nameless, "cls").select("num", "text"))
+        without_id = wanted.where("cid IS NULL").select("num", "cls")
+        found = found.union(printed.join(F.broadcast(without_id) if few else without_id, "cls").select("num", "text"))
     # A repeated row, or one of equal shingles and another text under one id, gives a second text of the class.
     return written(found.groupBy("num").agg(F.min("text").alias("text")), "texts")
 
@@ -304,9 +307,8 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
     return mapped(cells.select("members"), run, "a long, b long").distinct()
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs of classes that are linked, by their full shingle sets."""
-    texts = found_texts(pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct(), classes, docs, k)
+def confirm(pairs: DataFrame, total: int, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the ``total`` candidate pairs of classes that are linked, by the full shingle sets of ``texts`` (num, text)."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,11 +316,11 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
                 n_a, n_b, both = shingles.common(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), k)
                 yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * (n_a + n_b - both)))
 
-    total = pairs.count()
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     for c in ("b", "a"):
         counts = pairs.groupBy(c).agg(F.count("*").alias("n"))
         own = texts.select(F.col("num").alias(c), F.col("text").alias(f"text_{c}"))
-        joined = dealt(pairs if c == "b" else joined, own, [c], counts=counts, total=total)
+        joined = dealt(pairs if c == "b" else joined, own, [c], counts=counts, total=total, n_one=size["n"], width=40 + (size["bytes"] or 0) // max(1, size["n"]))
     return mapped(joined.select("a", "b", "text_a", "text_b"), linked, "a long, b long")
 
 
@@ -326,9 +328,11 @@ class _Join:
     """The state of one join: classes, the components that links have made so far, and how many links each class has."""
 
     def __init__(self, classes: DataFrame, docs: DataFrame, k: int, percent: int, trees: int):
+        self.nameless = not classes.where("cid IS NULL AND n > 0").isEmpty()
         self.classes, self.docs, self.k, self.percent, self.trees = classes, docs, k, percent, trees
         self.sketches = classes.select("num", "n", "sketch")
         self.labels: DataFrame | None = None
+        self.n_labels = self.n_keys = 0
         self.links: list[DataFrame] = []
 
     def labelled(self, nodes: DataFrame, hot: bool = False) -> DataFrame:
@@ -339,7 +343,8 @@ class _Join:
         if self.labels is None:
             return nodes.withColumn("label", F.col("num"))
         labels = self.labels.select(F.col("node").alias("num"), "label")
-        found = dealt(nodes, labels, ["num"], "left") if hot else nodes.join(labels, "num", "left")
+        small = self.n_labels * 16 <= BROADCAST_BYTES
+        found = dealt(nodes, labels, ["num"], "left", n_one=self.n_labels, width=16) if hot or small else nodes.join(labels, "num", "left")
         return found.withColumn("label", F.coalesce("label", "num"))
 
     def with_degree(self, nodes: DataFrame) -> DataFrame:
@@ -350,24 +355,29 @@ class _Join:
         return nodes.join(ends, "num", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
 
     def add(self, candidates: DataFrame) -> None:
-        candidates = written(candidates, "candidates")
-        if candidates.isEmpty():
-            return
-        self.link(confirm(candidates, self.classes, self.docs, self.k, self.percent))
+        pairs = written(candidates, "candidates")
+        total = pairs.count()
+        if total:
+            self.link(confirm(pairs, total, self.texts(pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct(), 2 * total), self.k, self.percent))
+
+    def texts(self, ends: DataFrame, most: int) -> DataFrame:
+        return found_texts(ends, most, self.classes, self.nameless, self.docs, self.k)
 
     def link(self, confirmed: DataFrame) -> None:
         """Takes links in: what they join of the components so far is joined, by a graph of those alone."""
         new = written(confirmed, "confirmed")
         self.links.append(new)
         one = self.labelled(new.select(F.col("a").alias("num"), "b"), hot=True).select(F.col("label").alias("a"), F.col("b").alias("num"))
-        one = one if self.labels is None else written(one, "ends")
+        if self.labels is not None and new.count() > FEW_ROWS:
+            one = written(one, "ends")
         joined = components(self.labelled(one, hot=True).select("a", F.col("label").alias("b")).where("a <> b").distinct())
         if self.labels is None:
-            self.labels = joined
+            self.labels, self.n_labels = joined, joined.count()
             return
         to = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
         old = dealt(self.labels, to, ["label"], "left").select("node", F.coalesce("to", "label").alias("label"))
         self.labels = written(old.union(joined.join(self.labels, "node", "left_anti")), "labels")
+        self.n_labels = self.labels.count()
 
     def mixed(self, nodes: DataFrame) -> DataFrame:
         """The rows of nodes (key, num) with several components, with the node's size and the row's component."""
@@ -375,7 +385,8 @@ class _Join:
         stats = own.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("size > 1")
         stats = written(stats.select("key", "size", (F.col("low") != F.col("high")).alias("several")), "sizes")
         several = stats.where("several").select("key", "size")
-        return written(dealt(own, several, ["key"], counts=stats.select("key", F.col("size").alias("n"))), "nodes")
+        self.n_keys = several.count()
+        return written(dealt(own, several, ["key"], n_one=self.n_keys, width=16, counts=stats.select("key", F.col("size").alias("n"))), "nodes")
 
     def stars(self, nodes: DataFrame) -> None:
         """Compares the classes of each node with its pivots: one, or ``PIVOTS`` in a large node.
@@ -391,7 +402,7 @@ class _Join:
         ranked = self.with_degree(members).select("key", share.alias("share"), best.alias("best"))
         each = ranked.groupBy("key").agg(*[F.max(F.when(F.col("share") == i, F.col("best"))).alias(f"p{i}") for i in range(PIVOTS)])
         pivots = each.select("key", F.array_compact(F.array(*[F.when(F.col(f"p{i}").isNotNull(), F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in ("num", "label", "n", "sketch")])) for i in range(PIVOTS)])).alias("pivots"))
-        met = dealt(members, pivots, ["key"], counts=nodes.groupBy("key").agg(F.count("*").alias("n")), total=nodes.count())
+        met = dealt(members, pivots, ["key"], counts=nodes.groupBy("key").agg(F.count("*").alias("n")), total=nodes.count(), n_one=self.n_keys, width=PIVOTS * (SKETCH + 60))
         self.add(pivot_pairs(met, self.percent))
 
     def leaves(self, nodes: DataFrame) -> None:
@@ -405,7 +416,7 @@ class _Join:
     def rest(self, nodes: DataFrame) -> None:
         """Compares what large nodes (key, num) of the last level still mix, so that no similar pair of a node is missed."""
         ends = nodes.select("num").distinct()
-        sets = written(mapped(found_texts(ends, self.classes, self.docs, self.k), shingle_sets(self.k), "num long, shingles array<long>"), "sets")
+        sets = written(mapped(self.texts(ends, nodes.count()), shingle_sets(self.k), "num long, shingles array<long>"), "sets")
         groups = self.mixed(written(rare_shingles(sets, self.percent), "rare"))
         # The groups are of one kind, so none counts as another's earlier tree.
         self.leaves(groups.where(f"size <= {LEAF}").withColumn("tree", F.lit(0)))

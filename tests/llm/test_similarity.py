@@ -38,8 +38,13 @@ def test_one_id_with_two_texts(spark):
 
 @pytest.mark.parametrize("leaf", [64, 4])
 def test_random_families(spark, leaf, monkeypatch):
-    """Families of edited copies around the threshold, with a shared passage; small leaves force deep trees and blocks."""
+    """Families of edited copies around the threshold, with a shared passage; small leaves force deep trees and blocks, and nothing is broadcast."""
     monkeypatch.setattr(near_dedup, "LEAF", leaf)
+    if leaf == 4:
+        for module in (common, near_dedup):
+            monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+            monkeypatch.setattr(module, "FEW_ROWS", 20)
+        monkeypatch.setattr(common, "HOT_ROWS", 5)
     rnd = random.Random(leaf)
     passage = [f"p{i}" for i in range(25)]
     rows, n = [], 0
@@ -108,6 +113,7 @@ def test_one_row_of_a_group_stays_whatever_the_ids(spark):
 
 
 def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(common, "FEW_ROWS", 10)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
     rows = spark.createDataFrame([(i % 3 and 7, i) for i in range(200)] + [(None, 1)], "k long, x long")
