@@ -15,7 +15,7 @@ Null and empty texts, like all without letters, have no features and probability
 are all null do not train; where one label is null, the row trains the other categories,
 and the model that did not see it gives its probability to the later ones; without any labelled row every probability is 0; a
 category with one class only gets its constant rate.  A labelled id that has
-several rows trains once, by the larger label.  Repeated rows score alike.  Extra
+several rows trains once, by the larger labels and the row with the smallest features.  A score that equals the threshold is toxic.  Repeated rows score alike; a very long text is scored whole.  Extra
 columns pass through; those with a result's name are replaced.
 """
 
@@ -76,6 +76,41 @@ class Linear:
         return float(_sigmoid(np.array(z)))
 
 
+class Scorer:
+    """A chain's models over the features that any of them uses, as arrays, in one process."""
+
+    def __init__(self, chain: list[Linear]):
+        self.chain = chain
+        self.used = {f: i for i, f in enumerate(sorted(set().union(*(m.words.keys() for m in chain))))}
+        self.weights = [np.array([m.words.get(f, 0.0) for f in self.used]) for m in chain]
+        self.memo: dict[str, list[int]] = {}
+
+    def places(self, word: str) -> list[int]:
+        """The used features of ``word``, by number."""
+        found = self.memo.get(word)
+        if found is None:
+            if len(self.memo) >= MEMO_ENTRIES:
+                self.memo.clear()
+            found = self.memo[word] = [self.used[f] for f in word_features(word) if f in self.used]
+        return found
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """One row of probabilities for each of ``texts``; zeros for a text without letters."""
+        some = np.zeros(len(texts), dtype=bool)
+        each = []
+        for i, text in enumerate(texts):
+            words = set(WORDS((text or "").lower()))
+            some[i] = bool(words)
+            each.append({f for word in words for f in self.places(word)})
+        owner = np.repeat(np.arange(len(texts)), list(map(len, each)))
+        place = np.fromiter((f for own in each for f in sorted(own)), dtype=np.int64, count=len(owner))
+        out = np.zeros((len(texts), len(self.chain)))
+        for k, (model, weights) in enumerate(zip(self.chain, self.weights, strict=True)):
+            z = np.bincount(owner, weights[place], len(texts)) + out[:, :k] @ np.array(model.chain) + model.bias
+            out[:, k] = np.where(some, _sigmoid(z), 0.0)
+        return out
+
+
 @dataclass
 class Rows:
     """The features of many texts: ``features[i]`` is one of text ``owner[i]``."""
@@ -176,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_rows:
         .dropna("all", subset=ys)
         .groupBy("doc_id")
         .agg(*[F.max(y).alias(y) for y in ys])
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     )
     lowest = [by_id.where(F.col(y).isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows) for y in ys]
     ready = reduce(DataFrame.union, lowest).distinct()
@@ -190,11 +226,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_rows:
             found = [np.array(sorted(text_features(x)), dtype="<u4").tobytes() for x in t["text"].to_pylist()]
             yield from t.select(["doc_id", *ys]).append_column("features", pa.array(found, pa.binary())).to_batches()
 
-    got = mapped(texts, featurise, schema).toArrow()
+    # Of an id's rows the one with the smallest features trains, so a repeated id sends one row.
+    got = mapped(texts, featurise, schema).groupBy("doc_id", *ys).agg(F.min("features").alias("features")).toArrow()
     ids, found = np.asarray(got["doc_id"]), got["features"].to_pylist()
-    # One row an id, in an order that does not follow the ids, so that folds are alike.
-    order = sorted(range(len(ids)), key=lambda i: (int(ids[i]) * 2654435761 % 2**32, int(ids[i]), found[i]))
-    order = [i for n, i in enumerate(order) if n == 0 or ids[i] != ids[order[n - 1]]]
+    # In an order that does not follow the ids, so that folds are alike.
+    order = sorted(range(len(ids)), key=lambda i: (int(ids[i]) * 2654435761 % 2**32, int(ids[i])))
     rows = Rows.of([np.frombuffer(found[i], dtype="<u4") for i in order])
     y = np.array([np.asarray(got[c], dtype=float)[order] for c in ys]).T.reshape(rows.n, len(ys))
     return fit_chain(rows, y)
@@ -210,27 +246,10 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], threshol
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = shared.value
-        used = set().union(*(m.words.keys() for m in chain)) if chain else set()
-        memo: dict[str, tuple[int, ...]] = {}
-
-        def known(word: str) -> tuple[int, ...]:
-            if word not in memo:
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                memo[word] = tuple(f for f in word_features(word) if f in used)
-            return memo[word]
-
+        scorer = Scorer(shared.value)
         for batch in (p for b in batches for p in parts(b, "text")):
-            found: list[list[float]] = [[] for _ in chain]
-            for text in batch.column(at).to_pylist():
-                words = set(WORDS((text or "").lower()))
-                features = {f for word in words for f in known(word)}
-                p: list[float] = []
-                for model, column in zip(chain, found, strict=True):
-                    p.append(model.predict(features, p) if words else 0.0)
-                    column.append(p[-1])
-            verdicts = pa.array([x >= threshold for x in found[-1]], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.float64()) for x in found], verdicts], names=[*batch.schema.names, *names, toxic])
+            found = scorer.score(batch.column(at).to_pylist())
+            verdicts = pa.array(found[:, -1] >= threshold, pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.float64()) for x in found.T], verdicts], names=[*batch.schema.names, *names, toxic])
 
     return mapped(docs, run, schema)

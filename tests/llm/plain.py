@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -69,6 +71,72 @@ def uses(rows, weights=(3, 1, 2)):
     return out, target
 
 
+def use_positions(rows, slopes):
+    """(training position, doc_id, row number) of every use, by bisecting each source's cumulative demand."""
+    times, target = uses(rows)
+    size = [len(WORDS(t or "")) for _, _, t in rows]
+    names = sorted(s for s in target if s is not None) + [s for s in target if s is None]
+    out = []
+    for place, s in enumerate(names):
+        slope, before = slopes[place % 3], 0
+        order = sorted((i for i, r in enumerate(rows) if r[1] == s), key=lambda i: (hashlib.md5(str(rows[i][0]).encode()).hexdigest()[:15], rows[i][0], size[i]))
+        own = sum(size[j] for j in order)
+        for i in order:
+            for use in range(times[i]):
+                words, lo, hi = before + use * own, 0.0, 1.0
+                for _ in range(60):
+                    mid = (lo + hi) / 2
+                    lo, hi = (lo, mid) if target[s] * ((1 - slope) * mid + slope * mid * mid) > words else (mid, hi)
+                out.append((hi, rows[i][0], i))
+            before += size[i]
+    return sorted(out)
+
+
+def toxic_chain(texts, labels, most_features, least_z, folds, ridge):
+    """Probabilities of ``texts`` by a chain of logistic regressions; ``labels`` has a row of 0/1 for each of the first texts.
+
+    Features are strings, all matrices are dense, and folds go by the order of ``texts``.
+    """
+
+    def features(text):
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        return {w[:k] + "*" for w in words for k in range(3, 7) if len(w) >= k} | words
+
+    own = [features(t) for t in texts]
+
+    def fitted(rows, earlier, y):
+        counts = [Counter(f for i in rows for f in own[i] if y[i] == c) for c in (0, 1)]
+        n = [sum(y[i] == c for i in rows) for c in (0, 1)]
+        told = []
+        for f in counts[0].keys() | counts[1].keys():
+            b, a = counts[0][f], counts[1][f]
+            if a + b >= 3:
+                share = (a + b + 1) / (len(rows) + 2)
+                told.append((-abs(a / n[1] - b / n[0]) / (share * (1 - share) * (1 / n[1] + 1 / n[0])) ** 0.5, f))
+        names = [f for z, f in sorted(told)[:most_features] if -z >= least_z]
+
+        def x(i, before):
+            return [float(f in own[i]) for f in names] + before + [1.0]
+
+        m, t = np.array([x(i, earlier[i]) for i in rows]), np.array([float(y[i]) for i in rows])
+        w, penalty = np.zeros(m.shape[1]), np.full(m.shape[1], ridge)
+        penalty[-1] = 1e-6
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-m @ w))
+            w = w - np.linalg.solve(m.T @ np.diag(p * (1 - p)) @ m + np.diag(penalty), m.T @ (p - t) + penalty * w)
+        return lambda i, before: float(1 / (1 + np.exp(-np.dot(x(i, before), w))))
+
+    n = len(labels)
+    trained, scored = [[] for _ in labels], [[] for _ in texts]  # earlier probabilities: out-of-fold, and of the whole models
+    for k in range(len(labels[0])):
+        y = [r[k] for r in labels]
+        whole = fitted(range(n), trained, y)
+        parts = [fitted([i for i in range(n) if i % folds != f], trained, y) for f in range(folds)]
+        trained = [before + [parts[i % folds](i, before)] for i, before in enumerate(trained)]
+        scored = [before + [whole(i, before)] for i, before in enumerate(scored)]
+    return [p if f else [0.0] * len(p) for p, f in zip(scored, own)]
+
+
 def repeat_words(words):
     three = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     n = Counter(three)

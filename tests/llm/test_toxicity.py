@@ -1,4 +1,5 @@
 import numpy as np
+import plain
 from conftest_llm import table_of
 
 from tessellog.llm import queries, toxicity
@@ -61,3 +62,33 @@ def test_later_models_see_out_of_fold_probabilities():
     models = toxicity.fit_chain(rows, labels)
     assert len(models[0].chain) == 0 and len(models[1].chain) == 1 and models[1].chain[0] > 0
     assert models[1].predict({1}, [0.9]) > 0.5 > models[1].predict({0}, [0.1])
+
+
+def test_query_equals_a_plain_chain(spark, sf_dir):
+    """The registered query's columns against dense models over feature strings, with the query's sample and folds."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id: (r.low_quality, r.toxic) for r in queries.chain_labels(spark, sf_dir).collect() if r.doc_id in texts}
+    first = sorted(labels, key=lambda d: (d * 2654435761 % 2**32, d))
+    order = first + sorted(texts.keys() - labels.keys())
+    want = plain.toxic_chain([texts[d] for d in order], [labels[d] for d in first], toxicity.MAX_FEATURES, toxicity.MIN_Z, toxicity.FOLDS, toxicity.L2)
+    got = {r.doc_id: r for r in queries.QUERIES["op3_toxicity"](spark, sf_dir).collect()}
+    assert got.keys() == set(order)
+    for d, (low, bad) in zip(order, want):
+        assert abs(got[d].p_low_quality - low) < 1e-5 and abs(got[d].p_toxic - bad) < 1e-5 and got[d].toxic == (bad >= 0.5)
+
+
+def test_scores_at_the_threshold_and_of_repeated_rows(spark):
+    models = [toxicity.Linear(bias=-1.0), toxicity.Linear(words={f: 0.25 for f in toxicity.word_features("bad")}, chain=[0.0], bias=-0.5)]
+    docs = table_of(spark, [(1, "s", "bad"), (1, "s", "bad"), (2, "s", "good"), (3, "s", "123"), (4, "s", "bad " * 200_000)])
+    rows = sorted(toxicity.score(docs, models, ["low_quality", "toxic"]).collect(), key=lambda r: r.doc_id)
+    assert [(r.p_toxic == 0.5, r.toxic) for r in rows] == [(True, True), (True, True), (False, False), (False, False), (True, True)]
+    assert rows[3].p_toxic == 0.0
+
+
+def test_repeated_ids_and_labels_without_documents(spark):
+    """Labels without documents do not use up the sample, and an id with many rows trains once."""
+    docs = table_of(spark, [(i, "s", f"alpha {'grumpolen' if i % 4 == 0 else 'gamma'} w{i % 13}") for i in range(200)] + [(7, "s", f"omega v{i}") for i in range(300)])
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(5000)], "doc_id long, low_quality int, toxic int")
+    models = toxicity.train(docs, labels, queries.CATEGORIES, train_rows=150)
+    got = toxicity.score(docs, models, queries.CATEGORIES).where("text LIKE 'alpha%'").collect()
+    assert all(r.toxic == (r.doc_id % 4 == 0) for r in got)
