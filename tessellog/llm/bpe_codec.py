@@ -10,7 +10,8 @@ mapping from ids to bytes.
 
 Nulls and empty texts encode to no tokens.  Rows are independent: repeated rows,
 ties and extra columns pass through unchanged, but for a column that has the
-result's name, which the result replaces.
+result's name, which the result replaces.  A very long text is encoded whole, by its distinct
+pre-tokens; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import mapped, parts, small_batches
 
 #: Characters that stand for bytes 0 to 255; none of them has a meaning to sentencepiece.
 ALPHABET = [chr(0x100 + b) for b in range(256)]
-#: Pre-tokens whose ids a worker remembers; beyond, it forgets them all and goes on.
-MEMO_ENTRIES = 100_000
+#: Pre-tokens, and characters of them, whose ids a worker remembers; beyond either, it forgets them all and goes on.
+MEMO_ENTRIES, MEMO_CHARS = 100_000, 4_000_000
 #: Characters of text that are split and encoded at a time; a longer text is a chunk of its own.
 CHUNK_CHARS = 1_000_000
 
@@ -86,15 +87,18 @@ class ByteBpe:
         self.whole = {token: struct.pack("<I", rank) for rank, token in enumerate(self.tokens)}
         self.to_alphabet = dict(enumerate(ALPHABET))
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def encode_chunk(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(text) for text in texts]
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > MEMO_ENTRIES or self.held > MEMO_CHARS:
             self.memo.clear()
+            self.held = 0
         memo, unseen = self.memo, []
         for word in set().union(*split):
             if word not in memo:
+                self.held += len(word)
                 raw = word.encode()
                 if raw in self.whole:
                     memo[word] = self.whole[raw]

@@ -16,7 +16,7 @@ file in a table in the shared folder, and works on that alone.  What is broadcas
 or comes to the driver has the size of the template list.
 
 Null and empty texts have no words, no labels and score 0.  Repeated rows are told
-apart by a row number and judged alike.  An empty table gives an empty result.
+apart by a row number and judged alike.  A very long text is searched whole; extra columns are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +46,13 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", ["eclipse public license"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", ["in no event will the authors be held liable"]),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("cc0-1.0", "dedicated to the public domain under the creative commons zero license", ["creative commons zero"]),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", ["gnu free documentation license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
 ]
 #: Anchors of a template at most.

@@ -11,7 +11,10 @@ The split runs level by level over a table of (hash, bytes) in the shared folder
 each level sums the bytes of the still open buckets by prefix, map-side first, and
 only rows of oversized buckets go on.  Two levels of bits are settled by one pass
 (``STEP`` bits a pass), from sums by the finer prefix.  Nothing but the pass's
-count of open buckets comes to the driver.  Null and empty texts have 0 bytes.
+count of open buckets comes to the driver.  Null and empty texts have 0 bytes; a very long text
+is one row like any other.  ``directory`` is what the split leaves behind: one entry for each shard,
+by which ``look_up`` finds the shard of a new document.  Extra columns are not read by ``assign`` and
+kept by ``write``; an empty table has an empty directory and no shard.
 """
 
 from __future__ import annotations
@@ -75,6 +78,27 @@ def placed_rows(docs: DataFrame, row: Column, limit: int) -> DataFrame:
     return out.select("row", "doc_id", "bytes", F.col("to.shard").alias("shard"), F.col("to.depth").cast("long").alias("depth"), F.col("to.shard_bytes").alias("shard_bytes"), (F.col("to.shard_bytes") > limit).alias("oversized"))
 
 
+def directory(assigned: DataFrame) -> DataFrame:
+    """(shard, depth, shard_bytes, n_rows): the directory's entries, of which each holds the hashes that begin with its bits."""
+    return assigned.groupBy("shard", "depth", "shard_bytes").agg(F.count("*").alias("n_rows"))
+
+
+def look_up(ids: DataFrame, entries: DataFrame) -> DataFrame:
+    """``ids`` (doc_id, others) with the ``shard`` of the directory ``entries`` that a new document of that id belongs to.
+
+    Null where the directory has no such bucket yet.  An id whose bucket was split by row numbers goes to the first of its shards.
+    """
+    own, home = fresh(ids, "own_path", "shard")
+    path = F.lpad(F.bin(F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))), 60, "0")
+    # Depths are 0 to DEPTH, so what comes to the driver is bounded.
+    depths = sorted(r["depth"] for r in entries.select(F.least("depth", F.lit(60)).alias("depth")).distinct().collect())
+    keyed = ids.withColumn(own, path)
+    byids = keyed.select(own).distinct().select(own, F.explode(F.array(*[F.substring(own, 1, d) for d in depths] or [F.lit(None).cast("string")])).alias("prefix"))
+    firsts = entries.groupBy(F.expr("left(shard, 60)").alias("prefix")).agg(F.min("shard").alias(home))
+    found = byids.join(firsts, "prefix").groupBy(own).agg(F.min(home).alias(home))
+    return keyed.join(found, own, "left").select(*ids.columns, home)
+
+
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Writes ``docs`` with one folder for each shard, each by one task; a row goes to the shard that ``assign`` computes for it."""
     row, own, shard = fresh(docs, "shard_row", "shard_own", "shard")

@@ -11,7 +11,8 @@ bytes, as byte fallback gives them.
 Where a merge could make a pair of a lower rank than its own, or several pieces
 share a score, only the leftmost pair of a sequence is merged in a round; both
 cases are found from the vocabulary when it is read.  Nulls and empty texts have
-no tokens.  Rows are independent of each other.
+no tokens; a very long text is counted whole, by its distinct pre-tokens.  Rows are independent of each other, so
+repeated rows count alike; extra columns pass through, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 
 from .common import mapped, parts, small_batches
 
-#: Pre-tokens whose counts a worker remembers; beyond, it forgets them all and goes on.
-MEMO_ENTRIES = 150_000
+#: Pre-tokens, and characters of them, whose counts a worker remembers; beyond either, it forgets them all and goes on.
+MEMO_ENTRIES, MEMO_CHARS = 150_000, 4_000_000
 #: Characters of text that are split and counted at a time; a longer text is a chunk of its own.
 CHUNK_CHARS = 1_000_000
 NONE = np.int64(1) << 60
@@ -125,6 +126,7 @@ class PieceCounter:
         newline = any("\n" in b for b in bigrams)
         self.split = (lambda text: [text]) if inner_space else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if newline else f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+").findall
         self.memo: dict[str, int] = {}
+        self.held = 0
 
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wanted = left * self.n + right
@@ -186,9 +188,11 @@ class PieceCounter:
 
     def _count_chunk(self, texts: list[str]) -> list[int]:
         split = [self.split(text) for text in texts]
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > MEMO_ENTRIES or self.held > MEMO_CHARS:
             self.memo.clear()
+            self.held = 0
         unseen = [word for word in set().union(*split) if word not in self.memo]
+        self.held += sum(map(len, unseen))
         self.memo.update(zip(unseen, self.count_distinct(unseen).tolist(), strict=True))
         return [sum(map(self.memo.__getitem__, words)) for words in split]
 

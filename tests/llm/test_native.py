@@ -29,12 +29,47 @@ def test_byte_verification_tells_clashing_digests_apart(spark, edge):
     assert set(Counter(r.text_sha256 for r in rows if r.kept).values()) == {1}
 
 
-def test_runs_are_compacted_across_flushes(spark, edge):
-    index = exact_dedup.DigestIndex(spark)
-    index.flush(edge.where("doc_id <= 8"))
-    index.flush(edge.where("doc_id > 8"))
-    sizes = {(r.keep_id, r.group_size) for r in index.compact().collect()}
-    assert (9, 2) in sizes and (5, 3) in sizes
+def index_of(spark, memtables, ratio=2):
+    index = exact_dedup.DigestIndex(spark, 1000, ratio=ratio)
+    for rows in memtables:
+        index.insert(spark.createDataFrame(rows, "digest binary, doc_id long, row long"))
+    return index
+
+
+def test_levels_are_compacted_by_ratio(spark):
+    """Five memtables on levels of two: the fifth stays on level 0, four went to level 2; the merged counts are those of all."""
+    memtables = [[(hashlib.sha256(b"%d" % (i % (7 + m))).digest(), 100 * m + i, i) for i in range(20)] for m in range(5)]
+    index = index_of(spark, memtables)
+    assert [len(level) for level in index.levels] == [1, 0, 1]
+    want = {}
+    for rows in memtables:
+        for digest, doc_id, _ in rows:
+            best, n = want.get(digest, (0, 0))
+            want[digest] = max(best, doc_id), n + 1
+    assert {bytes(r.digest): (r.keep_id, r.group_size) for r in index.close().collect()} == want
+
+
+def test_filters_and_key_ranges_pass_runs_over(spark):
+    digest = lambda x: hashlib.sha256(b"%d" % x).digest()
+    mixed = index_of(spark, [[(digest(i), i, i) for i in range(300)], [(digest(i), i, i) for i in range(290, 590)]])
+    passed, merged = mixed.probed[0]
+    assert 20 <= merged < 60 and passed + merged == 600  # the ten shared digests, and few others that the filters take for shared
+    low = [(b"\x01" + digest(i), i, i) for i in range(100)]
+    apart = index_of(spark, [low, [(b"\x02" + d[1:], i, j) for d, i, j in low]])
+    assert apart.probed == [(200, 0)]
+    assert mixed.close().where("group_size = 2").count() == 10 and apart.close().count() == 200
+
+
+def test_repeated_rows_and_sql_agree(spark, edge):
+    import duckdb
+
+    documents = edge.select("doc_id", "text").union(edge.where("doc_id > 8").select("doc_id", "text")).union(spark.createDataFrame([(None, "One"), (None, None)], "doc_id long, text string"))
+    got = exact_dedup.dedup(documents).collect()
+    c = duckdb.connect()
+    c.register("documents", documents.toArrow())
+    names = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    want = c.execute(f"SELECT {', '.join(names)} FROM ({exact_dedup.SQL})").fetchall()
+    assert sorted(str(tuple(r[n] for n in names)) for r in got) == sorted(str(r) for r in want)
 
 
 def test_keep_rows(edge):
@@ -70,37 +105,34 @@ def test_mix_repeats_rows(spark, edge):
     assert n == Counter({d: k * rows[d] for d, k in want.items() if k})
 
 
-def use_positions(rows):
-    """(training position, doc_id, row number) of every use, by bisecting each source's cumulative demand."""
-    times, target = plain.uses(rows)
-    size = [len(plain.WORDS(t or "")) for _, _, t in rows]
-    names = sorted(s for s in target if s is not None) + [s for s in target if s is None]
-    out = []
-    for place, s in enumerate(names):
-        slope, before = mixing.SLOPES[place % 3], 0
-        order = sorted((i for i, r in enumerate(rows) if r[1] == s), key=lambda i: (hashlib.md5(str(rows[i][0]).encode()).hexdigest()[:15], rows[i][0], size[i]))
-        for i in order:
-            for use in range(times[i]):
-                words, lo, hi = before + use * sum(size[j] for j in order), 0.0, 1.0
-                for _ in range(60):
-                    mid = (lo + hi) / 2
-                    lo, hi = (lo, mid) if target[s] * ((1 - slope) * mid + slope * mid * mid) > words else (mid, hi)
-                out.append((hi, rows[i][0], i))
-            before += size[i]
-    return sorted(out)
-
-
 def test_mix_gives_every_use_its_own_position(spark):
     rows = [(i, "abcd"[i % 7 % 4] if i % 11 else None, " ".join(["w"] * (1 + i * i % 17))) for i in range(150)]
-    want = use_positions(rows)
+    want = plain.use_positions(rows, mixing.SLOPES)
     assert any(n > 1 for n in Counter(d for _, d, _ in want).values())
     got = [r.doc_id for r in mixing.mix(table_of(spark, rows)).collect()]
     assert got == [d for _, d, _ in want]
 
 
+def test_each_fifth_of_the_mix_follows_the_schedules(spark):
+    """Source shares of each fifth of the mix against the integral of the weight schedules."""
+    rows = [(i, "abc"[i % 3], "w w w w") for i in range(600)]
+    target = plain.uses(rows)[1]
+    got = [r.source for r in mixing.mix(table_of(spark, rows)).collect()]
+    ends = []
+    for fifth in range(5):
+        lo, hi = fifth / 5, (fifth + 1) / 5
+        ends.append({s: target[s] / 4 * ((1 - k) * (hi - lo) + k * (hi * hi - lo * lo)) for s, k in zip("abc", mixing.SLOPES)})
+    start = 0
+    for want in ends:
+        n = round(sum(want.values()))
+        found = Counter(got[start : start + n])
+        assert all(abs(found[s] - want[s]) <= 3 for s in "abc")
+        start += n
+
+
 def test_mix_uses_rows_of_one_id_by_their_own_plan(spark):
     rows = [(7 if i % 3 else i, "abcd"[i % 4], " ".join([f"w{i}"] * i)) for i in range(60)]
-    want = [rows[i][2] for _, _, i in use_positions(rows)]
+    want = [rows[i][2] for _, _, i in plain.use_positions(rows, mixing.SLOPES)]
     assert [r.text for r in mixing.mix(table_of(spark, rows)).collect()] == want
 
 
@@ -122,9 +154,12 @@ def test_quality_edges(edge, empty):
 
 
 def test_line_cleaning(spark):
-    text = "\n".join(["A good line of text here.", "home | about | news | jobs", "A good line of text here.", "Cookie policy", "$$a $$b $$c", "", "Last line."])
-    out = quality.clean(table_of(spark, [(1, "a", text), (2, "a", None)])).orderBy("doc_id").collect()
-    assert out[0].text == "A good line of text here.\n\nLast line." and out[1].text is None
+    bad = ["home | about | news | jobs", "A good line of text here.", "Cookie policy", "Mentions légales", "$$a $$b $$c", "Start » Shop » Men » Shoes", "More items", "see http://a.b/c www.d.e and that"]
+    text = "\n".join(["A good line of text here.", *bad, "", "Last line.", "", "Five words without an end"])
+    out = quality.clean(table_of(spark, [(1, "a", text), (2, "a", None), (3, "a", "x.\n" * 30_000)])).orderBy("doc_id").collect()
+    assert out[0].text == "A good line of text here.\n\nLast line.\n\nFive words without an end" and out[1].text is None and out[2].text == "x.\n"
+    judged = quality.judge(table_of(spark, [(1, "a", text)])).first()
+    assert judged.n_words - judged.n_lost_words == 6 + 2 + 5
 
 
 def test_license_edges(spark, edge, empty):
@@ -167,6 +202,19 @@ def test_sharding_edges(spark, edge, empty):
     assert len(same) == 40 and max(r.shard_bytes for r in same) <= 1000
 
 
+def test_directory_finds_the_shard_of_every_id(spark, empty):
+    docs = table_of(spark, [(i, "a", "x" * (i % 90)) for i in range(300)] + [(5, "a", "y" * 80)] * 30)
+    rows = sharding.assign(docs, 1000)
+    entries = sharding.directory(rows)
+    assert entries.agg(F.sum("n_rows")).first()[0] == 330 and entries.where("shard_bytes > 1000").count() == 0
+    shards = {}
+    for r in rows.collect():
+        shards.setdefault(r.doc_id, set()).add(r.shard)
+    found = sharding.look_up(spark.range(400).withColumnRenamed("id", "doc_id"), entries).collect()
+    assert len(found) == 400 and all(r.shard in shards[r.doc_id] for r in found if r.doc_id in shards)
+    assert sharding.look_up(docs.select("doc_id"), sharding.directory(sharding.assign(empty))).where("shard IS NOT NULL").count() == 0
+
+
 def test_shards_are_written_whole(spark, edge, tmp_path):
     sharding.write(edge, str(tmp_path / "s"), 1000)
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(EDGE)
@@ -222,3 +270,29 @@ def test_reputation_blocks_bad_hosts_and_shrinks_small_ones(spark):
     outcomes = spark.createDataFrame([(i, b) for i, _, b in rows] + [(0, None), (0, 0)], "page_id long, bad int")
     got = {r.host: r.verdict for r in url_filters.judge(pages, outcomes).collect()}
     assert got["bad.x.com"] == "block" and got["good1.y.com"] == "allow" and got["new.y.com"] == "allow" and got["never.y.com"] == "allow"
+
+
+def test_domains_follow_public_suffixes(spark):
+    """Forty bad hosts under one registrant of co.uk do not touch another one; addresses stand alone."""
+    rows = [(i, f"http://h{i % 40}.a.co.uk/{i}", 1) for i in range(200)] + [(1000 + i, f"http://g{i % 40}.com/{i}", 0) for i in range(400)]
+    rows += [(2000 + i, "http://good.b.co.uk/", 0) for i in range(3)] + [(2100, "http://new.good.co.uk/", None), (2101, "http://unseen.a.co.uk./", None)]
+    rows += [(2200 + i, "http://10.0.0.1:80/", 1) for i in range(60)] + [(2300, "http://10.0.0.2/", None), (2301, "http://u@[2001:db8::1]:8080/", None)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows] + [(3000, "http://x.io/" + "a" * 300_000)], "page_id long, url string")
+    got = {r.host: r for r in url_filters.judge(pages, spark.createDataFrame([(i, b) for i, _, b in rows], "page_id long, bad int")).collect()}
+    assert {h: got[h].verdict for h in ("h1.a.co.uk", "good.b.co.uk", "new.good.co.uk", "unseen.a.co.uk.", "10.0.0.1:80", "10.0.0.2", "u@[2001:db8::1]:8080", "g1.com")} == {
+        "h1.a.co.uk": "block",
+        "good.b.co.uk": "allow",
+        "new.good.co.uk": "allow",
+        "unseen.a.co.uk.": "block",
+        "10.0.0.1:80": "block",
+        "10.0.0.2": "allow",
+        "u@[2001:db8::1]:8080": "allow",
+        "g1.com": "allow",
+    }
+    assert len(got["x.io"].path) == 300_001
+
+
+def test_url_edges_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "BROADCAST_HOSTS", 1)
+    pages = spark.createDataFrame(URLS, "page_id long, url string")
+    assert url_filters.judge(pages, spark.createDataFrame([(3, 1)], "page_id long, bad int")).count() == len(URLS)

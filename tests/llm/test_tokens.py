@@ -79,3 +79,27 @@ def test_frames(spark, edge, empty):
     counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(edge, model).collect()}
     assert counts[1] == counts[2] == 0 and counts[4] > 0
     assert token_counts.count_tokens(empty, model).count() == 0
+
+
+def test_queries_equal_the_libraries(spark, sf_dir):
+    """Every column of the two registered queries."""
+    import hashlib
+
+    import sentencepiece
+    import tiktoken
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, queries.vocabulary("byte_bpe_multi_50k.tiktoken").splitlines())}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=pairs, special_tokens={})
+    want = []
+    for d, t in texts.items():
+        ids = library.encode_ordinary(t)
+        want.append((d, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    got = queries.QUERIES["op1_bpe_codec"](spark, sf_dir)
+    assert got.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, got.select(*got.columns[:4]).collect())) == sorted(want)
+    model = sentencepiece.SentencePieceProcessor(model_proto=queries.vocabulary("piece_bpe_32k.model"))
+    want = [(d, len(t.encode()), n := len(model.encode(t)), n > 4096) for d, t in texts.items()]
+    got = queries.QUERIES["op2_token_counts"](spark, sf_dir)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
