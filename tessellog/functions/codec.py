@@ -198,24 +198,36 @@ def remove_ranges(removes: dict[bytes, tuple[bytes | None, tuple[int, int]]]) ->
     return [c for c in out if len(c) > 1]
 
 
+class Layout:
+    """Where a state's operations (id, op, anchor, ch, extra_deps, targets) stand in a snapshot.
+
+    ``place`` has each insertion's section and place, ``target`` that of each single removal's character (none if it
+    is no insertion), ``linked`` the dependency and run place of removals inside runs, ``chains`` those that form ranges.
+    """
+
+    def __init__(self, nodes: Iterable[tuple]):
+        nodes = sorted(nodes)
+        records = document.compact(nodes)
+        self.roots, self.runs, self.befores = ([r for r in records if r["kind"] == kind] for kind in ("root", "run", "before"))
+        self.place: dict[bytes, tuple] = {r["rec_id"]: (kind, i) for kind, rows in (("root", self.roots), ("before", self.befores)) for i, r in enumerate(rows)}
+        for i, r in enumerate(self.runs):
+            self.place.update((n, ("run", i, k)) for k, n in enumerate(r["ids"]))
+        self.removes = {n[0]: n for n in nodes if n[1] == "remove"}
+        self.target = {i: self.place.get(n[5][0]) for i, n in self.removes.items() if len(n[5]) == 1}
+        self.linked = {i: (self.removes[i][4][0] if len(self.removes[i][4]) == 1 else None, p[1:]) for i, p in self.target.items() if p and p[0] == "run"}
+        self.chains = remove_ranges(self.linked)
+
+
 def encode_snapshot(nodes: Iterable[tuple], orphans: Iterable[tuple] = (), strict: bool = False) -> bytes:
     """Bytes of the operations (id, op, anchor, ch, extra_deps, targets), the same for the same set."""
-    nodes, orphans = sorted(nodes), sorted(orphans)
-    records = document.compact(nodes)
-    of = lambda kind: [r for r in records if r["kind"] == kind]
-    roots, runs, befores = of("root"), of("run"), of("before")
-    place: dict[bytes, tuple] = {r["rec_id"]: (kind, i) for kind, rows in (("root", roots), ("before", befores)) for i, r in enumerate(rows)}
-    for i, r in enumerate(runs):
-        place.update((n[0], ("run", i, k)) for k, n in enumerate(document.expand([r], _profile_of(r))))
+    layout, orphans = Layout(nodes), sorted(orphans)
+    removes, target, linked = layout.removes, layout.target, layout.linked
     rows: dict[str, list] = {name: [] for name, _ in SECTIONS}
-    rows["roots"] = [[r["extra_deps"], r["text"]] for r in roots]
-    rows["runs"] = [[r["anchor"], r["extra_deps"], r["text"]] for r in runs]
-    rows["befores"] = [[r["extra_deps"], r["anchor"], r["text"]] for r in befores]
-    removes = {n[0]: n for n in nodes if n[1] == "remove"}
-    target = {i: place.get(n[5][0]) for i, n in removes.items() if len(n[5]) == 1}
-    linked = {i: (removes[i][4][0] if len(removes[i][4]) == 1 else None, p[1:]) for i, p in target.items() if p and p[0] == "run"}
+    rows["roots"] = [[r["extra_deps"], r["text"]] for r in layout.roots]
+    rows["runs"] = [[r["anchor"], r["extra_deps"], r["text"]] for r in layout.runs]
+    rows["befores"] = [[r["extra_deps"], r["anchor"], r["text"]] for r in layout.befores]
     done = set()
-    for chain in remove_ranges(linked):
+    for chain in layout.chains:
         (run, first), (_, last) = linked[chain[0]][1], linked[chain[-1]][1]
         rows["forward_remove_runs" if last > first else "backward_remove_runs"].append([removes[chain[0]][4], run, first, last])
         done.update(chain)
@@ -247,12 +259,6 @@ def encode_snapshot(nodes: Iterable[tuple], orphans: Iterable[tuple] = (), stric
     return bytes(whole.out + b"".join(sorted(ids)) + body.out)
 
 
-def _profile_of(run: dict) -> str:
-    """The profile under which a run's first character has the run's id."""
-    first = preimage("after", run["anchor"], run["text"][0], run["extra_deps"], ())
-    return next(name for name, h in PROFILES.items() if h(first) == run["rec_id"])
-
-
 def _sections(data: bytes) -> tuple[dict[str, list], dict[str, int], Reader]:
     r = Reader(data)
     n = r.num()

@@ -56,8 +56,16 @@ class Peer:
             doc.chains.append(document.Chain("after" if r["kind"] == "run" else r["kind"], None, r["text"], ids))
             doc.heads.add(ids[0])
             place.update((x, (c << document.SHIFT) + k) for k, x in enumerate(ids))
+        below: dict[int, list[document.Chain]] = {}
         for chain, r in zip(doc.chains, chains):
             chain.anchor = place.get(r["anchor"])
+            below.setdefault(-1 if chain.anchor is None else chain.anchor >> document.SHIFT, []).append(chain)
+        number = {id(chain): c for c, chain in enumerate(doc.chains)}
+        open_chains = list(below.get(-1, ()))
+        while open_chains:
+            chain = open_chains.pop()
+            doc.hang(chain)
+            open_chains += below.get(number[id(chain)], ())
         doc.removed = {place[x] for x in gone if x in place}
         doc.reorder()
 

@@ -27,7 +27,8 @@ def encode_batches(records: DataFrame) -> DataFrame:
     """(doc_id, bytes) of each document's records in ``seq`` order."""
 
     def fold(group: pa.Table) -> pa.Table:
-        rows = [_raw(r) for r in group.sort_by("seq").to_pylist()]
+        rows = [_raw(r) for r in group.drop_columns("places").sort_by("seq").to_pylist()]
+        rows = [r | {"targets": document.ids_of(r["targets"])} for r in rows]
         return pa.table({"doc_id": [rows[0]["doc_id"]], "bytes": pa.array([codec.encode_batch(rows)], pa.binary())})
 
     return records.groupBy("doc_id").applyInArrow(fold, "doc_id long, bytes binary")
@@ -75,16 +76,82 @@ def decode_snapshots(data: DataFrame, profile: str = "sha256", fail_fast: bool =
     return _decode(data, lambda raw: codec.decode_snapshot(raw, profile), fail_fast)
 
 
-def section_bytes(snapshots: DataFrame) -> DataFrame:
-    """(doc_id, section, n_bytes, share): the size of each section of each snapshot."""
+def _by_section(snapshots: DataFrame) -> DataFrame:
+    """(doc_id, section, n_bytes, total, unused_ids) for each section of each snapshot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"doc_id": d, "section": k, "n_bytes": v, "total": len(raw)} for d, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, v in codec.section_bytes(raw).items() if k != "unused_ids"]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("section", pa.string()), ("n_bytes", pa.int64()), ("total", pa.int64())]))
+            rows = []
+            for d, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes = codec.section_bytes(raw)
+                unused = sizes.pop("unused_ids")
+                rows += [{"doc_id": d, "section": k, "n_bytes": v, "total": len(raw), "unused_ids": unused} for k, v in sizes.items()]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("section", pa.string()), ("n_bytes", pa.int64()), ("total", pa.int64()), ("unused_ids", pa.int64())]))
+
+    return snapshots.select("doc_id", "bytes").mapInArrow(run, "doc_id long, section string, n_bytes long, total long, unused_ids long")
+
+
+def section_bytes(snapshots: DataFrame) -> DataFrame:
+    """(doc_id, section, n_bytes, share): the size of each section of each snapshot."""
+    return _by_section(snapshots).select("doc_id", "section", "n_bytes", (F.col("n_bytes") / F.col("total")).alias("share"))
+
+
+def section_check(snapshots: DataFrame) -> DataFrame:
+    """(doc_id, whole, unused_ids): whether the sections take up all of a snapshot's bytes, and how many dictionary ids nothing names."""
+    by_doc = _by_section(snapshots).groupBy("doc_id", "total").agg(F.sum("n_bytes").alias("n_bytes"), F.max("unused_ids").alias("unused_ids"))
+    return by_doc.select("doc_id", (F.col("n_bytes") == F.col("total")).alias("whole"), "unused_ids")
+
+
+def _layouts(nodes: DataFrame, rows_of, schema: str) -> DataFrame:
+    """One grouped map over each document's operations: ``rows_of(layout)`` as rows with the document's id ahead."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def fold(group: pa.Table) -> pa.Table:
+        found = rows_of(codec.Layout({n[0]: n for n in map(_tuple, group.to_pylist())}.values()))
+        doc_id = group["doc_id"][0].as_py()
+        return pa.table({c: pa.array(column, pa.int64() if " long" in spec else pa.string()) for c, spec, column in zip(names, schema.split(", "), zip(*[(doc_id, *r) for r in found]) if found else [[]] * len(names), strict=True)})
+
+    return nodes.groupBy("doc_id").applyInArrow(fold, schema)
+
+
+def remove_ranges(nodes: DataFrame) -> DataFrame:
+    """(doc_id, run_id, direction, first, last, length): chains of single removals along a run, each depending on the one before alone."""
+
+    def rows(layout: codec.Layout) -> list[tuple]:
+        out = []
+        for chain in layout.chains:
+            (run, first), (_, last) = layout.linked[chain[0]][1], layout.linked[chain[-1]][1]
+            out.append((layout.runs[run]["rec_id"].hex(), "forward" if last > first else "backward", first, last, len(chain)))
+        return out
+
+    return _layouts(nodes, rows, "doc_id long, run_id string, direction string, first long, last long, length long")
+
+
+def remove_kinds(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, kind) of each removal: the kind of the one insertion it removes (run, before or root), else ``other``."""
+    removes = nodes.where("op = 'remove'").select("doc_id", F.col("node_id").alias("remove_id"), F.when(F.size(F.array_distinct("targets")) == 1, F.get("targets", F.lit(0))).alias("node_id"))
+    inserts = nodes.where("op <> 'remove'").select("doc_id", "node_id", F.when(F.col("op") == "after", "run").otherwise(F.col("op")).alias("kind"))
+    joined = removes.join(inserts, ["doc_id", "node_id"], "left")
+    return joined.select("doc_id", F.col("remove_id").alias("node_id"), F.coalesce("kind", F.lit("other")).alias("kind"))
+
+
+def id_dictionary(nodes: DataFrame) -> DataFrame:
+    """(doc_id, id, place): the ids that a snapshot of the operations names, in order.
+
+    They are all extra dependencies, but those that a removal range implies, and the anchors of runs and of insertions before;
+    inside a run, and for removed characters, places stand for ids.  Removals that have no place name their targets.
+    """
+
+    def rows(layout: codec.Layout) -> list[tuple]:
+        implied = {n for chain in layout.chains for n in chain[1:]}
+        named = {r["anchor"] for r in (*layout.runs, *layout.befores)}
+        for r in (*layout.roots, *layout.runs, *layout.befores):
+            named.update(r["extra_deps"])
+        for i, n in layout.removes.items():
+            named.update(() if i in implied else n[4], () if layout.target.get(i) else n[5])
+        return [(x.hex(), k) for k, x in enumerate(sorted(named))]
 
-    sizes = snapshots.select("doc_id", "bytes").mapInArrow(run, "doc_id long, section string, n_bytes long, total long")
-    return sizes.select("doc_id", "section", "n_bytes", (F.col("n_bytes") / F.col("total")).alias("share"))
+    return _layouts(nodes, rows, "doc_id long, id string, place long")
 
 
 def merge_encoded(nodes: DataFrame, snapshots: DataFrame, profile: str = "sha256") -> DataFrame:

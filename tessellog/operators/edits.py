@@ -12,14 +12,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessellog.functions import document
 from tessellog.functions.hashing import PROFILES, preimage
 from tessellog.functions.schemas import NODES, RECORDS
 
 _IDS = pa.list_(pa.string())
-_RECORDS = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("rec_id", pa.string()), ("kind", pa.string()), ("anchor", pa.string()), ("text", pa.string()), ("extra_deps", _IDS), ("targets", _IDS)])
+_RECORDS = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("rec_id", pa.string()), ("kind", pa.string()), ("anchor", pa.string()), ("text", pa.string()), ("extra_deps", _IDS), ("targets", pa.binary()), ("places", pa.list_(pa.struct([("rec", pa.string()), ("lo", pa.int64()), ("hi", pa.int64())])))])
 _NODES = pa.schema([("doc_id", pa.int64()), ("node_id", pa.string()), ("op", pa.string()), ("anchor", pa.string()), ("ch", pa.string()), ("extra_deps", _IDS), ("targets", _IDS)])
 
 
@@ -28,13 +30,28 @@ def _hex(x: bytes | None) -> str | None:
 
 
 def _raw(row: dict) -> dict:
+    """A row with ids as bytes; a record's targets stay packed."""
     ids = lambda xs: [bytes.fromhex(x) for x in xs or ()]
-    return row | {"anchor": None if row["anchor"] is None else bytes.fromhex(row["anchor"]), "extra_deps": ids(row["extra_deps"]), "targets": ids(row["targets"])}
+    out = row | {"anchor": None if row["anchor"] is None else bytes.fromhex(row["anchor"]), "extra_deps": ids(row["extra_deps"])}
+    out["targets"] = row["targets"] if isinstance(row["targets"], bytes) else ids(row["targets"])
+    if "places" in row:
+        out["places"] = [(bytes.fromhex(p["rec"]), p["lo"], p["hi"]) for p in row["places"] or ()]
+    return out
 
 
 def _record_table(doc_id: int, records: list[dict]) -> pa.Table:
     rows = [
-        {"doc_id": doc_id, "seq": i, "rec_id": r["rec_id"].hex(), "kind": r["kind"], "anchor": _hex(r["anchor"]), "text": r["text"], "extra_deps": [x.hex() for x in r["extra_deps"]], "targets": [x.hex() for x in r["targets"]]}
+        {
+            "doc_id": doc_id,
+            "seq": i,
+            "rec_id": r["rec_id"].hex(),
+            "kind": r["kind"],
+            "anchor": _hex(r["anchor"]),
+            "text": r["text"],
+            "extra_deps": [x.hex() for x in r["extra_deps"]],
+            "targets": b"".join(r["targets"]),
+            "places": [{"rec": rec.hex(), "lo": lo, "hi": hi} for rec, lo, hi in r.get("places", ())],
+        }
         for i, r in enumerate(records)
     ]
     return pa.Table.from_pylist(rows, schema=_RECORDS)
@@ -89,10 +106,11 @@ def expand(records: DataFrame, profile: str = "sha256") -> DataFrame:
             columns: list[list] = [[] for _ in _NODES]
             for row in batch.to_pylist():
                 raw, text = _raw(row), row["text"] or ""
-                extra, targets = (sorted(set(row[c] or ())) for c in ("extra_deps", "targets"))
+                targets = sorted(x.hex() for x in set(document.ids_of(raw["targets"])))
+                extra = sorted(set(row["extra_deps"] or ()))
                 chained = raw["kind"] == "run"
                 op = "after" if chained else raw["kind"]
-                ids = [sha(preimage(op, raw["anchor"], text[:1], raw["extra_deps"], raw["targets"]))]
+                ids = [sha(preimage(op, raw["anchor"], text[:1], raw["extra_deps"], document.ids_of(raw["targets"])))]
                 if chained:
                     document.follow(ids, text, len(text) - 1, sha)
                 names, more = [x.hex() for x in ids], len(ids) - 1
@@ -127,18 +145,78 @@ def characters(records: DataFrame) -> DataFrame:
     return records.where("kind <> 'remove'").select("doc_id", "rec_id", F.posexplode(chars).alias("place", "ch"))
 
 
-def split_run(records: DataFrame, at: Column, left_last: Column) -> DataFrame:
-    """Each run as two at character ``at``, if both parts hold one; the right part is anchored on the left's last id."""
-    n = F.char_length("text")
-    cut = records.withColumn("at", at.cast("int")).withColumn("left_last", left_last)
-    inner = (F.col("at") > 0) & (F.col("at") < n)
-    left = F.struct(F.col("rec_id"), F.col("anchor"), F.expr("left(text, at)").alias("text"), F.col("extra_deps"))
-    right = F.struct(F.lit(None).cast("string").alias("rec_id"), F.col("left_last").alias("anchor"), F.expr("substring(text, at + 1)").alias("text"), F.array().cast("array<string>").alias("extra_deps"))
-    whole = F.struct("rec_id", "anchor", "text", "extra_deps")
-    return cut.select("doc_id", F.posexplode(F.when(inner, F.array(left, right)).otherwise(F.array(whole))).alias("part", "run")).select("doc_id", "part", "run.*")
+def _with_ids(records: DataFrame, schema: str, rows_of, profile: str, *more: str) -> DataFrame:
+    """A map over runs: ``rows_of(row, ids)`` gives rows; ``ids`` are those of the run's characters, recomputed from its anchor."""
+    fields = T.StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = PROFILES[profile]
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                raw = _raw(row)
+                ids = [sha(preimage("after", raw["anchor"], row["text"][:1], raw["extra_deps"], ()))]
+                document.follow(ids, row["text"], len(row["text"]) - 1, sha)
+                out += rows_of(row, ids)
+                if len(out) >= 50_000:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    arrow = to_arrow_schema(fields)
+    runs = records.where("kind = 'run'").select("doc_id", "rec_id", "anchor", "text", "extra_deps", F.lit(b"").alias("targets"), *more)
+    return runs.mapInArrow(run, fields)
+
+
+def run_ids(records: DataFrame, profile: str = "sha256") -> DataFrame:
+    """(doc_id, rec_id, n, first_id, last_id) of each run: its length in characters and the ids at both ends."""
+
+    def rows(row: dict, ids: list[bytes]) -> list[dict]:
+        return [{"doc_id": row["doc_id"], "rec_id": row["rec_id"], "n": len(ids), "first_id": ids[0].hex(), "last_id": ids[-1].hex()}]
+
+    return _with_ids(records, "doc_id long, rec_id string, n long, first_id string, last_id string", rows, profile)
+
+
+def find_position(ids: DataFrame, records: DataFrame, profile: str = "sha256") -> DataFrame:
+    """The rows of ``ids`` (doc_id, node_id) that name a run's character, with its run and place there.
+
+    Runs of documents that no id names are not expanded.
+    """
+
+    def rows(row: dict, found: list[bytes]) -> list[dict]:
+        return [{"doc_id": row["doc_id"], "rec_id": row["rec_id"], "node_id": x.hex(), "place": k} for k, x in enumerate(found)]
+
+    asked = records.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return ids.join(_with_ids(asked, "doc_id long, rec_id string, node_id string, place long", rows, profile), ["doc_id", "node_id"])
+
+
+def split_run(records: DataFrame, at: Column, profile: str = "sha256") -> DataFrame:
+    """(doc_id, part, rec_id, anchor, text, extra_deps): each run as two at character ``at``, if both parts hold one.
+
+    The right part is named by its first character's id and anchored on the left's last; it has no extra dependencies.
+    """
+
+    def rows(row: dict, ids: list[bytes]) -> list[dict]:
+        own = {c: row[c] for c in ("doc_id", "rec_id", "anchor", "text", "extra_deps")} | {"part": 0}
+        k = row["at"]
+        if k is None or not 0 < k < len(ids):
+            return [own]
+        right = {"doc_id": row["doc_id"], "part": 1, "rec_id": ids[k].hex(), "anchor": ids[k - 1].hex(), "text": row["text"][k:], "extra_deps": []}
+        return [own | {"text": row["text"][:k]}, right]
+
+    schema = "doc_id long, part int, rec_id string, anchor string, text string, extra_deps array<string>"
+    return _with_ids(records.withColumn("at", at.cast("int")), schema, rows, profile, "at")
+
+
+def texts(patches: DataFrame, profile: str = "sha256") -> DataFrame:
+    """(doc_id, text, length) of every document that has patches, also if these leave or make nothing."""
+    made = linear_text(replay(patches, profile), profile)
+    every = patches.select("doc_id").distinct().join(made, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("length", F.lit(0).cast("long")).alias("length"))
 
 
-def linear_text(records: DataFrame) -> DataFrame:
+def linear_text(records: DataFrame, profile: str = "sha256") -> DataFrame:
     """(doc_id, text, length): the visible text of each document, from its records by one grouped map.
 
     Runs are expanded only inside the group, so what is shuffled is the compact log.
@@ -146,7 +224,7 @@ def linear_text(records: DataFrame) -> DataFrame:
 
     def fold(group: pa.Table) -> pa.Table:
         rows = [_raw(r) | {"rec_id": bytes.fromhex(r["rec_id"])} for r in group.to_pylist()]
-        text = document.render(rows)
+        text = document.render(rows, profile)
         return pa.table({"doc_id": [group["doc_id"][0].as_py()], "text": [text], "length": pa.array([len(text)], pa.int64())})
 
     return records.groupBy("doc_id").applyInArrow(fold, "doc_id long, text string, length long")

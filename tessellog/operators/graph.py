@@ -80,18 +80,31 @@ def invalid(nodes: DataFrame) -> DataFrame:
 def waiting(log: DataFrame) -> DataFrame:
     """(doc_id, node_id) of operations that lack a dependency, or depend on one that waits or is invalid.
 
-    Each round follows dependencies two levels on, in a table of its own; the last
-    round finds nothing new.
+    An operation with one dependency shares that one's fate.  Doubling the reach of such pointers, each round a table of its own,
+    leads every operation in log n rounds to the nearest one that has several dependencies, or none, or waits by itself;
+    only among those rounds follow dependencies, two levels each.
     """
     links = saved(deps(log), "deps")
-    start = missing(log).select(*KEY).union(invalid(log).select(*KEY)).distinct()
-    fresh = all_waiting = saved(start, "waiting")
+    start = saved(missing(log).select(*KEY).union(invalid(log).select(*KEY)).distinct(), "waiting")
+    single = links.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("dep_id").alias("to")).where("n = 1").join(start, KEY, "left_anti")
+    reach = saved(single.select(*KEY, "to"), "reach")
+    while True:
+        ahead = reach.select("doc_id", F.col("node_id").alias("to"), F.col("to").alias("beyond"))
+        further = saved(reach.join(ahead, ["doc_id", "to"], "left").select(*KEY, F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")), "reach")
+        reach = further.drop("moved")
+        if further.where("moved").isEmpty():
+            break
+    # Of the operations with several dependencies: each dependency's last pointer.
+    joints = links.join(reach.select(*KEY), KEY, "left_anti").join(start, KEY, "left_anti")
+    last = reach.select("doc_id", F.col("node_id").alias("dep_id"), "to")
+    joints = saved(joints.join(last, ["doc_id", "dep_id"], "left").select(*KEY, F.coalesce("to", "dep_id").alias("dep_id")).distinct(), "joints")
+    fresh = held = start
     while not fresh.isEmpty():
-        on = lambda nodes: links.join(nodes.select("doc_id", F.col("node_id").alias("dep_id")), ["doc_id", "dep_id"], "left_semi").select(*KEY)
+        on = lambda nodes: joints.join(nodes.select("doc_id", F.col("node_id").alias("dep_id")), ["doc_id", "dep_id"], "left_semi").select(*KEY)
         near = on(fresh)
-        fresh = saved(near.union(on(near)).distinct().join(all_waiting, KEY, "left_anti"), "waiting")
-        all_waiting = all_waiting.union(fresh)
-    return all_waiting
+        fresh = saved(near.union(on(near)).distinct().join(held, KEY, "left_anti"), "fresh")
+        held = saved(held.union(fresh), "held")
+    return held.union(reach.join(held.select("doc_id", F.col("node_id").alias("to")), ["doc_id", "to"], "left_semi").select(*KEY))
 
 
 def admit(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -176,9 +189,18 @@ def visible(nodes: DataFrame, order: DataFrame | None = None) -> DataFrame:
 
 
 def text(nodes: DataFrame) -> DataFrame:
-    """(doc_id, text, length): each document's visible text."""
-    shown = visible(nodes)
-    return shown.groupBy("doc_id").agg(F.expr("listagg(ch) WITHIN GROUP (ORDER BY pos)").alias("text"), F.count("*").alias("length"))
+    """(doc_id, text, length): each document's visible text; a document with nothing left has the empty one."""
+    shown = visible(nodes).groupBy("doc_id").agg(F.expr("listagg(ch) WITHIN GROUP (ORDER BY pos)").alias("text"), F.count("*").alias("length"))
+    every = nodes.select("doc_id").distinct().join(shown, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("length", F.lit(0).cast("long")).alias("length"))
+
+
+def length(nodes: DataFrame) -> DataFrame:
+    """(doc_id, length, is_empty): how many characters of each document are visible; nothing is ordered for it."""
+    gone = tombstones(nodes).withColumn("gone", F.lit(True))
+    left = nodes.select(*KEY, "op").join(gone, KEY, "left")
+    shown = F.count_if((F.col("op") != "remove") & F.col("gone").isNull())
+    return left.groupBy("doc_id").agg(shown.alias("length")).withColumn("is_empty", F.col("length") == 0)
 
 
 def neighbours(shown: DataFrame) -> DataFrame:
@@ -192,6 +214,31 @@ def contains(ids: DataFrame, nodes: DataFrame) -> DataFrame:
     return ids.join(nodes.select(*KEY), KEY, "left_semi")
 
 
+def characters_of(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``ids`` (doc_id, node_id) with the character ``ch`` that the operation inserts, removed since or not; null if it inserts none."""
+    return ids.join(nodes.where(INSERTS).select(*KEY, "ch"), KEY, "left")
+
+
+def inserted(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``ids`` whose operation the log holds and is an insertion."""
+    return contains(ids, nodes.where(INSERTS))
+
+
+def equal_states(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(doc_id, equal): whether two logs have reached the same state, which is whether their frontiers are equal.
+
+    What still waits counts for nothing, so each log should be an admitted one; a document that one log lacks differs.
+    """
+    sides = frontier(one).withColumnRenamed("tips", "one").join(frontier(two).withColumnRenamed("tips", "two"), "doc_id", "full")
+    return sides.select("doc_id", F.col("one").eqNullSafe(F.col("two")).alias("equal"))
+
+
+def synchronise(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both replicas after each has sent the other what it had before: (admitted, pending) of the exchange, which is the same for both."""
+    admitted, pending, _ = admit(merge(one, two))
+    return admitted, pending
+
+
 def causally_after(order: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` (doc_id, a, b) with whether b follows from a by an insertion after a and any more."""
     one = order.select("doc_id", F.col("node_id").alias("a"), F.col("place").alias("place_a"), F.col("last").alias("last_a"))
@@ -202,8 +249,11 @@ def causally_after(order: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def first_difference(pairs: DataFrame) -> DataFrame:
-    """(doc_id, at): the first position where texts ``a`` and ``b`` differ; null if they are equal."""
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    """(doc_id, at): the first position where texts ``a`` and ``b`` differ; null if they are equal.
+
+    A null text is no text, so it differs from any other, the empty one too, at 0.
+    """
+    chars = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
     zipped = F.arrays_zip(chars("a").alias("a"), chars("b").alias("b"))
     at = F.array_position(F.transform(zipped, lambda z: ~z["a"].eqNullSafe(z["b"])), True)
-    return pairs.select("doc_id", F.when(~F.col("a").eqNullSafe(F.col("b")), (at - 1).cast("long")).alias("at"))
+    return pairs.select("doc_id", F.when(~F.col("a").eqNullSafe(F.col("b")), F.greatest(at - 1, F.lit(0)).cast("long")).alias("at"))

@@ -5,21 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read again; this cuts its lineage.
-
-    A session without that setting gets a temporary folder, if it is a local one.
-    """
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in ``spark.checkpoint.dir`` that nothing has; a session without that setting gets a temporary folder, if it is a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessellog-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to ``spark.checkpoint.dir`` and read again; this cuts its lineage."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tessellog.functions.hashing import chain_tip, node_id_column
 from tessellog.operators import codecs, edits, graph, stats
-from tessellog.operators.store import saved
-from tessellog.sources.traces import random_edits
+from tessellog.operators.store import fresh_path, saved
+from tessellog.sources import traces
 
 from .event_log import DUCK_LOG, DUCK_ORDER, event_nodes
 
@@ -36,7 +36,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text")
+    """All documents; one without text is an empty one."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: The same in SQL.
+_DOCS = "docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 
 
 def edit(doc_id, txn: int, pos, cut, ins):
@@ -51,10 +56,10 @@ def edited(docs: DataFrame, *more: tuple) -> DataFrame:
 
 
 def texts_of(patches: DataFrame) -> DataFrame:
-    return edits.linear_text(edits.replay(patches)).select("doc_id", "text")
+    return edits.texts(patches).select("doc_id", "text")
 
 
-@query("SELECT doc_id, text FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def replay_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts_of(edits.patches_of_text(documents(spark, sf_dir)))
 
@@ -63,19 +68,26 @@ def chars():
     return F.char_length("text")
 
 
-@query("SELECT doc_id, substr(text, 1, length(text) // 4) || '<cut>' || substr(text, length(text) // 2 + 1) AS text FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, '' AS text, 0 AS length FROM documents")
+def emptied_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from which all is removed, the last third first."""
+    third = F.floor(chars() / 3)
+    return edits.texts(edited(documents(spark, sf_dir), (chars() - third, third, F.lit("")), (0, chars(), F.lit("")))).withColumn("length", F.col("length").cast("int"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, substr(text, 1, length(text) // 4) || '<cut>' || substr(text, length(text) // 2 + 1) AS text FROM docs")
 def remove_range_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter, half = F.floor(chars() / 4), F.floor(chars() / 2)
     return texts_of(edited(documents(spark, sf_dir), (quarter, half - quarter, F.lit("<cut>"))))
 
 
-@query("SELECT doc_id, substr(text, 1, length(text) - length(text) // 3) || '!' AS text FROM documents WHERE length(text) > 0")
+@query(f"WITH {_DOCS} SELECT doc_id, substr(text, 1, length(text) - length(text) // 3) || '!' AS text FROM docs")
 def out_of_range_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = chars() - F.floor(chars() / 3)
     return texts_of(edited(documents(spark, sf_dir), (start, chars() * 2, F.lit("")), (start, 0, F.lit("!"))))
 
 
-_LINES_DUCK = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+_LINES_DUCK = f"""{_DOCS}, lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM docs),
 changes AS (SELECT doc_id, i, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_pos,
   least(i % 3, length(line)) AS cut, repeat('>', (i % 4)::INTEGER) AS text FROM lines)"""
 
@@ -95,10 +107,10 @@ def multi_change_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.in_current_coordinates(line_changes(spark, sf_dir)).select("doc_id", F.col("i").cast("long").alias("i"), "pos", "del", "ins")
 
 
-@query(f"WITH {_LINES_DUCK} SELECT c.doc_id, string_agg(c.text || substr(l.line, c.cut + 1), chr(10) ORDER BY i) AS text FROM changes c JOIN lines l USING (doc_id, i) GROUP BY c.doc_id HAVING length(string_agg(l.line, '')) > 0")
+@query(f"WITH {_LINES_DUCK} SELECT c.doc_id, string_agg(c.text || substr(l.line, c.cut + 1), chr(10) ORDER BY i) AS text FROM changes c JOIN lines l USING (doc_id, i) GROUP BY c.doc_id")
 def multi_change_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).where("char_length(replace(text, '\n', '')) > 0")
-    changes = edits.in_current_coordinates(line_changes(spark, sf_dir)).join(docs.select("doc_id"), "doc_id", "left_semi")
+    docs = documents(spark, sf_dir)
+    changes = edits.in_current_coordinates(line_changes(spark, sf_dir))
     return texts_of(edits.patches_of_text(docs).unionByName(changes.select(*[F.col(c).cast("long" if c != "ins" else "string").alias(c) for c in ("doc_id", "txn", "i", "pos", "del", "ins")])))
 
 
@@ -123,7 +135,7 @@ def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text as one run, without ids."""
     none = F.array().cast("array<string>")
     docs = documents(spark, sf_dir).where(chars() > 0)
-    return docs.select("doc_id", F.lit(0).cast("long").alias("seq"), F.sha2(F.col("doc_id").cast("string"), 256).alias("rec_id"), F.lit("run").alias("kind"), F.lit(None).cast("string").alias("anchor"), "text", none.alias("extra_deps"), none.alias("targets"))
+    return docs.select("doc_id", F.lit(0).cast("long").alias("seq"), F.sha2(F.col("doc_id").cast("string"), 256).alias("rec_id"), F.lit("run").alias("kind"), F.lit(None).cast("string").alias("anchor"), "text", none.alias("extra_deps"), F.lit(b"").alias("targets"))
 
 
 @query(
@@ -135,53 +147,100 @@ def decompress_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("doc_id", "ch").agg(F.count("*").alias("n"), F.min("place").cast("long").alias("first_place"), F.sum("place").alias("places"))
 
 
+#: The id at the end of a text that was typed at once, in SQL; ``cs`` has its characters' code points, in hex.
+_CHARS = f"chars AS (SELECT doc_id, text, list_transform(string_split(text, ''), lambda c: {_LE.format(c='c')}) AS cs FROM documents WHERE length(text) > 0)"
+_TIP = (
+    f"list_reduce({{rest}}, lambda a, c: sha256(unhex('{_HEX['extra_deps']}{_HEX['opafter']}' || a || '{_HEX['$']}' || c || '{_HEX['done']}')),"
+    f" sha256(unhex('{_HEX['extra_deps']}{_HEX['oproot']}' || cs[1] || '{_HEX['done']}')))"
+)
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each document's text, typed at once: a root and a run."""
+    return edits.replay(edits.patches_of_text(documents(spark, sf_dir)))
+
+
 @query(
-    """SELECT doc_id, 0 AS part, CASE WHEN length(text) > 1 THEN substr(text, 1, length(text) // 2) ELSE text END AS text, NULL AS anchor FROM documents WHERE length(text) > 0
-    UNION ALL SELECT doc_id, 1, substr(text, length(text) // 2 + 1), sha256('left' || doc_id) FROM documents WHERE length(text) > 1"""
+    f"""WITH {_CHARS}, cut AS (SELECT *, (length(text) - 1) // 2 AS k FROM chars WHERE length(text) > 1),
+    named AS (SELECT doc_id, text, k, {_TIP.format(rest="cs[2:2]")} AS head, {_TIP.format(rest="cs[2:k + 1]")} AS left_last, {_TIP.format(rest="cs[2:k + 2]")} AS right_first, {_TIP.format(rest="[]::VARCHAR[]")} AS root FROM cut)
+    SELECT doc_id, 0 AS part, head AS rec_id, root AS anchor, CASE WHEN k > 0 THEN substr(text, 2, k) ELSE substr(text, 2) END AS text FROM named
+    UNION ALL SELECT doc_id, 1, right_first, left_last, substr(text, k + 2) FROM named WHERE k > 0"""
 )
 def run_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left_last = F.sha2(F.concat(F.lit("left"), F.col("doc_id").cast("string")), 256)
-    return edits.split_run(text_records(spark, sf_dir), F.floor(chars() / 2), left_last).select("doc_id", "part", "text", "anchor")
+    return edits.split_run(typed(spark, sf_dir), F.floor(chars() / 2)).select("doc_id", "part", "rec_id", "anchor", "text")
+
+
+@query(f"WITH {_CHARS} SELECT doc_id, length(text) - 1 AS n, {_TIP.format(rest='cs[2:2]')} AS first_id, {_TIP.format(rest='cs[2:]')} AS last_id FROM chars WHERE length(text) > 1")
+def run_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.run_ids(typed(spark, sf_dir)).select("doc_id", "n", "first_id", "last_id")
+
+
+@query(f"WITH {_CHARS} SELECT doc_id, {_TIP.format(rest='cs[2:]')} AS node_id, length(text) - 2 AS place FROM chars WHERE length(text) > 1")
+def position_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the frontier's character stands in its run."""
+    log = saved(typed(spark, sf_dir), "records")
+    return edits.find_position(run_chain_tip(spark, sf_dir).select("doc_id", F.col("tip").alias("node_id")), log).select("doc_id", "node_id", "place")
 
 
 def turn_nodes(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
-    """Each turn of a conversation as a root whose character marks the turn; a document is a conversation."""
-    none = F.array().cast("array<string>")
-    turns = read(spark, sf_dir, "conversations")
-    turns = turns.where(F.col("role") == role) if role else turns
-    rows = turns.select(F.col("conv_id").alias("doc_id"), F.lit("root").alias("op"), F.lit(None).cast("string").alias("anchor"), "turn", none.alias("extra_deps"), none.alias("targets"))
-    mark = F.element_at(F.array(*[F.lit(chr(0x4E00 + k)) for k in range(256)]), (F.col("turn") % 256 + 1).cast("int"))
-    return graph.with_ids(rows.withColumn("ch", mark)).select("doc_id", "node_id", "op", "anchor", "ch", "extra_deps", "targets")
+    """The operations of each turn's text, typed by a site of its own; a document is a conversation."""
+    turns = read(spark, sf_dir, "conversations").where("conv_id IS NOT NULL")
+    turns = turns.where(F.col("role").eqNullSafe(role)) if role else turns
+    return edits.expand(site_logs(turns, F.col("text")))
+
 
+def site_logs(turns: DataFrame, text) -> DataFrame:
+    """Records of each row's text, under the conversation's id; a row is a site of its own."""
+    sites = saved(turns.select(F.col("conv_id").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("site", F.monotonically_increasing_id()), "sites")
+    logs = edits.replay(edits.patches_of_text(sites.select(F.col("site").alias("doc_id"), "text")))
+    return logs.withColumnRenamed("doc_id", "site").join(sites.select("site", "doc_id"), "site").select("doc_id", *[c for c in logs.columns if c != "doc_id"])
 
-_TURN = _ROOT.format(c="chr((19968 + turn % 256)::INTEGER)")
 
+_TURNS = "turns AS (SELECT DISTINCT conv_id, text FROM conversations WHERE conv_id IS NOT NULL AND length(text) > 0)"
 
-@query(f"SELECT DISTINCT conv_id AS doc_id, {_TURN} AS node_id FROM conversations WHERE role IN ('user', 'assistant')")
+
+@query(
+    f"""WITH {_TURNS}, last AS (SELECT * FROM turns t WHERE NOT EXISTS (SELECT 1 FROM turns o WHERE o.conv_id = t.conv_id AND length(o.text) > length(t.text) AND starts_with(o.text, t.text))),
+    chars AS (SELECT conv_id, list_transform(string_split(text, ''), lambda c: {_LE.format(c='c')}) AS cs FROM last)
+    SELECT conv_id AS doc_id, {_TIP.format(rest='cs[2:]')} AS node_id FROM chars"""
+)
 def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    user, assistant = (turn_nodes(spark, sf_dir, role) for role in ("user", "assistant"))
-    return graph.merge(user, assistant, user).select("doc_id", "node_id")
+    """The frontier of the merged logs of all roles, one log for each."""
+    roles = [r["role"] for r in read(spark, sf_dir, "conversations").select("role").distinct().where("role IS NOT NULL").orderBy("role").limit(ROLES + 1).collect()]
+    if len(roles) > ROLES:
+        raise ValueError("a replica is a role, of which there are few")
+    logs = [turn_nodes(spark, sf_dir, role) for role in roles]
+    return graph.tips(saved(graph.merge(*logs, logs[0]), "merged")).select("doc_id", "node_id")
+
+
+#: Roles of conversations, of which each is a replica.
+ROLES = 16
 
 
-@query("SELECT count(DISTINCT (conv_id, turn % 256)) AS n, true AS same FROM conversations")
+@query(f"WITH {_TURNS}, starts AS (SELECT DISTINCT conv_id, substr(text, 1, n) AS start FROM (SELECT conv_id, text, unnest(range(1, length(text) + 1)) AS n FROM turns)) SELECT count(*) AS n, true AS same FROM starts")
 def merge_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = turn_nodes(spark, sf_dir)
+    """A log merged with itself: an operation for each distinct beginning of a conversation's turns."""
+    log = saved(turn_nodes(spark, sf_dir), "log")
     once, twice = graph.merge(log), graph.merge(log, log)
     tagged = once.select("doc_id", "node_id").withColumn("side", F.lit(1)).unionByName(twice.select("doc_id", "node_id").withColumn("side", F.lit(2)))
     return tagged.groupBy("doc_id", "node_id").agg(F.sum("side").alias("sides")).agg(F.count("*").alias("n"), F.bool_and(F.col("sides") == 3).alias("same"))
 
 
+#: A turn's mark is the code point 65,536 + turn, so turns below a million have marks of their own.
+_MARK = "chr((65536 + turn)::INTEGER)"
+
+
 @query(
-    f"""WITH roots AS (SELECT conv_id, turn, text, {_TURN} AS id FROM conversations)
-    SELECT conv_id AS doc_id, string_agg(chr((19968 + turn % 256)::INTEGER) || coalesce(text, ''), '' ORDER BY id, turn) AS text FROM roots GROUP BY conv_id"""
+    f"""WITH roots AS (SELECT conv_id, turn, text, {_ROOT.format(c=_MARK)} AS id FROM conversations)
+    SELECT conv_id AS doc_id, string_agg({_MARK} || coalesce(text, ''), '' ORDER BY id, turn) AS text FROM roots GROUP BY conv_id"""
 )
 def concurrent_roots_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn is typed by a site of its own, all concurrently; then the sites' logs are merged."""
-    turns = read(spark, sf_dir, "conversations")
-    mark = F.element_at(F.array(*[F.lit(chr(0x4E00 + k)) for k in range(256)]), (F.col("turn") % 256 + 1).cast("int"))
-    site = F.col("conv_id") * 4096 + F.col("turn")
-    typed = edits.replay(edits.patches_of_text(turns.select(site.alias("doc_id"), F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"))))
-    return edits.linear_text(typed.withColumn("doc_id", F.floor(F.col("doc_id") / 4096))).select("doc_id", "text")
+    """Each turn, after a mark of its own, is typed by a site of its own, all concurrently; then the sites' logs are merged."""
+    point = (F.lit(65536) + F.col("turn")).cast("int")
+    byte = lambda lead, shift, bits: F.lpad(F.hex((F.lit(lead) + F.shiftright(point, shift) % (1 << bits)).cast("int")), 2, "0")
+    mark = F.unhex(F.concat(byte(0xF0, 18, 3), byte(0x80, 12, 6), byte(0x80, 6, 6), byte(0x80, 0, 6))).cast("string")
+    typed_turns = site_logs(read(spark, sf_dir, "conversations"), F.concat(mark, F.coalesce("text", F.lit(""))))
+    return edits.linear_text(typed_turns).select("doc_id", "text")
 
 
 @query(
@@ -244,6 +303,26 @@ def admitted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.admit(lossy_log(spark, sf_dir))[0].select("doc_id", "node_id")
 
 
+@query(
+    f"""{_PENDING}, here AS (SELECT * FROM arrived WHERE (doc_id, node_id) NOT IN (SELECT (doc_id, node_id) FROM held)),
+    ends AS (SELECT doc_id, string_agg(node_id, ',' ORDER BY node_id) AS tips FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM deps d WHERE d.doc_id = n.doc_id AND d.dep_id = n.node_id) GROUP BY doc_id),
+    here_ends AS (SELECT doc_id, string_agg(node_id, ',' ORDER BY node_id) AS tips FROM here n WHERE NOT EXISTS (SELECT 1 FROM deps d JOIN here h USING (doc_id, node_id) WHERE d.doc_id = n.doc_id AND d.dep_id = n.node_id) GROUP BY doc_id)
+    SELECT doc_id, coalesce(e.tips = h.tips, false) AS equal FROM ends e FULL JOIN here_ends h USING (doc_id)"""
+)
+def equal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a replica behind the lossy network has reached the state of the one that sent the log."""
+    sent = saved(event_nodes(spark, sf_dir), "sent")
+    return graph.equal_states(sent, saved(graph.admit(lossy_log(spark, sf_dir))[0], "got"))
+
+
+@query(f"WITH {DUCK_LOG} SELECT doc_id, node_id FROM nodes")
+def two_way_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of which each lacks some of the log, after they have sent each other what they had."""
+    log = saved(event_nodes(spark, sf_dir), "log")
+    one, two = log.where("NOT startswith(node_id, '0')"), log.where("NOT startswith(node_id, 'f')")
+    return graph.synchronise(one, two)[0].select("doc_id", "node_id")
+
+
 @query(f"WITH {DUCK_LOG}, {_DEPS} SELECT DISTINCT doc_id, node_id, dep_id FROM deps WHERE dep_id LIKE '0%' AND node_id NOT LIKE '0%'")
 def missing_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.missing(lossy_log(spark, sf_dir).dropDuplicates(graph.KEY))
@@ -284,16 +363,29 @@ def causally_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.causally_after(order, pairs)
 
 
-@query(f"WITH RECURSIVE {DUCK_ORDER} SELECT doc_id, string_agg(ch, '' ORDER BY pos) AS text, count(*) AS length FROM shown GROUP BY doc_id")
+_EVERY = "every AS (SELECT DISTINCT doc_id FROM nodes)"
+
+
+@query(f"WITH RECURSIVE {DUCK_ORDER}, {_EVERY} SELECT e.doc_id, coalesce(string_agg(ch, '' ORDER BY pos), '') AS text, count(ch) AS length FROM every e LEFT JOIN shown s ON e.doc_id = s.doc_id GROUP BY e.doc_id")
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.text(event_nodes(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {DUCK_ORDER} SELECT doc_id, count(*) AS length, count(*) = 0 AS is_empty FROM shown GROUP BY doc_id")
+@query(f"WITH RECURSIVE {DUCK_ORDER}, {_EVERY} SELECT e.doc_id, count(ch) AS length, count(ch) = 0 AS is_empty FROM every e LEFT JOIN shown s ON e.doc_id = s.doc_id GROUP BY e.doc_id")
 def visible_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = event_nodes(spark, sf_dir)
-    left = nodes.where(graph.INSERTS).select(*graph.KEY).join(graph.tombstones(nodes), graph.KEY, "left_anti")
-    return left.groupBy("doc_id").agg(F.count("*").alias("length")).withColumn("is_empty", F.col("length") == 0)
+    return graph.length(event_nodes(spark, sf_dir))
+
+
+@query(f"WITH {DUCK_LOG}, wanted AS (SELECT user_id AS doc_id, sha256('n' || (event_id + 1)) AS node_id FROM events) SELECT w.doc_id, w.node_id, n.ch FROM wanted w LEFT JOIN nodes n ON w.doc_id = n.doc_id AND w.node_id = n.node_id AND n.op <> 'remove'")
+def node_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = read(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "sha2(concat('n', event_id + 1), 256) AS node_id")
+    return graph.characters_of(wanted, event_nodes(spark, sf_dir))
+
+
+@query(f"WITH {DUCK_LOG}, wanted AS (SELECT user_id AS doc_id, sha256('n' || (event_id + 1)) AS node_id FROM events) SELECT w.doc_id, w.node_id FROM wanted w SEMI JOIN (SELECT * FROM nodes WHERE op <> 'remove') n USING (doc_id, node_id)")
+def inserted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = read(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "sha2(concat('n', event_id + 1), 256) AS node_id")
+    return graph.inserted(wanted, event_nodes(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {DUCK_ORDER} SELECT doc_id, node_id, ch, pos, lag(node_id) OVER o AS left_id, lead(node_id) OVER o AS right_id FROM shown WINDOW o AS (PARTITION BY doc_id ORDER BY pos)")
@@ -318,7 +410,7 @@ def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of each document as a run."""
     none = F.array().cast("array<string>")
     lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text")).where("text <> ''")
-    return lines.select("doc_id", F.col("seq").cast("long").alias("seq"), F.lit("").alias("rec_id"), F.lit("run").alias("kind"), F.lit("").alias("anchor"), "text", none.alias("extra_deps"), none.alias("targets"))
+    return lines.select("doc_id", F.col("seq").cast("long").alias("seq"), F.lit("").alias("rec_id"), F.lit("run").alias("kind"), F.lit("").alias("anchor"), "text", none.alias("extra_deps"), F.lit(b"").alias("targets"))
 
 
 @query(
@@ -349,68 +441,117 @@ def edit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.rates(counted, "seconds").select("doc_id", "patch_count", "op_count", *[F.round(c, 6).alias(c) for c in ("ops_per_s", "patches_per_s")])
 
 
-@query(f"WITH {DUCK_LOG}, ids AS (SELECT DISTINCT doc_id, anchor AS id FROM nodes WHERE anchor IS NOT NULL UNION SELECT doc_id, unnest(extra_deps) FROM nodes UNION SELECT doc_id, unnest(targets) FROM nodes) SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY id) - 1 AS place FROM ids")
+@query(
+    f"""WITH {DUCK_LOG}, kids AS (SELECT doc_id, anchor, count(*) AS n FROM nodes WHERE op = 'after' GROUP BY ALL),
+    inner_ids AS (SELECT n.doc_id, n.node_id FROM nodes n JOIN nodes a ON a.doc_id = n.doc_id AND a.node_id = n.anchor AND a.op = 'after' JOIN kids k ON k.doc_id = n.doc_id AND k.anchor = n.anchor
+      WHERE n.op = 'after' AND len(n.extra_deps) = 0 AND k.n = 1),
+    ids AS (SELECT doc_id, anchor AS id FROM nodes n WHERE anchor IS NOT NULL AND NOT EXISTS (SELECT 1 FROM inner_ids i WHERE i.doc_id = n.doc_id AND i.node_id = n.node_id) UNION SELECT doc_id, unnest(extra_deps) FROM nodes)
+    SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY id) - 1 AS place FROM ids"""
+)
 def id_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = graph.edges(event_nodes(spark, sf_dir)).select("doc_id", F.col("dep_id").alias("id")).distinct()
-    return named.withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY id) - 1").cast("long"))
+    return codecs.id_dictionary(event_nodes(spark, sf_dir))
 
 
 @query(
-    """WITH e AS (SELECT user_id AS doc_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type FROM events),
-    r AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM e WHERE event_type IN ('click', 'view'))
-    SELECT doc_id, min(n) AS first, max(n) AS last, count(*) AS length FROM r GROUP BY doc_id, island HAVING count(*) > 1"""
+    f"""WITH {_DOCS} SELECT doc_id, 'forward' AS direction, (length(text) // 2 - 1) AS first, (length(text) // 2 + 1) AS last, 3 AS length FROM docs WHERE length(text) > 11
+    UNION ALL SELECT doc_id, 'backward', length(text) // 2 - 2, length(text) // 2 - 3, 2 FROM docs WHERE length(text) > 11"""
 )
 def remove_chain_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks and views as removals of the character at their place: chains of adjacent removals become ranges."""
-    placed = read(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "event_type", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n").where("event_type IN ('click', 'view')")
-    islands = placed.withColumn("island", F.expr("n - row_number() OVER (PARTITION BY doc_id ORDER BY n)"))
-    return islands.groupBy("doc_id", "island").agg(F.min("n").cast("long").alias("first"), F.max("n").cast("long").alias("last"), F.count("*").alias("length")).where("length > 1").drop("island")
+    """Three characters deleted forward from the middle of each text, then two backward from there; typing in between ends the first chain."""
+    half = F.floor(chars() / 2)
+    steps = [(half, 1, F.lit(""))] * 3 + [(0, 0, F.lit("x")), (half, 1, F.lit("")), (half - 1, 1, F.lit(""))]
+    log = edits.replay(edited(documents(spark, sf_dir).where(chars() > 11), *steps))
+    return codecs.remove_ranges(edits.expand(log)).select("doc_id", "direction", "first", "last", "length")
 
 
-@query(f"WITH {DUCK_LOG}, kinds AS (SELECT n.doc_id, coalesce(t.op, 'none') AS target FROM nodes n LEFT JOIN nodes t ON n.doc_id = t.doc_id AND n.targets[1] = t.node_id WHERE n.op = 'remove') SELECT doc_id, target, count(*) AS removes FROM kinds GROUP BY doc_id, target")
+@query(f"WITH {DUCK_LOG} SELECT n.doc_id, n.node_id, coalesce(CASE t.op WHEN 'after' THEN 'run' ELSE t.op END, 'other') AS kind FROM nodes n LEFT JOIN nodes t ON n.doc_id = t.doc_id AND len(n.targets) = 1 AND n.targets[1] = t.node_id AND t.op <> 'remove' WHERE n.op = 'remove'")
 def remove_target_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = event_nodes(spark, sf_dir)
-    removes = nodes.where("op = 'remove'").select("doc_id", F.get("targets", F.lit(0)).alias("node_id"))
-    kinds = removes.join(nodes.select(*graph.KEY, F.col("op").alias("target")), graph.KEY, "left").fillna("none", ["target"])
-    return kinds.groupBy("doc_id", "target").agg(F.count("*").alias("removes"))
+    return codecs.remove_kinds(event_nodes(spark, sf_dir))
 
 
 def sample_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of benchmark texts with a range removed and another text typed in."""
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return edits.replay(edited(items, (F.lit(1), F.lit(3), F.lit("abc")), (F.lit(2), F.lit(1), F.lit("")), (F.lit(0), F.lit(0), F.lit("Z"))))
+    """Records of all documents with a range removed and other texts typed in."""
+    return edits.replay(edited(documents(spark, sf_dir), (F.lit(1), F.lit(3), F.lit("abc")), (F.lit(2), F.lit(1), F.lit("")), (F.lit(0), F.lit(0), F.lit("Z"))))
 
 
-@query("SELECT item_id AS doc_id, true AS same, true AS same_bytes, 0 AS orphans FROM benchmark")
+@query("SELECT doc_id, true AS same, true AS same_bytes, 0 AS orphans FROM documents")
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots hold every operation, multi-character removals too, and the same state has the same bytes."""
-    nodes = saved(edits.expand(sample_log(spark, sf_dir)), "nodes")
+    nodes = edits.expand(saved(sample_log(spark, sf_dir), "records"))
     packed = saved(codecs.encode_snapshots(nodes), "snapshots")
     back = saved(codecs.decode_snapshots(packed), "decoded")
-    again = codecs.encode_snapshots(back.drop("orphan", "error")).select("doc_id", F.col("bytes").alias("again"))
-    side = lambda df, k: df.select("doc_id", "node_id", F.lit(k).alias("side"))
-    both = side(nodes, 1).unionByName(side(back.where("error IS NULL"), 2)).groupBy("doc_id", "node_id").agg(F.sum("side").alias("sides"))
-    same = both.groupBy("doc_id").agg(F.bool_and(F.col("sides") == 3).alias("same"))
+    again = codecs.encode_snapshots(back.where("error IS NULL").drop("orphan", "error")).select("doc_id", F.col("bytes").alias("again"))
+    # A set of ids by its size and the sum of their hashes, so that only sums are shuffled.
+    state = lambda df, c: df.groupBy("doc_id").agg(F.struct(F.count("*"), F.sum(F.xxhash64("node_id").cast("decimal(38,0)"))).alias(c))
     orphans = back.groupBy("doc_id").agg(F.count_if("orphan").cast("int").alias("orphans"))
-    return same.join(packed, "doc_id").join(again, "doc_id").join(orphans, "doc_id").select("doc_id", "same", (F.col("bytes") == F.col("again")).alias("same_bytes"), "orphans")
+    both = state(nodes, "sent").join(state(back.where("error IS NULL"), "got"), "doc_id", "left")
+    same = F.coalesce(F.col("sent") == F.col("got"), F.lit(False)).alias("same")
+    return both.join(packed, "doc_id").join(again, "doc_id", "left").join(orphans, "doc_id", "left").select("doc_id", same, F.coalesce(F.col("bytes") == F.col("again"), F.lit(False)).alias("same_bytes"), "orphans")
 
 
-@query("SELECT item_id AS doc_id, substr(regexp_replace(text, '^(.)...', '\\1abc', 's'), 1, 0) || 'Z' || substr(text, 1, 1) || 'ac' || substr(text, 5) AS text FROM benchmark")
+@query(f"WITH {_DOCS} SELECT doc_id, CASE WHEN length(text) = 0 THEN 'Zab' ELSE 'Z' || substr(text, 1, 1) || 'ac' || substr(text, 5) END AS text FROM docs")
 def batch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches are written, read again and linearized."""
     back = codecs.decode_batches(codecs.encode_batches(sample_log(spark, sf_dir))).where("error IS NULL").drop("orphan", "error")
     return graph.text(saved(back, "decoded")).select("doc_id", "text")
 
 
-@query()
+@query(f"WITH {_DOCS} SELECT doc_id, CASE WHEN length(text) = 1 THEN '!' ELSE substr(text, 2) || '!' END AS text FROM docs WHERE length(text) > 0")
+def merge_encoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of each text: one has removed the first character, the other sends a snapshot with one typed at the end."""
+    docs = documents(spark, sf_dir).where(chars() > 0)
+    mine = edits.expand(edits.replay(edited(docs, (0, 1, F.lit("")))))
+    theirs = codecs.encode_snapshots(edits.expand(edits.replay(edited(docs, (chars(), 0, F.lit("!"))))))
+    return graph.text(saved(codecs.merge_encoded(mine, theirs), "merged")).select("doc_id", "text")
+
+
+@query(
+    f"""WITH {_DOCS}, size AS (SELECT doc_id, octet_length(encode(substr(text, 1, 1))) AS head, octet_length(encode(substr(text, 2))) AS tail FROM docs WHERE length(text) > 0),
+    sections AS (SELECT doc_id, head, tail, unnest([('dictionary', CASE WHEN tail > 0 THEN 33 ELSE 1 END), ('roots', 2 + head),
+      ('runs', CASE WHEN tail > 0 THEN 3 + greatest(1, ceil(log2(tail + 1) / 7))::INTEGER ELSE 1 END), ('runs_text', tail), ('befores', 1), ('forward_remove_runs', 1), ('backward_remove_runs', 1),
+      ('single_run_removes', 1), ('before_removes', 1), ('root_removes', 1), ('orphans', 1), ('extension', 0)]) AS s FROM size)
+    SELECT doc_id, s[1] AS section, s[2]::BIGINT AS n_bytes FROM sections"""
+)
 def snapshot_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codecs.section_bytes(codecs.encode_snapshots(edits.expand(sample_log(spark, sf_dir))))
+    """Sections of typed texts: a root, a run anchored on it, and one id in the dictionary."""
+    return codecs.section_bytes(codecs.encode_snapshots(edits.expand(typed(spark, sf_dir)))).select("doc_id", "section", "n_bytes")
 
 
-@query()
+@query("SELECT doc_id, true AS whole, 0 AS unused_ids FROM documents")
+def snapshot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited documents' snapshots are used up by their sections, and so is the dictionary."""
+    return codecs.section_check(codecs.encode_snapshots(edits.expand(sample_log(spark, sf_dir))))
+
+
+@query(
+    f"""WITH {_DOCS}, size AS (SELECT doc_id, octet_length(encode(text)) AS text_bytes, octet_length(encode(substr(text, 2))) AS tail FROM docs WHERE length(text) > 0),
+    total AS (SELECT doc_id, text_bytes, text_bytes + 11 + CASE WHEN tail > 0 THEN 34 + greatest(1, ceil(log2(tail + 1) / 7))::INTEGER ELSE 0 END AS encoded_bytes FROM size)
+    SELECT doc_id, encoded_bytes::BIGINT AS encoded_bytes, text_bytes::BIGINT AS text_bytes, round(encoded_bytes / text_bytes, 6) AS encoded_ratio, true AS packed FROM total"""
+)
 def storage_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = saved(sample_log(spark, sf_dir), "records")
-    return stats.storage(codecs.encode_snapshots(edits.expand(log)), edits.linear_text(log))
+    """Bytes of typed texts' snapshots; how many the compressed ones have depends on the library, so only their share is tested."""
+    log = saved(typed(spark, sf_dir), "records")
+    found = stats.storage(codecs.encode_snapshots(edits.expand(log)), edits.linear_text(log))
+    packed = F.col("gzip_bytes").between(1, F.col("encoded_bytes") + 64) & (F.col("gzip_ratio") > 0)
+    return found.select("doc_id", "encoded_bytes", "text_bytes", F.round("encoded_ratio", 6).alias("encoded_ratio"), packed.alias("packed"))
+
+
+@query(
+    f"""WITH {_DOCS} SELECT doc_id, 3 AS patch_count, (length(text) + length(text) // 2 - length(text) // 4 + 5)::BIGINT AS op_count, true AS correct FROM docs"""
+)
+def trace_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace files are written from all documents, read again, replayed and compared with the final content they record."""
+    quarter, half = F.floor(chars() / 4), F.floor(chars() / 2)
+    patch = lambda pos, cut, ins: F.array(pos.cast("string"), cut.cast("string"), ins)
+    steps = F.array(F.array(patch(F.lit(0), F.lit(0), F.col("text"))), F.array(patch(quarter, half - quarter, F.lit("")), patch(quarter, F.lit(0), F.lit("<cut>"))))
+    final = F.concat(F.expr("left(text, cast(floor(char_length(text) / 4) AS int))"), F.lit("<cut>"), F.expr("substring(text, cast(floor(char_length(text) / 2) AS int) + 1)"))
+    made = documents(spark, sf_dir).select("doc_id", final.alias("endContent"), F.transform(steps, lambda x: F.struct(x.alias("patches"))).alias("txns"))
+    read_back = saved(traces.read_traces(spark, traces.write_traces(made, fresh_path(spark, "traces")), lines=True), "traces")
+    flat = traces.patches(read_back)
+    right = stats.correctness(edits.texts(flat), read_back.select("doc_id", F.col("endContent").alias("text")))
+    names = read_back.select("doc_id", F.col("name").cast("long").alias("name"))
+    found = stats.counts(flat, "doc_id").join(right, "doc_id").join(names, "doc_id")
+    return found.select(F.col("name").alias("doc_id"), "patch_count", "op_count", "correct")
 
 
 @query("SELECT item_id AS doc_id, length(text) AS nodes FROM benchmark")
@@ -428,7 +569,7 @@ def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.compact(nodes).groupBy("doc_id").agg(F.count("*").cast("int").alias("runs"), F.sum(F.char_length("text")).alias("chars"))
 
 
-@query("SELECT doc_id, true AS correct FROM documents")
+@query(f"WITH {_DOCS} SELECT doc_id, true AS correct FROM docs")
 def replay_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return stats.correctness(texts_of(edits.patches_of_text(docs)), docs)
@@ -437,7 +578,7 @@ def replay_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT range AS doc_id, true AS correct FROM range(50)")
 def random_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random editing sessions against a plain list."""
-    patches, texts = random_edits(spark, 50, 2000, seed=7)
+    patches, texts = traces.random_edits(spark, 50, 2000, seed=7)
     return stats.correctness(texts_of(patches), texts)
 
 

@@ -11,12 +11,23 @@ from pyspark.sql import functions as F
 from tessellog.functions.schemas import PATCHES, TRACE
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Trace files, JSON or gzipped JSON, one document each: (doc_id, path, endContent, txns)."""
-    raw = spark.read.schema(TRACE).json(path, multiLine=True)
+def read_traces(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Trace files, JSON or gzipped JSON, one document each: (doc_id, path, endContent, txns).
+
+    With ``lines`` a file holds a document on each line, as ``write_traces`` makes it, which a ``name`` tells from the others.
+    """
+    raw = spark.read.schema(f"{TRACE}, name string" if lines else TRACE).json(path, multiLine=not lines)
+    if lines:
+        return raw.select(F.xxhash64("name").alias("doc_id"), "name", "endContent", "txns")
     return raw.select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_path").alias("path"), "endContent", "txns")
 
 
+def write_traces(made: DataFrame, path: str) -> str:
+    """Writes traces (doc_id, endContent, txns) as gzipped JSON lines, named by their ids; gives ``path``."""
+    made.select(F.col("doc_id").cast("string").alias("name"), "endContent", "txns").write.json(path, compression="gzip")
+    return path
+
+
 def patches(traces: DataFrame) -> DataFrame:
     """The flat patches of traces, in (txn, i) order."""
     txns = traces.select("doc_id", F.posexplode("txns").alias("txn", "t"))

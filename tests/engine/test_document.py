@@ -1,6 +1,7 @@
 """The fold, the canonical order, codecs and replicas, without Spark."""
 
 import random
+import time
 
 import pytest
 
@@ -19,6 +20,7 @@ def made(steps, profile="sha256"):
     return p
 
 
+# Edits and the texts that any implementation of the model gives.
 ONE_SITE = [
     ("append", [("+", 0, "a"), ("+", 1, "b"), ("+", 2, "c")], "abc"),
     ("before then middle", [("+", 0, "a"), ("+", 0, "b"), ("+", 1, "c")], "bca"),
@@ -63,6 +65,7 @@ def test_blake3_vectors():
     assert blake3(data).hex() == "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444"
 
 
+# Orders that BLAKE3 ids decide.
 @pytest.mark.parametrize(
     "a,b,want",
     [
@@ -264,3 +267,74 @@ def test_order_equals_its_definition(seed):
     for n, _, _ in nodes:
         below = [x for c in (c for c, o, a in nodes if a == n and o == "after") for x in lin(c)]
         assert set(want[want.index(n) + 1 : end[n] + 1]) == set(below)
+
+
+def exchanged(one, two):
+    """Both replicas after each has sent the other what it had before."""
+    sent = one.encode(), two.encode()
+    one.merge_encoded(sent[1])
+    two.merge_encoded(sent[0])
+    assert one == two and one.text == two.text and one.encode() == two.encode()
+    return one.text
+
+
+def test_concurrent_typing():
+    got = exchanged(made([("+", 0, "hello "), ("+", 6, "there")]), made([("+", 0, "good "), ("+", 5, "day")]))
+    assert got in ("hello theregood day", "good dayhello there")
+
+
+def test_concurrent_common_prefix():
+    got = exchanged(made([("+", 0, "the cat sat")]), made([("+", 0, "the cap fell")]))
+    assert got in ("the cat satp fell", "the cap fellt sat")
+
+
+def test_insertion_before_inside_code_after_a_sync():
+    one, two = made([("+", 0, "f(x)")]), Peer()
+    exchanged(one, two)
+    one.insert(2, "a, ")
+    two.insert(0, "return ")
+    assert exchanged(one, two) == "return f(a, x)"
+
+
+def test_fork_and_merge_of_a_list():
+    one, two = made([("+", 0, "milk\neggs\n")]), Peer()
+    exchanged(one, two)
+    one.insert(10, "tea\n")
+    two.remove(0, 5)
+    two.insert(0, "oats\n")
+    assert exchanged(one, two) == "oats\neggs\ntea\n"
+
+
+def test_concurrent_roots():
+    one, two, three = (made([("+", 0, t)]) for t in ("one.", "two!", "6 x 3"))
+    exchanged(one, two)
+    got = exchanged(one, three)
+    exchanged(two, three)
+    assert two.text == got and all(t in got for t in ("one.", "two!", "6 x 3")) and len(got) == 13
+
+
+def test_blocks_are_a_list():
+    rnd, plain, blocks = random.Random(4), list(range(3000)), document.Blocks(range(3000))
+    for _ in range(1500):
+        at, n = rnd.randint(0, len(plain)), rnd.choice([0, 1, 3, 700])
+        if rnd.random() < 0.5:
+            blocks.insert(at, list(range(n)))
+            plain[at:at] = range(n)
+        else:
+            assert blocks.cut(at, n) == plain[at : at + n]
+            del plain[at : at + n]
+        k = rnd.randint(-1, len(plain) + 1)
+        assert len(blocks) == len(plain) and blocks.get(k) == (plain[k] if 0 <= k < len(plain) else None)
+    assert list(blocks) == plain
+    assert blocks.cut(0, len(plain)) == plain and len(blocks) == 0 and blocks.get(0) is None
+
+
+@pytest.mark.parametrize("where", ["middle", "second", "end", "front"])
+def test_insertions_take_time_in_proportion(where):
+    def seconds(n):
+        doc, start = document.Document(), time.perf_counter()
+        for i in range(n):
+            doc.insert({"middle": i // 2, "second": min(i, 1), "end": i, "front": 0}[where], "x")
+        return time.perf_counter() - start
+
+    assert min(seconds(12_000) for _ in range(3)) < 3.5 * min(seconds(6_000) for _ in range(3))

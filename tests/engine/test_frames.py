@@ -17,6 +17,7 @@ from tessellog.plans import catalog
 from tessellog.sources import traces
 from tessellog.streaming.admission import admit_stream
 
+# Changes in the coordinates before them, and the texts that they give.
 CHANGES = [
     ("hello", [(1, 4, "a")], "hao"),
     ("hd", [(1, 1, "ello worl")], "hello world"),
@@ -107,7 +108,7 @@ def test_stream_admits_in_any_order(spark, tmp_path):
     out = spark.table("admitted")
     assert sorted((r.doc_id, r.node_id) for r in out.collect()) == sorted((d, n.hex()) for d, x in ((1, p), (2, q)) for n in x.nodes)
     got = {r.doc_id: r.text for r in graph.text(out).collect()}
-    assert got == {d: x.text for d, x in ((1, p), (2, q)) if x.text}
+    assert got == {d: x.text for d, x in ((1, p), (2, q))}
 
 
 @pytest.mark.parametrize("packed", [False, True])
@@ -124,6 +125,65 @@ def test_trace_files(spark, tmp_path, packed):
     assert [r.correct for r in right.collect()] == [True]
 
 
+def test_a_lost_root_holds_a_long_chain(spark, monkeypatch):
+    """Rounds of admission grow with the logarithm of a chain's length; further dependencies take rounds of their own."""
+    p = Peer()
+    p.insert(0, "r")
+    p.insert(1, "a" * 3000)
+    p.remove(3, 2)
+    p.insert(0, "b")
+    rows = [n for n in p.nodes.values() if n[1] != "root"]
+    rounds = []
+    monkeypatch.setattr(graph, "saved", lambda df, label, f=graph.saved: rounds.append(label) or f(df, label))
+    q = random_peer(3)
+    log = frame(spark, [(1, rows), (2, q.nodes.values())])
+    admitted, pending, _ = graph.admit(log)
+    assert admitted.count() == len(q.nodes) and pending.count() == len(rows)
+    assert rounds.count("reach") <= 14 and len(rounds) < 32
+
+
+def test_empty_and_equal_states(spark):
+    p, q = Peer(), Peer()
+    p.insert(0, "ab")
+    p.remove(0, 2)
+    q.insert(0, "ab")
+    one, two = frame(spark, [(1, p.nodes.values()), (2, q.nodes.values())]), frame(spark, [(1, q.nodes.values()), (2, q.nodes.values()), (3, q.nodes.values())])
+    assert {(r.doc_id, r.text, r.length) for r in graph.text(one).collect()} == {(1, "", 0), (2, "ab", 2)}
+    assert {tuple(r) for r in graph.length(one).collect()} == {(1, 0, True), (2, 2, False)}
+    assert {tuple(r) for r in graph.equal_states(one, two).collect()} == {(1, False), (2, True), (3, False)}
+    admitted, pending = graph.synchronise(one, two)
+    assert pending.count() == 0 and {tuple(r) for r in graph.length(admitted).collect()} == {(1, 0, True), (2, 2, False), (3, 2, False)}
+    differ = spark.createDataFrame([(1, None, ""), (2, "", None), (3, None, None), (4, "ab", "ac"), (5, "ab", "abc"), (6, "", "")], "doc_id long, a string, b string")
+    assert {r.doc_id: r.at for r in graph.first_difference(differ).collect()} == {1: 0, 2: 0, 3: None, 4: 1, 5: 2, 6: None}
+
+
+def test_runs_are_split_and_searched(spark):
+    log = edits.replay(edits.patches_of_text(spark.createDataFrame([(1, "xabcd"), (2, "y"), (3, "zé")], "doc_id long, text string")))
+    ids = {r.rec_id: r for r in edits.run_ids(log).collect()}
+    assert sorted(r.n for r in ids.values()) == [1, 4]
+    from pyspark.sql import functions as F
+
+    for at, want in ((2, ["ab", "cd"]), (0, ["abcd"]), (4, ["abcd"]), (9, ["abcd"])):
+        rows = sorted((r for r in edits.split_run(log, F.lit(at)).collect() if r.doc_id == 1), key=lambda r: r.part)
+        assert [r.text for r in rows] == want
+    rows = sorted((r for r in edits.split_run(log, F.lit(2)).collect() if r.doc_id == 1), key=lambda r: r.part)
+    nodes = {r.node_id: r for r in edits.expand(log).collect()}
+    assert nodes[rows[1].anchor].ch == "b" and nodes[rows[1].rec_id].ch == "c" and rows[1].extra_deps == []
+    asked = spark.createDataFrame([(1, i) for i in nodes] + [(1, "00")], "doc_id long, node_id string")
+    assert sorted(nodes[r.node_id].ch + str(r.place) for r in edits.find_position(asked, log).collect()) == ["a0", "b1", "c2", "d3"]
+    assert sorted(r.ch for r in graph.characters_of(asked, edits.expand(log)).where("ch IS NOT NULL").collect()) == list("abcdx")
+
+
+def test_snapshots_merge_as_frames(spark):
+    p, q = random_peer(11), random_peer(12)
+    sent = codecs.encode_snapshots(frame(spark, [(1, q.nodes.values())]))
+    merged = codecs.merge_encoded(frame(spark, [(1, p.nodes.values())]), sent)
+    check = codecs.section_check(sent).collect()
+    assert [(r.whole, r.unused_ids) for r in check] == [(True, 0)]
+    p.merge_encoded(q.encode())
+    assert [r.text for r in graph.text(merged).collect()] == [p.text]
+
+
 def test_undecodable_bytes_give_errors(spark):
     data = spark.createDataFrame([(1, bytearray(b"\x01\x09")), (2, bytearray(b"\x00"))], "doc_id long, bytes binary")
     rows = codecs.decode_batches(data).collect()
