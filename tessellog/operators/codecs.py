@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,17 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellog.functions import codec, document
-from tessellog.functions.schemas import FORMAT_VERSION, NODES
+from tessellog.functions.hashing import PROFILES, preimage
+from tessellog.functions.schemas import FORMAT_VERSION, NODES, RECORDS
 
-from .edits import _NODES, _raw
+from .edits import _NODES, _raw, _record_table
 
 DECODED = f"{NODES}, orphan boolean, error string"
 _DECODED = pa.schema([*_NODES, ("orphan", pa.bool_()), ("error", pa.string())])
 
 
-def _tuple(row: dict) -> tuple:
-    row = _raw(row)
-    return bytes.fromhex(row["node_id"]), row["op"], row["anchor"], row["ch"], row["extra_deps"], row["targets"]
+def _tuples(group: pa.Table) -> list[tuple]:
+    """The operations (id, op, anchor, ch, extra_deps, targets) of ``NODES`` rows, with ids as bytes; repeated ones once."""
+    raw = bytes.fromhex
+    ids, ops, anchors, chars, extra, targets = (group[c].to_pylist() for c in ("node_id", "op", "anchor", "ch", "extra_deps", "targets"))
+    sets = lambda xs: [raw(x) for x in xs] if xs else []
+    own = {i: (i, op, a, ch, e, t) for i, op, a, ch, e, t in zip(ids, ops, anchors, chars, extra, targets)}
+    return [(raw(i), op, a and raw(a), ch, sets(e), sets(t)) for i, op, a, ch, e, t in own.values()]
 
 
 def encode_batches(records: DataFrame) -> DataFrame:
@@ -34,16 +40,39 @@ def encode_batches(records: DataFrame) -> DataFrame:
     return records.groupBy("doc_id").applyInArrow(fold, "doc_id long, bytes binary")
 
 
+_SNAPSHOT = "doc_id long, format_version int, bytes binary, gzip_bytes long"
+
+
+def _snapshot(doc_id: pa.Array, nodes: list[tuple], strict: bool) -> pa.Table:
+    rows = {n[0]: n for n in nodes}
+    fit = set(document.admit({i: (n[1], n[2], n[4], n[5]) for i, n in rows.items()}, set()))
+    data = codec.encode_snapshot([n for i, n in rows.items() if i in fit], [n for i, n in rows.items() if i not in fit], strict)
+    return pa.table({"doc_id": doc_id, "format_version": pa.array([FORMAT_VERSION], pa.int32()), "bytes": pa.array([data], pa.binary()), "gzip_bytes": pa.array([len(gzip.compress(data))], pa.int64())})
+
+
 def encode_snapshots(nodes: DataFrame, strict: bool = False) -> DataFrame:
     """(doc_id, format_version, bytes, gzip_bytes) of each document's state; what lacks a dependency is an orphan."""
+    return nodes.groupBy("doc_id").applyInArrow(lambda group: _snapshot(group["doc_id"][:1], _tuples(group), strict), _SNAPSHOT)
+
+
+def _log_nodes(group: pa.Table, profile: str) -> list[tuple]:
+    return list(document.expand(map(_raw, group.select(["kind", "anchor", "text", "extra_deps", "targets"]).to_pylist()), profile))
+
+
+def encode_logs(records: DataFrame, strict: bool = False, profile: str = "sha256") -> DataFrame:
+    """What ``encode_snapshots`` gives, from the compact log, which is all that is shuffled."""
+    own = records.select("doc_id", "kind", "anchor", "text", "extra_deps", "targets")
+    return own.groupBy("doc_id").applyInArrow(lambda group: _snapshot(group["doc_id"][:1], _log_nodes(group, profile), strict), _SNAPSHOT)
+
+
+def states(records: DataFrame, profile: str = "sha256") -> DataFrame:
+    """(doc_id, n_nodes, digest): how many operations a document's log holds, and the SHA-256 of their ids in order."""
 
     def fold(group: pa.Table) -> pa.Table:
-        rows = {n[0]: n for n in map(_tuple, group.to_pylist())}
-        fit = set(document.admit({i: (n[1], n[2], n[4], n[5]) for i, n in rows.items()}, set()))
-        data = codec.encode_snapshot([n for i, n in rows.items() if i in fit], [n for i, n in rows.items() if i not in fit], strict)
-        return pa.table({"doc_id": group["doc_id"][:1], "format_version": pa.array([FORMAT_VERSION], pa.int32()), "bytes": pa.array([data], pa.binary()), "gzip_bytes": pa.array([len(gzip.compress(data))], pa.int64())})
+        ids = sorted({n[0] for n in _log_nodes(group, profile)})
+        return pa.table({"doc_id": group["doc_id"][:1], "n_nodes": pa.array([len(ids)], pa.int64()), "digest": [hashlib.sha256(b"".join(ids)).hexdigest()]})
 
-    return nodes.groupBy("doc_id").applyInArrow(fold, "doc_id long, format_version int, bytes binary, gzip_bytes long")
+    return records.select("doc_id", "kind", "anchor", "text", "extra_deps", "targets").groupBy("doc_id").applyInArrow(fold, "doc_id long, n_nodes long, digest string")
 
 
 def _decode(data: DataFrame, read, fail_fast: bool) -> DataFrame:
@@ -56,12 +85,22 @@ def _decode(data: DataFrame, read, fail_fast: bool) -> DataFrame:
                     if fail_fast:
                         raise
                     parts, error = ([], []), e.kind
-                rows = [
-                    {"doc_id": doc_id, "node_id": n.hex(), "op": op, "anchor": a.hex() if a else None, "ch": ch, "extra_deps": [x.hex() for x in extra], "targets": [x.hex() for x in targets], "orphan": orphan, "error": None}
-                    for orphan, nodes in zip((False, True), parts, strict=True)
-                    for n, op, a, ch, extra, targets in nodes
-                ] + [{"doc_id": doc_id, "error": error}] * (error is not None)
-                yield from pa.Table.from_pylist(rows, schema=_DECODED).to_batches(max_chunksize=50_000)
+                every = [(n, orphan) for orphan, nodes in zip((False, True), parts, strict=True) for n in nodes]
+                for lo in range(0, max(1, len(every)), 50_000):
+                    some = every[lo : lo + 50_000]
+                    end = [None] * (error is not None)
+                    columns = [
+                        [doc_id] * (len(some) + len(end)),
+                        [n[0].hex() for n, _ in some] + end,
+                        [n[1] for n, _ in some] + end,
+                        [n[2] and n[2].hex() for n, _ in some] + end,
+                        [n[3] for n, _ in some] + end,
+                        [[x.hex() for x in n[4]] for n, _ in some] + end,
+                        [[x.hex() for x in n[5]] for n, _ in some] + end,
+                        [orphan for _, orphan in some] + end,
+                        [None] * len(some) + [error] * len(end),
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _DECODED)], schema=_DECODED)
 
     return data.select("doc_id", "bytes").mapInArrow(run, DECODED)
 
@@ -71,11 +110,39 @@ def decode_batches(data: DataFrame, profile: str = "sha256", fail_fast: bool = F
     return _decode(data, lambda raw: (list(document.expand(codec.decode_batch(raw), profile)), []), fail_fast)
 
 
+def decode_logs(data: DataFrame, profile: str = "sha256") -> DataFrame:
+    """The compact records of batches, named by recomputed ids and not expanded; bytes that cannot be read are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                records = codec.decode_batch(raw)
+                for r in records:
+                    op = "after" if r["kind"] == "run" else r["kind"]
+                    r["rec_id"] = PROFILES[profile](preimage(op, r["anchor"], (r["text"] or "")[:1], r["extra_deps"], r["targets"]))
+                yield from _record_table(doc_id, records).to_batches()
+
+    return data.select("doc_id", "bytes").mapInArrow(run, RECORDS)
+
+
 def decode_snapshots(data: DataFrame, profile: str = "sha256", fail_fast: bool = False) -> DataFrame:
     """One row for each operation of each snapshot; errors as in ``decode_batches``."""
     return _decode(data, lambda raw: codec.decode_snapshot(raw, profile), fail_fast)
 
 
+def decode_states(data: DataFrame, profile: str = "sha256") -> DataFrame:
+    """The compact records of snapshots, orphans apart; bytes that cannot be read are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for orphan, nodes in zip((False, True), codec.decode_snapshot(raw, profile), strict=True):
+                    made = _record_table(doc_id, document.compact(nodes))
+                    yield from made.append_column("orphan", pa.array([orphan] * len(made), pa.bool_())).to_batches()
+
+    return data.select("doc_id", "bytes").mapInArrow(run, f"{RECORDS}, orphan boolean")
+
+
 def _by_section(snapshots: DataFrame) -> DataFrame:
     """(doc_id, section, n_bytes, total, unused_ids) for each section of each snapshot."""
 
@@ -102,20 +169,22 @@ def section_check(snapshots: DataFrame) -> DataFrame:
     return by_doc.select("doc_id", (F.col("n_bytes") == F.col("total")).alias("whole"), "unused_ids")
 
 
-def _layouts(nodes: DataFrame, rows_of, schema: str) -> DataFrame:
-    """One grouped map over each document's operations: ``rows_of(layout)`` as rows with the document's id ahead."""
+def _layouts(log: DataFrame, rows_of, schema: str) -> DataFrame:
+    """One grouped map over each document's operations (``NODES`` or ``RECORDS``): ``rows_of(layout)`` as rows with the document's id ahead."""
+    compact = "kind" in log.columns
     names = [c.split()[0] for c in schema.split(", ")]
 
     def fold(group: pa.Table) -> pa.Table:
-        found = rows_of(codec.Layout({n[0]: n for n in map(_tuple, group.to_pylist())}.values()))
+        found = rows_of(codec.Layout({n[0]: n for n in _log_nodes(group, "sha256")}.values() if compact else _tuples(group)))
         doc_id = group["doc_id"][0].as_py()
         return pa.table({c: pa.array(column, pa.int64() if " long" in spec else pa.string()) for c, spec, column in zip(names, schema.split(", "), zip(*[(doc_id, *r) for r in found]) if found else [[]] * len(names), strict=True)})
 
-    return nodes.groupBy("doc_id").applyInArrow(fold, schema)
+    own = log.select("doc_id", "kind", "anchor", "text", "extra_deps", "targets") if compact else log
+    return own.groupBy("doc_id").applyInArrow(fold, schema)
 
 
-def remove_ranges(nodes: DataFrame) -> DataFrame:
-    """(doc_id, run_id, direction, first, last, length): chains of single removals along a run, each depending on the one before alone."""
+def remove_ranges(log: DataFrame) -> DataFrame:
+    """(doc_id, run_id, direction, first, last, length) from ``NODES`` or ``RECORDS``: chains of single removals along a run, each depending on the one before alone."""
 
     def rows(layout: codec.Layout) -> list[tuple]:
         out = []
@@ -124,7 +193,7 @@ def remove_ranges(nodes: DataFrame) -> DataFrame:
             out.append((layout.runs[run]["rec_id"].hex(), "forward" if last > first else "backward", first, last, len(chain)))
         return out
 
-    return _layouts(nodes, rows, "doc_id long, run_id string, direction string, first long, last long, length long")
+    return _layouts(log, rows, "doc_id long, run_id string, direction string, first long, last long, length long")
 
 
 def remove_kinds(nodes: DataFrame) -> DataFrame:
@@ -135,8 +204,8 @@ def remove_kinds(nodes: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("remove_id").alias("node_id"), F.coalesce("kind", F.lit("other")).alias("kind"))
 
 
-def id_dictionary(nodes: DataFrame) -> DataFrame:
-    """(doc_id, id, place): the ids that a snapshot of the operations names, in order.
+def id_dictionary(log: DataFrame) -> DataFrame:
+    """(doc_id, id, place) from ``NODES`` or ``RECORDS``: the ids that a snapshot of the operations names, in order.
 
     They are all extra dependencies, but those that a removal range implies, and the anchors of runs and of insertions before;
     inside a run, and for removed characters, places stand for ids.  Removals that have no place name their targets.
@@ -151,7 +220,7 @@ def id_dictionary(nodes: DataFrame) -> DataFrame:
             named.update(() if i in implied else n[4], () if layout.target.get(i) else n[5])
         return [(x.hex(), k) for k, x in enumerate(sorted(named))]
 
-    return _layouts(nodes, rows, "doc_id long, id string, place long")
+    return _layouts(log, rows, "doc_id long, id string, place long")
 
 
 def merge_encoded(nodes: DataFrame, snapshots: DataFrame, profile: str = "sha256") -> DataFrame:

@@ -461,7 +461,7 @@ def remove_chain_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(chars() / 2)
     steps = [(half, 1, F.lit(""))] * 3 + [(0, 0, F.lit("x")), (half, 1, F.lit("")), (half - 1, 1, F.lit(""))]
     log = edits.replay(edited(documents(spark, sf_dir).where(chars() > 11), *steps))
-    return codecs.remove_ranges(edits.expand(log)).select("doc_id", "direction", "first", "last", "length")
+    return codecs.remove_ranges(log).select("doc_id", "direction", "first", "last", "length")
 
 
 @query(f"WITH {DUCK_LOG} SELECT n.doc_id, n.node_id, coalesce(CASE t.op WHEN 'after' THEN 'run' ELSE t.op END, 'other') AS kind FROM nodes n LEFT JOIN nodes t ON n.doc_id = t.doc_id AND len(n.targets) = 1 AND n.targets[1] = t.node_id AND t.op <> 'remove' WHERE n.op = 'remove'")
@@ -470,29 +470,39 @@ def remove_target_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled(documents(spark, sf_dir))
+
+
+def sampled(docs: DataFrame) -> DataFrame:
     """Records of all documents with a range removed and other texts typed in."""
-    return edits.replay(edited(documents(spark, sf_dir), (F.lit(1), F.lit(3), F.lit("abc")), (F.lit(2), F.lit(1), F.lit("")), (F.lit(0), F.lit(0), F.lit("Z"))))
+    return edits.replay(edited(docs, (F.lit(1), F.lit(3), F.lit("abc")), (F.lit(2), F.lit(1), F.lit("")), (F.lit(0), F.lit(0), F.lit("Z"))))
 
 
 @query("SELECT doc_id, true AS same, true AS same_bytes, 0 AS orphans FROM documents")
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots hold every operation, multi-character removals too, and the same state has the same bytes."""
-    nodes = edits.expand(saved(sample_log(spark, sf_dir), "records"))
-    packed = saved(codecs.encode_snapshots(nodes), "snapshots")
-    back = saved(codecs.decode_snapshots(packed), "decoded")
-    again = codecs.encode_snapshots(back.where("error IS NULL").drop("orphan", "error")).select("doc_id", F.col("bytes").alias("again"))
-    # A set of ids by its size and the sum of their hashes, so that only sums are shuffled.
-    state = lambda df, c: df.groupBy("doc_id").agg(F.struct(F.count("*"), F.sum(F.xxhash64("node_id").cast("decimal(38,0)"))).alias(c))
+    log = saved(sample_log(spark, sf_dir), "records")
+    packed = saved(codecs.encode_logs(log), "snapshots")
+    back = saved(codecs.decode_states(packed), "decoded")
+    again = codecs.encode_logs(back).select("doc_id", F.col("bytes").alias("again"))
+    side = lambda records, c: codecs.states(records).select("doc_id", F.struct("n_nodes", "digest").alias(c))
     orphans = back.groupBy("doc_id").agg(F.count_if("orphan").cast("int").alias("orphans"))
-    both = state(nodes, "sent").join(state(back.where("error IS NULL"), "got"), "doc_id", "left")
-    same = F.coalesce(F.col("sent") == F.col("got"), F.lit(False)).alias("same")
-    return both.join(packed, "doc_id").join(again, "doc_id", "left").join(orphans, "doc_id", "left").select("doc_id", same, F.coalesce(F.col("bytes") == F.col("again"), F.lit(False)).alias("same_bytes"), "orphans")
+    both = side(log, "sent").join(side(back, "got"), "doc_id", "left").join(packed, "doc_id").join(again, "doc_id", "left").join(orphans, "doc_id", "left")
+    equal = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    return both.select("doc_id", equal("sent", "got").alias("same"), equal("bytes", "again").alias("same_bytes"), "orphans")
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, CASE WHEN length(text) = 0 THEN 'Zab' ELSE 'Z' || substr(text, 1, 1) || 'ac' || substr(text, 5) END AS text FROM docs")
 def batch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches are written, read again and linearized."""
-    back = codecs.decode_batches(codecs.encode_batches(sample_log(spark, sf_dir))).where("error IS NULL").drop("orphan", "error")
+    """Batches are written, read again and rendered from their runs."""
+    return edits.linear_text(codecs.decode_logs(codecs.encode_batches(sample_log(spark, sf_dir)))).select("doc_id", "text")
+
+
+@query("WITH items AS (SELECT item_id AS doc_id, text FROM benchmark) SELECT doc_id, 'Z' || substr(text, 1, 1) || 'ac' || substr(text, 5) AS text FROM items WHERE length(text) > 4")
+def batch_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches are read as single operations and linearized."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text").where(chars() > 4)
+    back = codecs.decode_batches(codecs.encode_batches(sampled(items))).where("error IS NULL").drop("orphan", "error")
     return graph.text(saved(back, "decoded")).select("doc_id", "text")
 
 
@@ -514,13 +524,13 @@ def merge_encoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def snapshot_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of typed texts: a root, a run anchored on it, and one id in the dictionary."""
-    return codecs.section_bytes(codecs.encode_snapshots(edits.expand(typed(spark, sf_dir)))).select("doc_id", "section", "n_bytes")
+    return codecs.section_bytes(codecs.encode_logs(typed(spark, sf_dir))).select("doc_id", "section", "n_bytes")
 
 
 @query("SELECT doc_id, true AS whole, 0 AS unused_ids FROM documents")
 def snapshot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edited documents' snapshots are used up by their sections, and so is the dictionary."""
-    return codecs.section_check(codecs.encode_snapshots(edits.expand(sample_log(spark, sf_dir))))
+    return codecs.section_check(codecs.encode_logs(sample_log(spark, sf_dir)))
 
 
 @query(
@@ -531,7 +541,7 @@ def snapshot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def storage_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of typed texts' snapshots; how many the compressed ones have depends on the library, so only their share is tested."""
     log = saved(typed(spark, sf_dir), "records")
-    found = stats.storage(codecs.encode_snapshots(edits.expand(log)), edits.linear_text(log))
+    found = stats.storage(codecs.encode_logs(log), edits.linear_text(log))
     packed = F.col("gzip_bytes").between(1, F.col("encoded_bytes") + 64) & (F.col("gzip_ratio") > 0)
     return found.select("doc_id", "encoded_bytes", "text_bytes", F.round("encoded_ratio", 6).alias("encoded_ratio"), packed.alias("packed"))
 
@@ -575,11 +585,11 @@ def replay_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.correctness(texts_of(edits.patches_of_text(docs)), docs)
 
 
-@query("SELECT range AS doc_id, true AS correct FROM range(50)")
+@query("SELECT doc_id, true AS correct FROM documents")
 def random_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random editing sessions against a plain list."""
-    patches, texts = traces.random_edits(spark, 50, 2000, seed=7)
-    return stats.correctness(texts_of(patches), texts)
+    """A random editing session for each document's id, against a plain list."""
+    made = saved(traces.random_edits(documents(spark, sf_dir), 200, seed=7), "sessions")
+    return stats.correctness(texts_of(made.drop("final")), made.where("final IS NOT NULL").select("doc_id", F.col("final").alias("text")))
 
 
 @query("SELECT d.doc_id, CASE WHEN length(d.text) > 1 THEN length(d.text) // 2 END AS at FROM documents d WHERE length(d.text) > 1 AND substr(d.text, length(d.text) // 2 + 1, 1) <> '#'")

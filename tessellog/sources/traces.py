@@ -35,34 +35,33 @@ def patches(traces: DataFrame) -> DataFrame:
     return each.select("doc_id", F.col("txn").cast("long").alias("txn"), F.col("i").cast("long").alias("i"), F.get("p", F.lit(0)).cast("long").alias("pos"), F.get("p", F.lit(1)).cast("long").alias("del"), F.coalesce(F.get("p", F.lit(2)), F.lit("")).alias("ins"))
 
 
-def random_edits(spark: SparkSession, documents: int, edits: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Patches of ``documents`` sessions of ``edits`` single insertions or deletions each, and the texts they make.
+def random_edits(ids: DataFrame, edits: int, seed: int = 0) -> DataFrame:
+    """Patches of a random session of ``edits`` single insertions or deletions for each of ``ids`` (doc_id); a session's last one has the text it makes, as ``final``.
 
     Half the edits insert a random letter or digit, all do while the text is empty.
     """
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    schema = f"{PATCHES}, final string"
+    fields = pa.schema([(c, pa.int64()) for c in ("doc_id", "txn", "i", "pos", "del")] + [("ins", pa.string()), ("final", pa.string())])
 
-    def session(doc_id: int) -> tuple[list[tuple[int, int, str]], str]:
+    def session(doc_id: int) -> list[dict]:
         rnd, text, out = random.Random(f"{seed}:{doc_id}"), [], []
-        for _ in range(edits):
+        for txn in range(edits):
+            row = {"doc_id": doc_id, "txn": txn, "i": 0, "del": 0, "ins": "", "final": None}
             if not text or rnd.random() < 0.5:
-                out.append((rnd.randint(0, len(text)), 0, rnd.choice(letters)))
-                text.insert(out[-1][0], out[-1][2])
+                row |= {"pos": rnd.randint(0, len(text)), "ins": rnd.choice(letters)}
+                text.insert(row["pos"], row["ins"])
             else:
-                out.append((rnd.randrange(len(text)), 1, ""))
-                del text[out[-1][0]]
-        return out, "".join(text)
-
-    def rows(batches):
+                row |= {"pos": rnd.randrange(len(text)), "del": 1}
+                del text[row["pos"]]
+            out.append(row)
+        if out:
+            out[-1]["final"] = "".join(text)
+        return out
+
+    def run(batches):
         for batch in batches:
             for d in batch.column(0).to_pylist():
-                made, _ = session(d)
-                yield pa.RecordBatch.from_pylist([{"doc_id": d, "txn": i, "i": 0, "pos": p, "del": n, "ins": s} for i, (p, n, s) in enumerate(made)], schema=pa.schema([(c, pa.int64()) for c in ("doc_id", "txn", "i", "pos", "del")] + [("ins", pa.string())]))
-
-    def texts(batches):
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_pylist([{"doc_id": d, "text": session(d)[1]} for d in ids], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+                yield pa.RecordBatch.from_pylist(session(d), schema=fields)
 
-    ids = spark.range(documents).withColumnRenamed("id", "doc_id")
-    return ids.mapInArrow(rows, PATCHES), ids.mapInArrow(texts, "doc_id long, text string")
+    return ids.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, schema)

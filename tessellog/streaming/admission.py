@@ -1,8 +1,10 @@
 """Admission of operations that arrive in any order, as a stream.
 
-State is kept by document: the ids that were admitted, and the operations that wait.
-No watermark can expire either without losing operations, so they stay; the state
-store is RocksDB, which keeps them on disk.
+State is kept by document: the ids that were admitted, the operations that wait, and for
+each id that is lacking which of them it holds up.  A batch touches only what arrives in it and
+what that sets free; a waiting operation is read when the dependency it was parked under is
+admitted, and then parked under the next one it lacks.  No watermark can expire any of it without losing
+operations, so they stay; the state store is RocksDB, which keeps them on disk.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessellog.functions import document
 from tessellog.functions.hashing import PROFILES, preimage
 from tessellog.functions.schemas import NODES
 
@@ -30,10 +31,12 @@ class Admission(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.known = handle.getMapState("known", "node_id string", "op string")
         self.waiting = handle.getMapState("waiting", "node_id string", "body string")
+        #: The operations that an id holds up are numbered, so that parking one more reads one number.
+        self.held = handle.getMapState("held", "dep_id string, place long", "node_id string")
+        self.n_held = handle.getMapState("n_held", "dep_id string", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sha = PROFILES[self.profile]
-        fresh = {}
+    def _arrived(self, rows: Iterator[pd.DataFrame]) -> dict[str, dict]:
+        sha, fresh = PROFILES[self.profile], {}
         for frame in rows:
             for r in frame.to_dict("records"):
                 anchor = r["anchor"] if isinstance(r["anchor"], str) else None
@@ -42,27 +45,53 @@ class Admission(StatefulProcessor):
                 raw = lambda xs: [bytes.fromhex(x) for x in xs]
                 # An id is never taken on trust.
                 node = sha(preimage(r["op"], bytes.fromhex(anchor) if anchor else None, ch, raw(extra), raw(targets))).hex()
-                if not self.known.containsKey((node,)):
-                    fresh[node] = {"op": r["op"], "anchor": anchor, "ch": ch, "extra_deps": extra, "targets": targets}
-        was_waiting = {k[0]: json.loads(v[0]) for k, v in self.waiting.iterator()}
-        every = was_waiting | fresh
-        needed = {d for n in every.values() for d in (*n["extra_deps"], *n["targets"], *([n["anchor"]] if n["anchor"] else []))}
-        known = {d: self.known.getValue((d,))[0] for d in needed if self.known.containsKey((d,))}
-        ready = document.admit({i: (n["op"], n["anchor"], n["extra_deps"], n["targets"]) for i, n in every.items()}, set(known))
-        out, admitted = [], dict(known)
-        for i in ready:
-            n = every[i]
+                fresh[node] = {"op": r["op"], "anchor": anchor, "ch": ch, "extra_deps": extra, "targets": targets}
+        return {i: n for i, n in fresh.items() if not self.known.containsKey((i,)) and not self.waiting.containsKey((i,))}
+
+    def _freed(self, node: str) -> list[tuple[str, dict]]:
+        """What was parked under ``node``, taken out of the state."""
+        if not self.n_held.containsKey((node,)):
+            return []
+        out = []
+        for k in range(self.n_held.getValue((node,))[0]):
+            (held,) = self.held.getValue((node, k))
+            out.append((held, json.loads(self.waiting.getValue((held,))[0])))
+            self.held.removeKey((node, k))
+            self.waiting.removeKey((held,))
+        self.n_held.removeKey((node,))
+        return out
+
+    def _park(self, node: str, body: dict, lacking: str | None) -> None:
+        self.waiting.updateValue((node,), (json.dumps(body),))
+        if lacking is not None:
+            n = self.n_held.getValue((lacking,))[0] if self.n_held.containsKey((lacking,)) else 0
+            self.held.updateValue((lacking, n), (node,))
+            self.n_held.updateValue((lacking,), (n + 1,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ops: dict[str, str | None] = {}
+
+        def op_of(node: str) -> str | None:
+            if node not in ops:
+                ops[node] = self.known.getValue((node,))[0] if self.known.containsKey((node,)) else None
+            return ops[node]
+
+        queue = sorted(self._arrived(rows).items(), reverse=True)
+        out = []
+        while queue:
+            node, body = queue.pop()
+            needs = dict.fromkeys([*([body["anchor"]] if body["anchor"] else []), *body["extra_deps"], *body["targets"]])
+            lacking = next((d for d in needs if op_of(d) is None), None)
             # An insertion anchored on a removal waits for ever, and with it what depends on it.
-            anchored = n["anchor"] is None or admitted.get(n["anchor"], "remove") != "remove"
-            if anchored and all(d in admitted for d in (*n["extra_deps"], *n["targets"])):
-                admitted[i] = n["op"]
-                self.known.updateValue((i,), (n["op"],))
-                if i in was_waiting:
-                    self.waiting.removeKey((i,))
-                out.append({"doc_id": key[0], "node_id": i, **n})
-        for i, n in fresh.items():
-            if i not in admitted:
-                self.waiting.updateValue((i,), (json.dumps(n),))
+            if lacking is None and body["anchor"] and op_of(body["anchor"]) == "remove":
+                self._park(node, body, None)
+            elif lacking is not None:
+                self._park(node, body, lacking)
+            else:
+                ops[node] = body["op"]
+                self.known.updateValue((node,), (body["op"],))
+                out.append({"doc_id": key[0], "node_id": node, **body})
+                queue += self._freed(node)
         yield pd.DataFrame(out, columns=["doc_id", "node_id", "op", "anchor", "ch", "extra_deps", "targets"])
 
     def close(self) -> None:
