@@ -16,7 +16,7 @@ part, so that targets are met to the word.
 
 Only built-in expressions run.  The running totals are made in two levels: sums of
 hash buckets of about ``BUCKET`` documents, then within buckets; so a source with
-a third of all rows is dealt like the others.  The plan reads texts once and never
+a third of all rows is dealt like the others, and so are rows that share an id or have none, whose bucket is cut into pieces.  The plan reads texts once and never
 shuffles them; the mix writes the rows once with numbers and joins positions back by
 these, so rows that share an id, or have none, are each used by their own plan.  Nulls
 and empty texts have size 0 and are not taken; repeated rows count each; an empty table
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, fresh, written
+from .common import HOT_KEYS, WORD, fresh, written
 
 WEIGHTS = (3, 1, 2)
 #: Change of a source's rate over time, by place in the weights: heavy sources early, light ones late.
@@ -87,19 +87,26 @@ def dealt(sizes: DataFrame) -> DataFrame:
     targets = targets.withColumn("shift", F.expr(f"60 - greatest(0, ceil(log2(n_docs / {BUCKET}d)))").cast("int")).withColumnRenamed("source", "own")
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     key = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long")
-    rows = (
+    placed = (
         sizes.withColumn("key", F.coalesce(key, F.lit(0).cast("long")))
         .join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("own")))
         .withColumn("bucket", F.expr("shiftright(key, shift)"))
         .drop("own", "shift", "n_docs")
     )
-    in_order = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    starts = sums.select(F.col("source").alias("own"), F.col("bucket").alias("own_bucket"), F.coalesce(F.sum("words").over(in_order), F.lit(0)).alias("start"))
-    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.join(starts, F.col("source").eqNullSafe(F.col("own")) & (F.col("bucket") == F.col("own_bucket"))).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    # A bucket with very many rows, of one id or of none, is cut into pieces that are in the same order; such buckets are few.
+    most = max(8 * BUCKET, sizes.count() // HOT_KEYS)
+    crowded = placed.groupBy("source", "bucket").count().where(F.col("count") > most)
+    crowded = written(crowded.select(F.col("source").alias("own"), F.col("bucket").alias("own_bucket"), F.lit(True).alias("crowded")), "crowded")
+    same_bucket = F.col("source").eqNullSafe(F.col("own")) & (F.col("bucket") == F.col("own_bucket"))
+    piece = F.when(F.col("crowded"), F.struct("key", "doc_id", "size", F.expr(f"shiftright(row, {BUCKET.bit_length() - 1})").alias("rows")))
+    rows = placed.join(F.broadcast(crowded), same_bucket, "left").withColumn("piece", piece).drop("own", "own_bucket", "crowded")
+    in_order = W.partitionBy("source").orderBy("bucket", "piece").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("source", "bucket", "piece").agg(F.sum("size").alias("words"))
+    starts = sums.select(F.col("source").alias("own"), F.col("bucket").alias("own_bucket"), F.col("piece").alias("own_piece"), F.coalesce(F.sum("words").over(in_order), F.lit(0)).alias("start"))
+    within = W.partitionBy("source", "bucket", "piece").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
+    started = rows.join(starts, same_bucket & F.col("piece").eqNullSafe(F.col("own_piece")))
     return (
-        placed.withColumn("passes", F.expr("CASE WHEN source_size > 0 THEN cast(floor(target / source_size) AS bigint) ELSE 0L END"))
+        started.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("passes", F.expr("CASE WHEN source_size > 0 THEN cast(floor(target / source_size) AS bigint) ELSE 0L END"))
         .withColumn("last", F.expr("greatest(0L, least(size, cast(floor(target) AS bigint) - passes * source_size - before))"))
         .withColumn("taken", F.expr("passes * size + last"))
         .withColumn("copies", F.expr("CASE WHEN size > 0 THEN passes + if(last > 0, 1, 0) ELSE 0L END"))
