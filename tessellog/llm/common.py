@@ -118,7 +118,7 @@ def dealt(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner",
 
     If ``one`` (``n_one`` rows of about ``width`` bytes) is small, it is broadcast.  Beyond that
     ``counts`` (keys, n) and ``total`` say how many rows each key and all have, if it is known.
-    The hot keys, at most ``HOT_KEYS`` of them, come to the driver and are broadcast; their rows of ``one`` are repeated once for each part.
+    The hot keys, at most ``HOT_KEYS`` of them, are broadcast; their rows of ``one`` are repeated once for each part.
     """
     n_one = one.count() if n_one is None else n_one
     if n_one * width <= BROADCAST_BYTES:
@@ -128,10 +128,9 @@ def dealt(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner",
         return rows.join(one, keys, how)
     most = max(HOT_ROWS, total // HOT_KEYS)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
-    hot = counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).alias("dealt_parts")).toArrow()
-    if not hot.num_rows:
+    hot = written(counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).alias("dealt_parts")), "hot")
+    if hot.isEmpty():
         return rows.join(one, keys, how)
-    hot = rows.sparkSession.createDataFrame(hot)
     parts_of = F.coalesce("dealt_parts", F.lit(1))
     others = [c for c in rows.columns if c not in keys]
     spread = F.pmod(F.xxhash64(*others) if others else F.monotonically_increasing_id(), parts_of).alias("dealt_part")

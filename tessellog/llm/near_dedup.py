@@ -548,16 +548,17 @@ def keep_rows(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RE
     return plain.unionByName(left.drop(prints)).unionByName(mixed.where(F.col(prints).isNull()).drop(prints))
 
 
-#: Shingles as lists of words, links by counting common ones, components as the closure of the links; for small tables.
+#: Shingles from a window over words, links by counting common ones, components as the closure of the links; for small tables.
 SQL = r"""
-WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w FROM documents),
-sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
-shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+each_word AS (SELECT doc_id, len(w) AS n, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM words),
+four AS (SELECT doc_id, n, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d FROM each_word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sets AS (SELECT DISTINCT doc_id, concat_ws(' ', a, b, c, d) AS x FROM four WHERE d IS NOT NULL OR (n < 4 AND i = 1)),
+shingles AS (SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id) AS n FROM sets),
 links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
-low AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM sets s JOIN low l ON s.doc_id = l.a
+reached AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id)
+SELECT l.a AS doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, l.a = l.component_id AS kept FROM low l LEFT JOIN sizes s ON l.a = s.doc_id
 """

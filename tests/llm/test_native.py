@@ -136,6 +136,19 @@ def test_mix_uses_rows_of_one_id_by_their_own_plan(spark):
     assert [r.text for r in mixing.mix(table_of(spark, rows)).collect()] == want
 
 
+@pytest.mark.parametrize("bucket", [4096, 2])
+def test_crowded_buckets_are_cut_in_the_same_order(spark, monkeypatch, bucket):
+    """A third of the rows has no id and a third one id; sizes repeat."""
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    rows = [((None, 7, i)[i % 3], "ab"[i % 5 > 0], " ".join(["w"] * (i % 4))) for i in range(240)]
+    plan = mixing.plan(table_of(spark, rows)).collect()
+    got = sorted((str(r.doc_id), r.size, r.taken, round(r.target, 6)) for r in plan)
+    monkeypatch.setattr(mixing, "BUCKET", 100_000)
+    assert got == sorted((str(r.doc_id), r.size, r.taken, round(r.target, 6)) for r in mixing.plan(table_of(spark, rows)).collect())
+    places = [r.position for r in plan if r.position is not None]
+    assert places == sorted(places) and len(plan) == 240
+
+
 def test_mix_meets_targets_where_ids_are_null(spark):
     rows = [(None if i % 3 else i, "ab"[i % 5 > 0], " ".join([f"w{i}"] * (i % 13))) for i in range(90)]
     used = Counter(r.source for r in mixing.mix(table_of(spark, rows)).select("source", F.explode(F.split("text", " "))).collect())
