@@ -338,3 +338,16 @@ def test_insertions_take_time_in_proportion(where):
         return time.perf_counter() - start
 
     assert min(seconds(12_000) for _ in range(3)) < 3.5 * min(seconds(6_000) for _ in range(3))
+
+
+def test_bytes_of_a_snapshot():
+    """The layout, byte by byte: dictionary, then sections of counted rows."""
+    p = made([("+", 0, "ab")])
+    root = next(n[0] for n in p.nodes.values() if n[1] == "root")
+    roots, runs = bytes([1, 0]) + b"a", bytes([1, 0, 0, 1]) + b"b"
+    assert p.encode() == bytes([1]) + root + roots + runs + bytes(7)
+    p.insert(0, "é")
+    before = next(n for n in p.nodes.values() if n[1] == "before")
+    ids = sorted([root, *before[4]])
+    befores = bytes([1, 1, ids.index(before[4][0]), ids.index(root)]) + "é".encode()
+    assert p.encode() == bytes([2]) + b"".join(ids) + roots + bytes([1, ids.index(root), 0, 1]) + b"b" + befores + bytes(6)
