@@ -332,7 +332,9 @@ class _Join:
         self.classes, self.docs, self.k, self.percent, self.trees = classes, docs, k, percent, trees
         self.sketches = classes.select("num", "n", "sketch")
         self.labels: DataFrame | None = None
-        self.n_labels = self.n_keys = 0
+        self.n_labels = 0
+        #: Nodes that the last ``mixed`` found, and how many of them are large.
+        self.n_keys = self.n_large = 0
         self.links: list[DataFrame] = []
 
     def labelled(self, nodes: DataFrame, hot: bool = False) -> DataFrame:
@@ -385,7 +387,8 @@ class _Join:
         stats = own.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("size > 1")
         stats = written(stats.select("key", "size", (F.col("low") != F.col("high")).alias("several")), "sizes")
         several = stats.where("several").select("key", "size")
-        self.n_keys = several.count()
+        found = several.agg(F.count("*").alias("keys"), F.count_if(F.col("size") > LEAF).alias("large")).first()
+        self.n_keys, self.n_large = found["keys"], found["large"]
         return written(dealt(own, several, ["key"], n_one=self.n_keys, width=16, counts=stats.select("key", F.col("size").alias("n"))), "nodes")
 
     def stars(self, nodes: DataFrame) -> None:
@@ -420,8 +423,9 @@ class _Join:
         groups = self.mixed(written(rare_shingles(sets, self.percent), "rare"))
         # The groups are of one kind, so none counts as another's earlier tree.
         self.leaves(groups.where(f"size <= {LEAF}").withColumn("tree", F.lit(0)))
-        groups = self.mixed(groups.where(f"size > {LEAF}"))
-        if not groups.isEmpty():
+        if self.n_large:
+            groups = self.mixed(groups.where(f"size > {LEAF}"))
+        if self.n_large:
             hard = groups.select("num").distinct()
             self.blocks(self.mixed(written(nodes.select("key", "num").join(hard, "num", "left_semi"), "hard")), sets)
 
@@ -455,16 +459,18 @@ class _Join:
         parted = F.expr(f"posexplode(transform(sequence(0, {self.trees - 1}), t -> path[t * {DEPTH}]))")
         first = self.classes.where("n > 0").select("num", parted).select((F.col("pos").cast("long") * (1 << 32) + F.col("col")).alias("key"), "num")
         nodes = self.mixed(first)
+        if self.n_keys:
+            self.stars(nodes)
+            nodes = self.mixed(nodes)
+        if self.n_large:
+            self.stars(nodes.where(f"size > {LEAF}"))
+            nodes = self.mixed(nodes)
         for depth in range(DEPTH):
-            if depth == 0:
-                self.stars(nodes)
-                nodes = self.mixed(nodes)
-                self.stars(nodes.where(f"size > {LEAF}"))
-                nodes = self.mixed(nodes)
             treed = nodes.withColumn("tree", self.tree_of(depth).cast("int"))
-            small, large = treed.where(f"size <= {LEAF}"), treed.where(f"size > {LEAF}")
-            self.leaves(small)
-            if large.isEmpty():
+            small, large, n_large = treed.where(f"size <= {LEAF}"), treed.where(f"size > {LEAF}"), self.n_large
+            if self.n_keys > n_large:
+                self.leaves(small)
+            if not n_large:
                 return
             if depth + 1 < DEPTH:
                 token = F.expr(f"path[tree * {DEPTH} + {depth + 1}]")
@@ -472,7 +478,7 @@ class _Join:
                 nodes = self.mixed(branched.select(self.child(token).alias("key"), "num"))
             else:
                 left = self.mixed(large)
-                if not left.isEmpty():
+                if self.n_keys:
                     self.rest(left)
 
     @staticmethod
