@@ -49,6 +49,8 @@ DEPTH = 3
 LEAF = 64
 #: Classes that the others of a large node are compared with.
 PIVOTS = 4
+#: Pivots of all its large nodes that a class is confirmed with.
+BEST = 4
 #: Sets, and shingles (8 bytes each), that a block of a large node has, about.
 BLOCK_SETS = 1000
 BLOCK_SHINGLES = 150_000
@@ -94,10 +96,12 @@ def signatures(docs: DataFrame, k: int, trees: int) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, cls binary, path array<long>, sketch binary")
 
 
-def _similar(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+def _agreeing(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Equal bytes of the sketches of each pair; 0 where the sets' sizes differ too much."""
     near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-    near[near] = (sketch[i[near]] == sketch[j[near]]).sum(axis=1) >= AGREE
-    return near
+    out = np.zeros(len(i), dtype=np.int64)
+    out[near] = (sketch[i[near]] == sketch[j[near]]).sum(axis=1)
+    return out
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -127,7 +131,7 @@ def leaf_pairs(leaves: DataFrame, percent: int, trees: int) -> DataFrame:
                     j = part + step
                     use = label[part] != label[j]
                     a, b = part[use], j[use]
-                    near = _similar(n, sketch, a, b, percent)
+                    near = _agreeing(n, sketch, a, b, percent) >= AGREE
                     a, b = a[near], b[near]
                     met = (keys[a] == keys[b]) & (keys[a] != 0) & (np.arange(trees) < tree[a][:, None])
                     first = ~met.any(axis=1)
@@ -139,14 +143,17 @@ def leaf_pairs(leaves: DataFrame, percent: int, trees: int) -> DataFrame:
 
 
 def pivot_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b): each row (num, label, n, sketch) with those of its ``pivots`` that are of another component.
+    """Candidates (a, b): each row (num, size, label, n, sketch) with those of its ``pivots`` that are of another component.
 
-    The sketches are compared here, so a pair that differs never becomes a row.
+    The sketches are compared here, so a pair that differs never becomes a row.  The pivots of all its
+    large nodes are dealt into ``BEST`` parts, and of each the class meets the one that agrees best: a few links take it out of the
+    group, whose other pivots are linked as well.  What these do not join stays in its nodes, where the next comparisons find it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             num, label, n = (batch.column(c).to_numpy() for c in ("num", "label", "n"))
+            large = batch.column("size").to_numpy() > LEAF
             lists = batch.column("pivots")
             row = np.repeat(np.arange(len(num)), np.asarray(lists.value_lengths()))
             flat = lists.flatten()
@@ -155,11 +162,14 @@ def pivot_pairs(met: DataFrame, percent: int) -> DataFrame:
             sizes = np.concatenate([n, p_n])
             at = np.flatnonzero(label[row] != p_label)
             for part in np.array_split(at, len(at) // 50_000 + 1):
-                part = part[_similar(sizes, sketch, row[part], part + len(num), percent)]
-                a, b = num[row[part]], p_num[part]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return mapped(met.select("num", "label", "n", "sketch", "pivots"), run, "a long, b long").distinct()
+                agree = _agreeing(sizes, sketch, row[part], part + len(num), percent)
+                part, agree = part[agree >= AGREE], agree[agree >= AGREE]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (num[row[part]], p_num[part], agree, large[row[part]])], names=["num", "pivot", "agree", "large"])
+
+    found = mapped(met.select("num", "size", "label", "n", "sketch", "pivots"), run, "num long, pivot long, agree long, large boolean")
+    part = F.when(F.col("large"), F.pmod(F.xxhash64("pivot"), F.lit(BEST)) - BEST).otherwise(F.col("pivot"))
+    best = found.groupBy("num", part.alias("part")).agg(F.max(F.struct("agree", "pivot")).alias("best"))
+    return best.select(F.least("num", "best.pivot").alias("a"), F.greatest("num", "best.pivot").alias("b")).distinct()
 
 
 def found_texts(ends: DataFrame, most: int, classes: DataFrame, nameless: bool, docs: DataFrame, k: int) -> DataFrame:

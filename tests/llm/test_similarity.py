@@ -83,6 +83,23 @@ def test_many_short_texts_that_share_most_words(spark, monkeypatch):
     assert all(r.n <= 3 * near_dedup.BLOCK_SETS for cells in made for r in cells)
 
 
+def test_a_cloud_takes_a_few_candidates_a_class(spark, monkeypatch):
+    """One large group of near copies: the pairs that become rows are a few for each class, not one for each tree's pivots."""
+    made = []
+    monkeypatch.setattr(near_dedup, "confirm", lambda pairs, total, *a, f=near_dedup.confirm: made.append(total) or f(pairs, total, *a))
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for n in range(500):
+        own = list(base)
+        for _ in range(2):
+            own[rnd.randrange(120)] = f"new{n}"
+        rows.append((n, " ".join(own)))
+    got = check(spark, rows, 4)
+    assert {r.component_id for r in got} == {0}
+    assert 499 <= sum(made) <= 2 * near_dedup.BEST * 500
+
+
 def test_rarest_shingles_meet(spark):
     rnd = random.Random(1)
     sets = [sorted(rnd.sample(range(40), rnd.randrange(1, 30))) for _ in range(60)]
