@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, parts, small_batches
+from .common import give_back, mapped, parts, small_batches
 
 #: Labelled rows that training takes at most for each category.
 TRAIN_ROWS = 6000
@@ -48,6 +48,8 @@ L2 = 0.3
 WORDS = re.compile(r"[^\W\d_]+").findall
 #: Words whose features a worker remembers; beyond, it forgets them all and goes on.
 MEMO_ENTRIES = 50_000
+#: Features that training counts at a time.
+PIECE = 1 << 19
 
 
 def word_features(word: str) -> list[int]:
@@ -121,30 +123,38 @@ class Rows:
 
     @classmethod
     def of(cls, each: list[np.ndarray]) -> Rows:
-        return cls(np.concatenate([*each, np.zeros(0, np.uint32)]).astype(np.uint32), np.repeat(np.arange(len(each)), [len(x) for x in each]).astype(np.int64), len(each))
+        return cls(np.concatenate([*each, np.zeros(0, np.uint32)]).astype(np.uint32), np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each]), len(each))
 
     def take(self, rows: np.ndarray) -> Rows:
-        new = np.full(self.n, -1, dtype=np.int64)
+        new = np.full(self.n, -1, dtype=np.int32)
         new[rows] = np.arange(len(rows))
         at = new[self.owner]
-        return Rows(self.features[at >= 0], at[at >= 0], len(rows))
+        keep = at >= 0
+        return Rows(self.features[keep], at[keep], len(rows))
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Features and owners, ``PIECE`` at a time: what is derived from them is larger than they are."""
+        for lo in range(0, len(self.features), PIECE):
+            yield self.features[lo : lo + PIECE], self.owner[lo : lo + PIECE]
 
     def matrix(self, names: np.ndarray) -> np.ndarray:
         """Presence of each of ``names``, which are sorted."""
         out = np.zeros((self.n, len(names)))
-        if len(names):
-            at = np.minimum(np.searchsorted(names, self.features), len(names) - 1)
-            hit = names[at] == self.features
-            out[self.owner[hit], at[hit]] = 1
+        for features, owner in self.pieces() if len(names) else ():
+            at = np.minimum(np.searchsorted(names, features), len(names) - 1)
+            hit = names[at] == features
+            out[owner[hit], at[hit]] = 1
         return out
 
 
 def select(rows: Rows, y: np.ndarray) -> np.ndarray:
     """The features whose share differs most between the classes, by a two-sample z score; sorted."""
     n1, n0 = y.sum(), len(y) - y.sum()
-    one = y[rows.owner] > 0
-    a = np.bincount(rows.features[one], minlength=SPACE)
-    b = np.bincount(rows.features[~one], minlength=SPACE)
+    a, b = np.zeros(SPACE, dtype=np.int32), np.zeros(SPACE, dtype=np.int32)
+    for features, owner in rows.pieces():
+        one = y[owner] > 0
+        a += np.bincount(features[one], minlength=SPACE).astype(np.int32)
+        b += np.bincount(features[~one], minlength=SPACE).astype(np.int32)
     names = np.flatnonzero(a + b >= 3)
     a, b = a[names], b[names]
     share = (a + b + 1) / (n1 + n0 + 2)
@@ -233,7 +243,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_rows:
     order = sorted(range(len(ids)), key=lambda i: (int(ids[i]) * 2654435761 % 2**32, int(ids[i])))
     rows = Rows.of([np.frombuffer(found[i], dtype="<u4") for i in order])
     y = np.array([np.asarray(got[c], dtype=float)[order] for c in ys]).T.reshape(rows.n, len(ys))
-    return fit_chain(rows, y)
+    del got, found
+    models = fit_chain(rows, y)
+    del rows
+    give_back()
+    return models
 
 
 def score(docs: DataFrame, models: list[Linear], categories: list[str], threshold: float = 0.5, prefix: str = "p_", toxic: str = "toxic") -> DataFrame:

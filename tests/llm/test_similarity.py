@@ -68,6 +68,19 @@ def test_chain_of_links_is_one_component(spark):
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[101] == 100
 
 
+def test_few_links_are_one_task_and_many_take_rounds(spark, monkeypatch):
+    rnd = random.Random(3)
+    links = spark.createDataFrame([(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(40)] + [(600, 600), (401, 400)], "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    few = sorted(map(tuple, components(links).collect()))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+    spark.sparkContext.setJobGroup("other", "")
+    monkeypatch.setitem(components.__globals__, "FEW_LINKS", 0)
+    assert few == sorted(map(tuple, components(links).collect())) and (440, 400) in few and 600 not in dict(few)
+    assert 0 < len(jobs) <= 8
+    assert components(links.where("a = b")).count() == 0
+
+
 def test_rows_without_an_id_are_linked(spark):
     words = [f"w{i}" for i in range(24)]
     check(spark, [(None, " ".join(words)), (1, " ".join([*words, "end"])), (None, "p q r s t u v"), (None, "p q r s t u v"), (None, "")], 4)

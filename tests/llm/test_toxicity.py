@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import plain
 from conftest_llm import table_of
@@ -92,3 +94,17 @@ def test_repeated_ids_and_labels_without_documents(spark):
     models = toxicity.train(docs, labels, queries.CATEGORIES, train_rows=150)
     got = toxicity.score(docs, models, queries.CATEGORIES).where("text LIKE 'alpha%'").collect()
     assert all(r.toxic == (r.doc_id % 4 == 0) for r in got)
+
+
+def test_training_holds_little_besides_the_sample():
+    """The driver's memory at the peak: the sample (4 bytes a feature, 4 its owner), a fold of it, and counters of fixed size."""
+    rng = np.random.default_rng(2)
+    n, each = 2000, 2000
+    rows = toxicity.Rows.of([np.sort(rng.integers(0, 50_000, each)).astype(np.uint32) for _ in range(n)])
+    labels = rng.integers(0, 2, (n, 2)).astype(float)
+    tracemalloc.start()
+    models = toxicity.fit_chain(rows, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(models) == 2 and rows.owner.tolist() == np.repeat(np.arange(n), each).tolist()
+    assert peak <= 23 * n * each
