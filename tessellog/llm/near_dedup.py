@@ -61,6 +61,8 @@ AGREE = 35
 BROADCAST_CLASSES = 200_000
 #: Counters by which shingles are ranked from rare to common; all of them come to the driver.
 COUNTERS = 1 << 18
+#: Shingles (8 bytes each) that a task counts, about: several for each counter, as every task gives a row for each counter it has met.
+COUNTED = 4 * COUNTERS
 
 
 def trees_for(recall: float, percent: int) -> int:
@@ -229,6 +231,7 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
     Two sets of the wanted similarity have one of these in common.  Shingles are ranked by ``COUNTERS``
     hashed counts; any order would be right, and a rare shingle that shares a counter with a common one only makes larger groups.
+    All are counted, in as many tasks as they are work for, however many files the sets are in.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +242,8 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
 
-    counts = mapped(sets.select("shingles"), counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    tasks = math.ceil((sets.agg(F.sum(F.size("shingles"))).first()[0] or 1) / COUNTED)
+    counts = mapped(sets.select("shingles").coalesce(tasks), counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(COUNTERS, dtype=np.int64)
     table[np.asarray(counts["counter"])] = np.asarray(counts["n"])
     shared = sets.sparkSession.sparkContext.broadcast(table)

@@ -127,6 +127,26 @@ def test_rarest_shingles_meet(spark):
                 assert rare[i] & rare[j]
 
 
+def test_few_shingles_are_counted_together(spark, monkeypatch):
+    """Sets in many files: every task would give a row for each counter it meets, so few shingles are one task's, more are several tasks'."""
+    made = []
+
+    def seen(df, run, schema, f=near_dedup.mapped):
+        out = f(df, run, schema)
+        if schema == "counter long, n long":
+            made.append((out.groupBy("counter").sum("n").count(), out.count(), out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "mapped", seen)
+    rnd = random.Random(2)
+    sets = spark.createDataFrame([(i, rnd.sample(range(300), 40)) for i in range(160)], "num long, shingles array<long>").repartition(16)
+    few = sorted(map(tuple, near_dedup.rare_shingles(sets, 80).collect()))
+    monkeypatch.setattr(near_dedup, "COUNTED", 2000)
+    assert few == sorted(map(tuple, near_dedup.rare_shingles(sets, 80).collect()))
+    assert made[0] == (300, 300, 1) and made[1][0] == 300 and made[1][2] == 4
+    assert near_dedup.rare_shingles(sets.where("num < 0"), 80).count() == 0
+
+
 def test_trees_follow_recall():
     assert near_dedup.trees_for(0.9998, 80) == 12 < near_dedup.trees_for(0.999999, 80) and near_dedup.trees_for(0.9, 80) == 4
 
