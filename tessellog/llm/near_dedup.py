@@ -358,10 +358,23 @@ class _Join:
         """
         if self.labels is None:
             return nodes.withColumn("label", F.col("num"))
+        return self.linked(nodes, hot).withColumn("label", F.coalesce("label", "num"))
+
+    def linked(self, nodes: DataFrame, hot: bool = False) -> DataFrame:
+        """As ``labelled``, but null for a class that no link was found of."""
         labels = self.labels.select(F.col("node").alias("num"), "label")
         small = self.n_labels * 16 <= BROADCAST_BYTES
-        found = dealt(nodes, labels, ["num"], "left", n_one=self.n_labels, width=16) if hot or small else nodes.join(labels, "num", "left")
-        return found.withColumn("label", F.coalesce("label", "num"))
+        return dealt(nodes, labels, ["num"], "left", n_one=self.n_labels, width=16) if hot or small else nodes.join(labels, "num", "left")
+
+    def named(self, ids: DataFrame) -> DataFrame:
+        """(cls, label, component_id) for all classes ``ids`` (num, cls, cid); only linked ones need to meet their components' other classes."""
+        alone = (F.col("cls"), F.col("num").alias("label"), F.col("cid").alias("component_id"))
+        if self.labels is None:
+            return ids.select(*alone)
+        member = written(self.linked(ids), "members")
+        linked = member.where("label IS NOT NULL")
+        smallest = linked.groupBy("label").agg(F.min("cid").alias("component_id"))
+        return dealt(linked, smallest, ["label"], total=self.n_labels).select("cls", "label", "component_id").union(member.where("label IS NULL").select(*alone))
 
     def with_degree(self, nodes: DataFrame) -> DataFrame:
         """``nodes`` with how many links of the class were found so far."""
@@ -521,14 +534,8 @@ def _judged(docs: DataFrame, k: int, percent: int, recall: float) -> DataFrame:
     join = _Join(classes, docs.select("doc_id", "text"), k, percent, trees)
     join.run()
     ids = classes.where("n > 0").select("num", "cls", "cid")
-    if join.labels is None:
-        named = ids.select("cls", F.col("num").alias("label"), F.col("cid").alias("component_id"))
-    else:
-        member = written(join.labelled(ids), "members")
-        smallest = member.groupBy("label").agg(F.min("cid").alias("component_id"))
-        named = dealt(member, smallest, ["label"]).select("cls", "label", "component_id")
     sizes = rows.groupBy("cls").agg(F.count("*").alias("n"))
-    full = dealt(rows.where("n > 0").select("doc_id", "n", "cls"), named, ["cls"], counts=sizes, total=rows.count())
+    full = dealt(rows.where("n > 0").select("doc_id", "n", "cls"), join.named(ids), ["cls"], counts=sizes, total=rows.count(), n_one=ids.count())
     empty = rows.where("n = 0").select("doc_id", "n", "cls", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n", "cls", "label", "component_id").union(empty)
 

@@ -127,6 +127,23 @@ def test_rarest_shingles_meet(spark):
                 assert rare[i] & rare[j]
 
 
+def test_only_linked_classes_meet_their_components(spark, monkeypatch):
+    """Beyond a broadcast, the join that names components has the linked classes alone; all others are named by themselves."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    made = []
+
+    def seen(rows, one, keys, *a, f=near_dedup.dealt, **b):
+        if one.columns == ["label", "component_id"]:
+            made.append((rows.count(), one.count()))
+        return f(rows, one, keys, *a, **b)
+
+    monkeypatch.setattr(near_dedup, "dealt", seen)
+    words = [f"w{i}" for i in range(40)]
+    near = [(n, " ".join([*words, f"end{n}"])) for n in (7, 3, 9)] + [(20, " ".join([*words[::-1], "a"])), (11, " ".join([*words[::-1], "b"]))]
+    check(spark, near + [(n, f"alone {n} b{n} c{n} d{n}") for n in range(100, 160)] + [(None, "p q r s t u"), (170, ""), (171, "alone 101 b101 c101 d101")], 4)
+    assert made == [(5, 2)]
+
+
 def test_few_shingles_are_counted_together(spark, monkeypatch):
     """Sets in many files: every task would give a row for each counter it meets, so few shingles are one task's, more are several tasks'."""
     made = []
