@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,38 +41,91 @@ def encode_batches(records: DataFrame) -> DataFrame:
 
 
 _SNAPSHOT = "doc_id long, format_version int, bytes binary, gzip_bytes long"
+_STATE = "n_nodes long, digest string"
 
 
-def _snapshot(doc_id: pa.Array, nodes: list[tuple], strict: bool) -> pa.Table:
+def _packed(doc_id: pa.Array, data: bytes) -> pa.Table:
+    return pa.table({"doc_id": doc_id, "format_version": pa.array([FORMAT_VERSION], pa.int32()), "bytes": pa.array([data], pa.binary()), "gzip_bytes": pa.array([len(gzip.compress(data))], pa.int64())})
+
+
+def _snapshot(nodes: Iterable[tuple], strict: bool) -> bytes:
     rows = {n[0]: n for n in nodes}
     fit = set(document.admit({i: (n[1], n[2], n[4], n[5]) for i, n in rows.items()}, set()))
-    data = codec.encode_snapshot([n for i, n in rows.items() if i in fit], [n for i, n in rows.items() if i not in fit], strict)
-    return pa.table({"doc_id": doc_id, "format_version": pa.array([FORMAT_VERSION], pa.int32()), "bytes": pa.array([data], pa.binary()), "gzip_bytes": pa.array([len(gzip.compress(data))], pa.int64())})
+    return codec.encode_snapshot([n for i, n in rows.items() if i in fit], [n for i, n in rows.items() if i not in fit], strict)
 
 
 def encode_snapshots(nodes: DataFrame, strict: bool = False) -> DataFrame:
     """(doc_id, format_version, bytes, gzip_bytes) of each document's state; what lacks a dependency is an orphan."""
-    return nodes.groupBy("doc_id").applyInArrow(lambda group: _snapshot(group["doc_id"][:1], _tuples(group), strict), _SNAPSHOT)
+    return nodes.groupBy("doc_id").applyInArrow(lambda group: _packed(group["doc_id"][:1], _snapshot(_tuples(group), strict)), _SNAPSHOT)
+
+
+def _log(records: DataFrame) -> DataFrame:
+    return records.select("doc_id", "kind", "anchor", "text", "extra_deps", "targets")
+
+
+def _log_rows(group: pa.Table) -> list[dict]:
+    return list(map(_raw, group.drop_columns("doc_id").to_pylist()))
+
+
+def _written(rows: list[dict], strict: bool, profile: str, folded: tuple | None) -> bytes:
+    """A state's snapshot from its records and what ``document.fold`` makes of them; by all operations if that is nothing."""
+    return codec.write_snapshot(codec.Layout.of(*folded), (), strict) if folded else _snapshot(document.expand(rows, profile), strict)
+
+
+def _state(rows: list[dict], profile: str, folded: tuple | None) -> tuple[int, str]:
+    """(n_nodes, digest) of records: folded ones, which are the same for the same operations, are what is hashed."""
+    own = folded[0] if folded else document.compact(list({n[0]: n for n in document.expand(rows, profile)}.values()))
+    return sum(len(r["text"]) if r["kind"] == "run" else 1 for r in own), hashlib.sha256(codec.encode_batch(own)).hexdigest()
+
 
+def encode_logs(records: DataFrame, strict: bool = False, profile: str = "sha256", state: bool = False) -> DataFrame:
+    """What ``encode_snapshots`` gives, from the compact log, which is all that is shuffled; with ``state`` what ``states`` gives besides.
 
-def _log_nodes(group: pa.Table, profile: str) -> list[tuple]:
-    return list(document.expand(map(_raw, group.select(["kind", "anchor", "text", "extra_deps", "targets"]).to_pylist()), profile))
+    Runs are laid out as wholes, not by character.
+    """
 
+    def pack(group: pa.Table) -> pa.Table:
+        rows = _log_rows(group)
+        folded = document.fold(rows, profile)
+        out = _packed(group["doc_id"][:1], _written(rows, strict, profile, folded))
+        if state:
+            n, digest = _state(rows, profile, folded)
+            out = out.append_column("n_nodes", pa.array([n], pa.int64())).append_column("digest", pa.array([digest]))
+        return out
 
-def encode_logs(records: DataFrame, strict: bool = False, profile: str = "sha256") -> DataFrame:
-    """What ``encode_snapshots`` gives, from the compact log, which is all that is shuffled."""
-    own = records.select("doc_id", "kind", "anchor", "text", "extra_deps", "targets")
-    return own.groupBy("doc_id").applyInArrow(lambda group: _snapshot(group["doc_id"][:1], _log_nodes(group, profile), strict), _SNAPSHOT)
+    return _log(records).groupBy("doc_id").applyInArrow(pack, f"{_SNAPSHOT}, {_STATE}" if state else _SNAPSHOT)
 
 
 def states(records: DataFrame, profile: str = "sha256") -> DataFrame:
-    """(doc_id, n_nodes, digest): how many operations a document's log holds, and the SHA-256 of their ids in order."""
+    """(doc_id, n_nodes, digest): how many operations a document's log holds, and the SHA-256 of the log with every chain in one run."""
 
-    def fold(group: pa.Table) -> pa.Table:
-        ids = sorted({n[0] for n in _log_nodes(group, profile)})
-        return pa.table({"doc_id": group["doc_id"][:1], "n_nodes": pa.array([len(ids)], pa.int64()), "digest": [hashlib.sha256(b"".join(ids)).hexdigest()]})
+    def digest(group: pa.Table) -> pa.Table:
+        rows = _log_rows(group)
+        n, own = _state(rows, profile, document.fold(rows, profile))
+        return pa.table({"doc_id": group["doc_id"][:1], "n_nodes": pa.array([n], pa.int64()), "digest": [own]})
+
+    return _log(records).groupBy("doc_id").applyInArrow(digest, f"doc_id long, {_STATE}")
 
-    return records.select("doc_id", "kind", "anchor", "text", "extra_deps", "targets").groupBy("doc_id").applyInArrow(fold, "doc_id long, n_nodes long, digest string")
+
+def rewritten(snapshots: DataFrame, profile: str = "sha256") -> DataFrame:
+    """(doc_id, same, same_bytes, orphans): whether what is read from ``bytes`` has the state (n_nodes, digest) and is written to the same bytes.
+
+    A snapshot is a whole state, so no shuffle.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.bool_()), ("same_bytes", pa.bool_()), ("orphans", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            for doc_id, raw, n, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, orphans = codec.decode_records(raw, profile)
+                folded = document.fold([*own, *orphans], profile)
+                row = (doc_id, _state([*own, *orphans], profile, folded) == (n, digest), _written([*own, *orphans], False, profile, folded) == raw, len(orphans))
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    return snapshots.select("doc_id", "bytes", "n_nodes", "digest").mapInArrow(run, "doc_id long, same boolean, same_bytes boolean, orphans int")
 
 
 def _decode(data: DataFrame, read, fail_fast: bool) -> DataFrame:
@@ -136,8 +189,9 @@ def decode_states(data: DataFrame, profile: str = "sha256") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for orphan, nodes in zip((False, True), codec.decode_snapshot(raw, profile), strict=True):
-                    made = _record_table(doc_id, document.compact(nodes))
+                for orphan, own in zip((False, True), codec.decode_records(raw, profile), strict=True):
+                    folded = document.fold(own, profile)
+                    made = _record_table(doc_id, folded[0] if folded else document.compact(list(document.expand(own, profile))))
                     yield from made.append_column("orphan", pa.array([orphan] * len(made), pa.bool_())).to_batches()
 
     return data.select("doc_id", "bytes").mapInArrow(run, f"{RECORDS}, orphan boolean")
@@ -175,12 +229,13 @@ def _layouts(log: DataFrame, rows_of, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def fold(group: pa.Table) -> pa.Table:
-        found = rows_of(codec.Layout({n[0]: n for n in _log_nodes(group, "sha256")}.values() if compact else _tuples(group)))
+        rows = _log_rows(group) if compact else []
+        folded = document.fold(rows) if compact else None
+        found = rows_of(codec.Layout.of(*folded) if folded else codec.Layout({n[0]: n for n in document.expand(rows)}.values() if compact else _tuples(group)))
         doc_id = group["doc_id"][0].as_py()
         return pa.table({c: pa.array(column, pa.int64() if " long" in spec else pa.string()) for c, spec, column in zip(names, schema.split(", "), zip(*[(doc_id, *r) for r in found]) if found else [[]] * len(names), strict=True)})
 
-    own = log.select("doc_id", "kind", "anchor", "text", "extra_deps", "targets") if compact else log
-    return own.groupBy("doc_id").applyInArrow(fold, schema)
+    return (_log(log) if compact else log).groupBy("doc_id").applyInArrow(fold, schema)
 
 
 def remove_ranges(log: DataFrame) -> DataFrame:
@@ -229,3 +284,8 @@ def merge_encoded(nodes: DataFrame, snapshots: DataFrame, profile: str = "sha256
 
     theirs = decode_snapshots(snapshots, profile).where("error IS NULL").drop("orphan", "error")
     return merge(nodes, theirs)
+
+
+def merge_encoded_logs(records: DataFrame, snapshots: DataFrame, profile: str = "sha256") -> DataFrame:
+    """The same of compact logs: records together with those of snapshots.  Operations that several hold are still in each, as in any union of compact logs."""
+    return records.unionByName(decode_states(snapshots, profile).drop("orphan"))
