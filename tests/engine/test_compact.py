@@ -109,3 +109,14 @@ def test_a_state_has_one_digest_however_its_log_is_cut():
         assert codecs._state(other, "sha256", document.fold(other)) == codecs._state(records, "sha256", document.fold(records)) == codecs._state(other, "sha256", None)
     fewer = document.compact([n for n in nodes if n[1] != "remove"])
     assert codecs._state(fewer, "sha256", document.fold(fewer)) != codecs._state(records, "sha256", document.fold(records))
+
+
+def test_texts_of_emptied_documents_make_no_log(spark):
+    """One grouped map: no removed character's id is shuffled."""
+    from tessellog.operators import edits
+    from tessellog.functions.schemas import PATCHES
+
+    rows = [(1, 0, 0, 0, 0, "abc" * 50), (1, 1, 0, 100, 50, ""), (1, 2, 0, 0, 150, ""), (2, 0, 0, 0, 0, ""), (3, 0, 0, 0, 0, "xyz"), (3, 1, 0, 1, 1, "é")]
+    found = edits.texts(spark.createDataFrame(rows, PATCHES))
+    assert sorted(map(tuple, found.collect())) == [(1, "", 0), (2, "", 0), (3, "xéz", 3)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
