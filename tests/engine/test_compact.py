@@ -162,3 +162,25 @@ def test_ids_come_to_the_runs_that_they_are_searched_in(spark):
     found = edits.find_position(asked, log)
     assert sorted((r.doc_id, r.tag, r.place) for r in found.collect()) == [(1, "x", 4), (1, "y", 4)]
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def hashed(monkeypatch, work):
+    """How many ids ``work`` hashes along runs, and whether it makes all operations."""
+    n, follow = [0], document.follow
+
+    def counted(ids, *rest):
+        before = len(ids)
+        follow(ids, *rest)
+        n[0] += len(ids) - before
+
+    with monkeypatch.context() as m:
+        m.setattr(document, "follow", counted)
+        m.setattr(document, "expand", lambda *_: pytest.fail("all operations are made"))
+        return work(), n[0]
+
+
+def test_removals_in_the_middle_are_found_without_all_operations(monkeypatch):
+    half = 5000
+    records = rows_of((0, 0, "ab" * half), *[(half, 1, "")] * 3, (0, 0, "x"), (half, 1, ""), (half - 1, 1, ""))
+    layout, n = hashed(monkeypatch, lambda: codec.Layout.of(*document.fold(records)))
+    assert [len(c) for c in layout.chains] == [3, 2] and n < half + 600
