@@ -184,3 +184,12 @@ def test_removals_in_the_middle_are_found_without_all_operations(monkeypatch):
     records = rows_of((0, 0, "ab" * half), *[(half, 1, "")] * 3, (0, 0, "x"), (half, 1, ""), (half - 1, 1, ""))
     layout, n = hashed(monkeypatch, lambda: codec.Layout.of(*document.fold(records)))
     assert [len(c) for c in layout.chains] == [3, 2] and n < half + 600
+
+
+def test_operations_are_made_and_folded_in_one_task(spark):
+    from tessellog.operators import edits
+
+    log = site_records(spark, SITES)
+    want = {(r.doc_id, r.rec_id, r.text) for r in edits.compact(edits.expand(log).dropDuplicates(["doc_id", "node_id"])).collect()}
+    found = edits.recompact(log)
+    assert {(r.doc_id, r.rec_id, r.text) for r in found.collect()} == want
