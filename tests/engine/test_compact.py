@@ -193,3 +193,12 @@ def test_operations_are_made_and_folded_in_one_task(spark):
     want = {(r.doc_id, r.rec_id, r.text) for r in edits.compact(edits.expand(log).dropDuplicates(["doc_id", "node_id"])).collect()}
     found = edits.recompact(log)
     assert {(r.doc_id, r.rec_id, r.text) for r in found.collect()} == want
+
+
+def test_an_edited_text_is_packed_without_all_operations(monkeypatch):
+    from tessellog.operators import codecs
+
+    records = rows_of((0, 0, "aé" * 10_000), (1, 3, "abc"), (2, 1, ""), (0, 0, "Z"))
+    data, n = hashed(monkeypatch, lambda: codecs._written(records, False, "sha256", document.fold(records)))
+    sizes = codec.section_bytes(data)
+    assert sizes.pop("unused_ids") == 0 and sum(sizes.values()) == len(data) and n < 1500
