@@ -202,3 +202,11 @@ def test_an_edited_text_is_packed_without_all_operations(monkeypatch):
     data, n = hashed(monkeypatch, lambda: codecs._written(records, False, "sha256", document.fold(records)))
     sizes = codec.section_bytes(data)
     assert sizes.pop("unused_ids") == 0 and sum(sizes.values()) == len(data) and n < 1500
+
+
+def test_a_typed_text_is_packed_by_hashing_its_ends(monkeypatch):
+    from tessellog.operators import codecs
+
+    records = rows_of((0, 0, "ab" * 10_000))
+    data, n = hashed(monkeypatch, lambda: codecs._written(records, False, "sha256", document.fold(records)))
+    assert codec.section_bytes(data)["runs_text"] == 19_999 and n == 0
