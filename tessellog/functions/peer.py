@@ -54,7 +54,6 @@ class Peer:
         for c, r in enumerate(chains):
             ids = [n[0] for n in document.expand([r], self.profile)]
             doc.chains.append(document.Chain("after" if r["kind"] == "run" else r["kind"], None, r["text"], ids))
-            doc.heads.add(ids[0])
             place.update((x, (c << document.SHIFT) + k) for k, x in enumerate(ids))
         below: dict[int, list[document.Chain]] = {}
         for chain, r in zip(doc.chains, chains):

@@ -14,7 +14,7 @@ from tessellog.functions import codec, document
 from tessellog.functions.hashing import PROFILES, preimage
 from tessellog.functions.schemas import FORMAT_VERSION, NODES, RECORDS
 
-from .edits import _NODES, _raw, _record_table
+from .edits import _NODES, _raw, _record_table, by_document
 
 DECODED = f"{NODES}, orphan boolean, error string"
 _DECODED = pa.schema([*_NODES, ("orphan", pa.bool_()), ("error", pa.string())])
@@ -251,6 +251,24 @@ def remove_ranges(log: DataFrame) -> DataFrame:
     return _layouts(log, rows, "doc_id long, run_id string, direction string, first long, last long, length long")
 
 
+def edited_ranges(patches: DataFrame) -> DataFrame:
+    """(doc_id, run, direction, first, last, length): what ``remove_ranges`` finds in the log that each document's patches make, with runs by number instead of id.
+
+    The ranges follow from which edit comes after which and from places, so nothing is hashed and no log is made.
+    """
+
+    def rows(doc: document.Document) -> list[tuple]:
+        runs, removes = doc.single_removals()
+        number = {run: i for i, run in enumerate(runs)}
+        out = []
+        for chain in codec.remove_ranges(removes):
+            (run, first), (_, last) = removes[chain[0]][1], removes[chain[-1]][1]
+            out.append((number[run], "forward" if last > first else "backward", first, last, len(chain)))
+        return out
+
+    return by_document(patches, rows, "doc_id long, run long, direction string, first long, last long, length long")
+
+
 def remove_kinds(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, kind) of each removal: the kind of the one insertion it removes (run, before or root), else ``other``."""
     removes = nodes.where("op = 'remove'").select("doc_id", F.col("node_id").alias("remove_id"), F.when(F.size(F.array_distinct("targets")) == 1, F.get("targets", F.lit(0))).alias("node_id"))

@@ -218,3 +218,62 @@ def test_storage_keeps_no_copy_of_the_log(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(catalog, "saved", lambda *_: pytest.fail("a copy is written"))
     row = catalog.storage_ratios(spark, sf_dir).agg({"encoded_bytes": "sum", "text_bytes": "sum"}).collect()[0]
     assert row["sum(encoded_bytes)"] > row["sum(text_bytes)"] > 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ranges_of_removals_are_found_without_ids(seed, monkeypatch):
+    rnd, doc = random.Random(seed), document.Document()
+    for _ in range(12):
+        doc.insert(rnd.randint(0, len(doc.visible)), "abcdefg"[: rnd.randint(1, 7)])
+        at, way = rnd.randrange(len(doc.visible)), rnd.choice((0, -1))
+        for _ in range(rnd.randint(0, 4)):
+            doc.remove(max(0, at), 1)
+            at += way
+    with monkeypatch.context() as m:
+        m.setattr(document, "follow", lambda *_: pytest.fail("an id was hashed"))
+        doc.hash = lambda _: pytest.fail("an id was hashed")
+        runs, removes = doc.single_removals()
+        ranges = lambda linked, chains, name: sorted((name(linked[c[0]][1][0]), linked[c[0]][1][1], linked[c[-1]][1][1], len(c)) for c in chains)
+        found = codec.remove_ranges(removes)
+    doc.hash = document.PROFILES["sha256"]
+    layout = codec.Layout.of(*document.fold(doc.records))
+    head = lambda run: doc.id((run[0] << document.SHIFT) + run[1])
+    assert ranges(removes, found, head) == ranges(layout.linked, layout.chains, lambda i: layout.runs[i]["rec_id"])
+    assert sorted(map(head, runs)) == [r["rec_id"] for r in layout.runs]
+
+
+def test_the_query_of_ranges_hashes_nothing(spark, sf_dir):
+    """Nor does it make a log: one map over sorted patches."""
+    from tessellog.plans import catalog
+
+    plan = catalog.remove_chain_ranges(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_ranges_of_edits_are_those_of_their_log(spark):
+    """Also with documents of several batches, without an id, and with a position beyond the end."""
+    from tessellog.functions.schemas import PATCHES
+    from tessellog.operators import codecs, edits
+
+    rows = [(d, 0, 0, 0, 0, "abcdefghij" * d) for d in range(1, 9)] + [(d, t, 0, 9 - t, 1, "") for d in range(1, 9) for t in range(1, 6)]
+    rows += [(None, 0, 0, 0, 0, "xyzuv"), *[(None, t, 0, 2, 1, "") for t in (1, 2)], (9, 0, 0, 0, 0, "ab"), (9, 1, 0, 5, 0, "cdefg"), *[(9, 2, i, 3, 1, "") for i in range(2)]]
+    patches = spark.createDataFrame(rows, PATCHES)
+    names = ("doc_id", "direction", "first", "last", "length")
+    want, found = (sorted(map(str, f.select(*names).collect())) for f in (codecs.remove_ranges(edits.replay(patches)), codecs.edited_ranges(patches)))
+    assert found == want and len(found) >= 9
+
+
+def test_a_long_range_is_kept_whole_until_it_is_edited():
+    blocks, plain, rnd = document.Blocks(range(100_000)), list(range(100_000)), random.Random(3)
+    assert blocks.blocks == [range(100_000)]
+    for _ in range(300):
+        at, n = rnd.randint(0, len(plain)), rnd.choice((1, 1, 3, 700))
+        if rnd.random() < 0.5:
+            items = range(rnd.randrange(10**6), 10**7)[:n]
+            blocks.insert(at, items)
+            plain[at:at] = items
+        else:
+            assert blocks.cut(at, n) == plain[at : at + n]
+            del plain[at : at + n]
+        assert len(blocks) == len(plain) and blocks.get(at) == (plain[at] if at < len(plain) else None)
+    assert list(blocks) == plain
