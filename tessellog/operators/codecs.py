@@ -9,6 +9,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessellog.functions import codec, document
 from tessellog.functions.hashing import PROFILES, preimage
@@ -197,23 +199,43 @@ def decode_states(data: DataFrame, profile: str = "sha256") -> DataFrame:
     return data.select("doc_id", "bytes").mapInArrow(run, f"{RECORDS}, orphan boolean")
 
 
+_BY_SECTION = "doc_id long, section string, n_bytes long, total long, unused_ids long"
+
+
+def _section_rows(data: bytes) -> list[tuple]:
+    sizes = codec.section_bytes(data)
+    unused = sizes.pop("unused_ids")
+    return [(k, v, len(data), unused) for k, v in sizes.items()]
+
+
 def _by_section(snapshots: DataFrame) -> DataFrame:
-    """(doc_id, section, n_bytes, total, unused_ids) for each section of each snapshot."""
+    """(doc_id, section, n_bytes, total, unused_ids) for each section of each snapshot; if ``snapshots`` is such a table already, the same."""
+    if "section" in snapshots.columns:
+        return snapshots
+    schema = to_arrow_schema(T.StructType.fromDDL(_BY_SECTION))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for d, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sizes = codec.section_bytes(raw)
-                unused = sizes.pop("unused_ids")
-                rows += [{"doc_id": d, "section": k, "n_bytes": v, "total": len(raw), "unused_ids": unused} for k, v in sizes.items()]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("section", pa.string()), ("n_bytes", pa.int64()), ("total", pa.int64()), ("unused_ids", pa.int64())]))
+            rows = [(d, *r) for d, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in _section_rows(raw)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+    return snapshots.select("doc_id", "bytes").mapInArrow(run, _BY_SECTION)
+
+
+def _edited(doc: document.Document, profile: str) -> bytes | None:
+    """The snapshot of a document that its own edits made; without operations there is none."""
+    return _written(doc.records, False, profile, document.fold(doc.records, profile)) if doc.records else None
+
 
-    return snapshots.select("doc_id", "bytes").mapInArrow(run, "doc_id long, section string, n_bytes long, total long, unused_ids long")
+def edited_sections(patches: DataFrame, profile: str = "sha256") -> DataFrame:
+    """(doc_id, section, n_bytes, total, unused_ids) of the snapshot of the log that each document's patches make: the log
+    is made, written and read in one task, which only these figures leave."""
+    return by_document(patches, lambda doc: _section_rows(data) if (data := _edited(doc, profile)) else [], _BY_SECTION, profile)
 
 
 def section_bytes(snapshots: DataFrame) -> DataFrame:
-    """(doc_id, section, n_bytes, share): the size of each section of each snapshot."""
+    """(doc_id, section, n_bytes, share): the size of each section of each snapshot; as the next, also from ``edited_sections``."""
     return _by_section(snapshots).select("doc_id", "section", "n_bytes", (F.col("n_bytes") / F.col("total")).alias("share"))
 
 

@@ -83,6 +83,8 @@ def replay(patches: DataFrame, profile: str = "sha256") -> DataFrame:
     return _patches(patches).groupBy("doc_id").applyInArrow(fold, RECORDS)
 
 
+_BATCH_SETTING, _BATCH_DEFAULT, _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
 #: Patches that are taken from an Arrow batch at a time, and rows that are given at a time or bytes of text that make them fewer.
 _SLICE, _OUT_ROWS, _OUT_BYTES = 256, 1_000, 4_000_000
 
@@ -91,6 +93,7 @@ def by_document(patches: DataFrame, rows_of: Callable[[document.Document], list[
     """``rows_of`` the document that each ``doc_id``'s patches lead to, with the id ahead, which is the first column of ``schema``.
 
     Patches come sorted by document, so a task reads many from one batch; a group's own Arrow stream takes longer than most documents' edits.
+    Batches have 8 MB, unless the session has a setting of its own.
     """
     fields = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(fields)
@@ -120,7 +123,11 @@ def by_document(patches: DataFrame, rows_of: Callable[[document.Document], list[
                 out, size = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow, strict=True)], schema=arrow)
+        pa.default_memory_pool().release_unused()  # workers stay for later tasks
 
+    spark = patches.sparkSession
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, _BATCH)
     return _patches(patches).repartition("doc_id").sortWithinPartitions("doc_id", "txn", "i").mapInArrow(run, fields)
 
 

@@ -277,3 +277,32 @@ def test_a_long_range_is_kept_whole_until_it_is_edited():
             del plain[at : at + n]
         assert len(blocks) == len(plain) and blocks.get(at) == (plain[at] if at < len(plain) else None)
     assert list(blocks) == plain
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_edits_are_packed_as_all_their_operations(seed):
+    from tessellog.operators import codecs
+
+    doc = patched(random.Random(seed), 25)
+    assert codecs._edited(doc, "sha256") == codec.encode_snapshot(document.expand(doc.records))
+
+
+def test_edits_have_the_sections_of_their_log(spark):
+    """In one map, without compressing or shuffling a snapshot; a document without operations has none."""
+    from tessellog.functions.schemas import PATCHES
+    from tessellog.operators import codecs, edits
+
+    rows = [(d, t, 0, at, cut, ins) for d in (*range(1, 700), None) for t, (at, cut, ins) in enumerate([(0, 0, "héllo wörld"[: (d or 5) % 12]), (1, 3, "abc"), (2, 1, ""), (0, 0, "Z"[: (d or 5) % 2])])]
+    rows += [(700, 0, 0, 0, 0, ""), (701, 0, 0, 0, 0, "ab"), (701, 1, 0, 9, 0, "c"), (702, 0, 0, 0, 2, "")]
+    patches = spark.createDataFrame(rows, PATCHES)
+    found = codecs.edited_sections(patches)
+    want = codecs._by_section(codecs.encode_logs(edits.replay(patches)))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.select("doc_id").distinct().count() == 702
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sections_of_typed_texts_take_one_shuffle(spark, sf_dir):
+    from tessellog.plans import catalog
+
+    plan = catalog.snapshot_sections(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "FlatMapGroupsInArrow" not in plan and plan.count("MapInArrow") == 1
