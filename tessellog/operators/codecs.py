@@ -225,7 +225,7 @@ def _by_section(snapshots: DataFrame) -> DataFrame:
 
 def _edited(doc: document.Document, profile: str) -> bytes | None:
     """The snapshot of a document that its own edits made; without operations there is none."""
-    return _written(doc.records, False, profile, document.fold(doc.records, profile)) if doc.records else None
+    return _written(doc.records, False, profile, document.fold(doc.records, profile, doc.hashed())) if doc.records else None
 
 
 def edited_sections(patches: DataFrame, profile: str = "sha256") -> DataFrame:

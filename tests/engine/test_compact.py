@@ -306,3 +306,31 @@ def test_sections_of_typed_texts_take_one_shuffle(spark, sf_dir):
 
     plan = catalog.snapshot_sections(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "FlatMapGroupsInArrow" not in plan and plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_what_a_document_has_hashed_is_not_hashed_again(seed, monkeypatch):
+    doc = patched(random.Random(seed), 25)
+    plain = document.fold(doc.records)
+    folded, n = hashed(monkeypatch, lambda: document.fold(doc.records, "sha256", doc.hashed()))
+    assert folded[0] == plain[0] and folded[1].items() >= plain[1].items()
+    assert n <= len(folded[0])  # the character after a cut at most
+    assert codec.write_snapshot(codec.Layout.of(*folded)) == codec.write_snapshot(codec.Layout.of(*plain))
+
+
+def test_an_edited_text_is_hashed_once(monkeypatch):
+    from tessellog.operators import codecs
+
+    doc = document.Document()
+    for at, cut, text in ((0, 0, "aé" * 10_000), (1, 3, "abc"), (2, 1, ""), (0, 0, "Z")):
+        doc.remove(at, cut)
+        doc.insert(at, text)
+    data, n = hashed(monkeypatch, lambda: codecs._edited(doc, "sha256"))
+    assert n <= 20_010 and data == codec.encode_snapshot(document.expand(doc.records))
+
+
+@pytest.mark.parametrize("profile", ["sha256", "blake3"])
+def test_ids_along_a_chain_are_those_of_its_operations(profile):
+    doc = document.Document(profile)
+    doc.insert(0, "aé😀" * 5)
+    assert [doc.id(k) for k in range(15)] == [n[0] for n in document.expand(doc.records, profile)]
