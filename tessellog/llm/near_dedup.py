@@ -54,6 +54,8 @@ BEST = 4
 #: Sets, and shingles (8 bytes each), that a block of a large node has, about.
 BLOCK_SETS = 1000
 BLOCK_SHINGLES = 150_000
+#: Pairs of a cell (some 30 bytes each) that are judged at a time.
+CELL_PAIRS = 100_000
 SKETCH = 64
 #: Equal bytes of two sketches from which a pair is confirmed on its full sets.
 AGREE = 35
@@ -286,7 +288,10 @@ def _overlaps(values: np.ndarray, owner: np.ndarray, ask: np.ndarray) -> np.ndar
 
 
 def cell_links(cells: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between asking members of each cell and its others, as many as join their components."""
+    """Links (a, b) between asking members of each cell and its others, as many as join their components.
+
+    All pairs of a cell are judged, about ``CELL_PAIRS`` at a time; those that links of earlier ones have joined already are left out of the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,23 +303,29 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
                 ask = ask.astype(bool)
                 both = _overlaps(lists.flatten().to_numpy(), np.repeat(np.arange(len(num)), size), ask)
                 asks, rows = np.flatnonzero(ask), np.flatnonzero(~ask)
-                near = 100 * both >= percent * (size[asks][:, None] + size[rows][None, :] - both)
-                near &= label[asks][:, None] != label[rows][None, :]
-                i, j = (x[y] for x, y in zip((asks, rows), np.nonzero(near)))
-                _, first = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, dtype=int))
-                root: dict[int, int] = {}
-
-                def top(x: int, root: dict[int, int] = root) -> int:
-                    while root.setdefault(x, x) != x:
+                _, group = np.unique(label, return_inverse=True)  # components, numbered
+                root = list(range(len(num)))
+
+                def top(x: int, root: list[int] = root) -> int:
+                    while root[x] != x:
                         root[x] = x = root[root[x]]
                     return x
 
                 found = []
-                for x, y in zip(i[first].tolist(), j[first].tolist()):
-                    a, b = top(int(label[x])), top(int(label[y]))
-                    if a != b:
-                        root[a] = b
-                        found.append((int(min(num[x], num[y])), int(max(num[x], num[y]))))
+                step = max(1, CELL_PAIRS // max(1, len(rows)))
+                for lo in range(0, len(asks), step):
+                    own, shared = asks[lo : lo + step], both[lo : lo + step].astype(np.int64)
+                    near = 100 * shared >= percent * (size[own][:, None] + size[rows][None, :] - shared)
+                    near &= group[own][:, None] != group[rows][None, :]
+                    i, j = (x[y] for x, y in zip((own, rows), np.nonzero(near)))
+                    _, first = np.unique(group[i] * len(num) + group[j], return_index=True)
+                    for x, y in zip(i[first].tolist(), j[first].tolist()):
+                        a, b = top(int(group[x])), top(int(group[y]))
+                        if a != b:
+                            root[a] = b
+                            found.append((int(min(num[x], num[y])), int(max(num[x], num[y]))))
+                    if len(first):
+                        group = np.array([top(x) for x in range(len(num))])[group]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 

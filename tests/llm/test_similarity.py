@@ -1,6 +1,10 @@
 import random
+import tracemalloc
+from unittest.mock import MagicMock
 
+import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from conftest_llm import EDGE, table_of
 
@@ -113,6 +117,63 @@ def test_a_cloud_takes_a_few_candidates_a_class(spark, monkeypatch):
     assert 499 <= sum(made) <= 2 * near_dedup.BEST * 500
 
 
+def groups(links):
+    """Sets of what links connect."""
+    out = []
+    for pair in links:
+        met = [g for g in out if g & {*pair}]
+        out = [g for g in out if g not in met] + [{*pair}.union(*met)]
+    return sorted((g for g in out if len(g) > 1), key=min)
+
+
+def cell_of(sets, labels, asks):
+    """A batch of one cell, as ``blocks`` makes them."""
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
+    flat = pa.StructArray.from_arrays([pa.array(range(len(sets))), pa.array(labels), pa.array(asks), lists], names=["num", "label", "ask", "shingles"])
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(sets)], pa.int32()), flat)], names=["members"])
+
+
+@pytest.fixture
+def links_of(monkeypatch):
+    """What the map of ``cell_links`` finds in one cell."""
+    runs = []
+    monkeypatch.setattr(near_dedup, "mapped", lambda df, run, schema: runs.append(run) or df)
+    near_dedup.cell_links(MagicMock(), 80)
+    return lambda cell: [tuple(r.values()) for b in runs[0](iter([cell])) for r in b.to_pylist()]
+
+
+def test_a_full_cell_of_near_copies_takes_little_memory(links_of):
+    """All pairs of two blocks are similar and of two components: a million pairs, of which a link for each set is made."""
+    n, rng = near_dedup.BLOCK_SETS, np.random.default_rng(3)
+    base = np.arange(150)
+    sets = [np.sort(np.concatenate([base[rng.permutation(150)[:145]], 1000 + 5 * i + np.arange(5)])) for i in range(2 * n)]
+    cell = cell_of(sets, list(range(2 * n)), [i < n for i in range(2 * n)])
+    tracemalloc.start()
+    try:
+        links = links_of(cell)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(links) == 2 * n - 1 and len(groups(links)) == 1
+    assert peak < 64 << 20
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 100_000])
+def test_cells_join_what_is_similar(links_of, monkeypatch, pairs):
+    """However many pairs are judged at a time, the links are similar pairs, as many as join the components and no more."""
+    monkeypatch.setattr(near_dedup, "CELL_PAIRS", pairs, raising=False)
+    rnd = random.Random(pairs)
+    for _ in range(30):
+        bases = [rnd.sample(range(60), rnd.randrange(5, 20)) for _ in range(3)]
+        sets = [sorted({*rnd.choice(bases), *rnd.sample(range(60), rnd.randrange(3))}) for _ in range(rnd.randrange(2, 30))]
+        labels, asks = [rnd.randrange(12) for _ in sets], [rnd.random() < 0.4 for _ in sets]
+        near = {(i, j) for i in range(len(sets)) for j in range(i) if asks[i] != asks[j] and 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})}
+        links = links_of(cell_of([np.array(s) for s in sets], labels, asks))
+        assert {(b, a) for a, b in links} <= near
+        joined = [groups([(labels[a], labels[b]) for a, b in x]) for x in (links, near)]
+        assert joined[0] == joined[1] and len(links) == sum(len(g) - 1 for g in joined[0])
+
+
 def test_rarest_shingles_meet(spark):
     rnd = random.Random(1)
     sets = [sorted(rnd.sample(range(40), rnd.randrange(1, 30))) for _ in range(60)]
