@@ -251,6 +251,21 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
         assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(one, ["k"], how).collect())) and got.columns == ["k", "x", "y"]
 
 
+def test_driver_gives_back_what_it_has_freed(spark, monkeypatch):
+    monkeypatch.setattr(common, "GIVE_BACK_S", 0, raising=False)
+    common.written(spark.range(3), "warm").count()  # a young session collects of itself, as it loads classes
+    jvm = spark.sparkContext._jvm
+    freed = jvm.java.lang.Object()
+    jvm.System.gc()  # makes it old: only a full collection takes it from now on
+    seen = jvm.java.lang.ref.WeakReference(freed)
+    spark.sparkContext._gateway.detach(freed)
+    assert common.written(spark.range(3), "given").count() == 3
+    assert seen.get() is None
+    assert common.driver_gives_back(spark).startswith("Trim native heap: ")
+    monkeypatch.setattr(common, "GIVE_BACK_S", 1000)
+    assert common.driver_gives_back(spark) == ""  # it has just done so
+
+
 def test_keep_rows(edge):
     rows = near_dedup.keep_rows(edge)
     assert rows.columns == edge.columns
